@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from lyrebird.llm.decontamination import op2_decontamination
 from lyrebird.llm.mixing import op3_source_mix
+from lyrebird.llm.quality import op4_quality
 from lyrebird.llm.sharding import op6_kd_shards
+from lyrebird.llm.telephony import op10_telephony
 
 
 def queries() -> dict:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_source_mix": op3_source_mix,
+        "op4_quality": op4_quality,
         "op6_kd_shards": op6_kd_shards,
+        "op10_telephony": op10_telephony,
     }
 
 
