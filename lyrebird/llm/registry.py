@@ -5,6 +5,7 @@ from __future__ import annotations
 from lyrebird.llm.decontamination import op2_decontamination
 from lyrebird.llm.mixing import op3_source_mix
 from lyrebird.llm.quality import op4_quality
+from lyrebird.llm.repeats import op8_repeated_passages
 from lyrebird.llm.sharding import op6_kd_shards
 from lyrebird.llm.telephony import op10_telephony
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op3_source_mix": op3_source_mix,
         "op4_quality": op4_quality,
         "op6_kd_shards": op6_kd_shards,
+        "op8_repeated_passages": op8_repeated_passages,
         "op10_telephony": op10_telephony,
     }
 
