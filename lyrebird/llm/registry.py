@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lyrebird.llm.decontamination import op2_decontamination
+from lyrebird.llm.jaccard import op1_jaccard
 from lyrebird.llm.mixing import op3_source_mix
 from lyrebird.llm.quality import op4_quality
 from lyrebird.llm.repeats import op8_repeated_passages
@@ -12,6 +13,7 @@ from lyrebird.llm.telephony import op10_telephony
 
 def queries() -> dict:
     return {
+        "op1_jaccard": op1_jaccard,
         "op2_decontamination": op2_decontamination,
         "op3_source_mix": op3_source_mix,
         "op4_quality": op4_quality,
