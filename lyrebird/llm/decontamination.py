@@ -28,7 +28,7 @@ SHINGLE = 3
 BLOCK_WINDOWS = 250_000
 
 
-def _item_windows(window: int, shingle: int):
+def _item_windows(window: int):
     """item_id, text -> item_id and the word ids of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,35 +170,40 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     to the tasks in passes of at most block_windows; where there is more than one
     pass the passes' results are joined row by row, so doc_id must then be unique.
     """
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = next(f for f in docs.schema.fields if f.name == "doc_id").dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    out = None
+    for shared in _passes(docs, benchmark, window, shingle, block_windows):
+        hits = docs.mapInArrow(_find(shared, schema), f"doc_id {kind.simpleString()}, n_words long, spans array<long>, items array<string>")
+        if out is None:
+            out = hits
+        else:
+            more = hits.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("items").alias("_items"))
+            out = out.join(more, F.col("doc_id").eqNullSafe(F.col("_id"))).select(
+                "doc_id", "n_words", F.concat("spans", "_spans").alias("spans"), F.array_sort(F.array_union("items", "_items")).alias("items")
+            )
+    return out
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_windows: int) -> Iterator:
+    """Of each pass the windows and their prefixes, broadcast; one pass with none for a benchmark without words."""
     spark = docs.sparkSession
     found = (
         benchmark.where(F.col("item_id").isNotNull())
         .select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(_item_windows(window, shingle), "item_id string, key long, words array<long>")
+        .mapInArrow(_item_windows(window), "item_id string, key long, words array<long>")
         .groupBy("words")
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.first("key").alias("key"))
     )
     found = staged(found, "benchmark-windows")
     passes = max(1, -(-found.count() // block_windows))
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = None
     for part in range(passes):
         rows = found.where(F.pmod("key", F.lit(passes)) == part).sort("key").collect()
         windows = _Windows([np.array(r["words"], np.int64) for r in rows], [r["items"] for r in rows], shingle)
-        counts = docs.mapInArrow(_shingle_counts(spark.sparkContext.broadcast(windows)), "shingle long, n long")
+        counts = docs.select("text").mapInArrow(_shingle_counts(spark.sparkContext.broadcast(windows)), "shingle long, n long")
         often = {r["shingle"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in counts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
-        prefixes = {k: windows.prefixes(k, often) for k in windows.sizes}
-        kind = next(f for f in docs.schema.fields if f.name == "doc_id").dataType
-        schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-        hits = docs.mapInArrow(_find(spark.sparkContext.broadcast((windows, prefixes)), schema), f"doc_id {kind.simpleString()}, n_words long, spans array<long>, items array<string>")
-        if out is None:
-            out = hits
-        else:
-            more = hits.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("items").alias("_items"))
-            out = out.join(more, F.col("doc_id").eqNullSafe(F.col("_id"))).select(
-                "doc_id", "n_words", F.concat("spans", "_spans").alias("spans"), F.array_sort(F.array_union("items", "_items")).alias("items")
-            )
-    return out
+        yield spark.sparkContext.broadcast((windows, {k: windows.prefixes(k, often) for k in windows.sizes}))
 
 
 def hit_words() -> Column:
@@ -211,11 +216,26 @@ def hit_words() -> Column:
     return F.when(F.size("spans") > 0, F.expr(union)).otherwise(F.lit(0).cast("long"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those in which any window of the benchmark occurs; a document of a null id stays only if it has no hit."""
-    marked = benchmark_hits(docs, benchmark, **options).where(F.size("items") > 0).select(F.col("doc_id").alias("_hit"))
-    marked = staged(marked, "contaminated").distinct()
-    return docs.join(marked, docs["doc_id"].eqNullSafe(marked["_hit"]), "left_anti")
+def _without_hits(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, prefixes = shared.value
+        bits = {k: _bits(p[0]) for k, p in prefixes.items()}
+        for batch in batches:
+            for block in word_blocks(batch["text"], ALNUM):
+                clean = np.ones(block.rows, bool)
+                for k in windows.sizes:
+                    start = _matches(block, windows, k, prefixes[k], bits[k])[0]
+                    clean[np.searchsorted(block.bounds, start, side="right") - 1] = False
+                yield batch.slice(block.first_row, block.rows).filter(pa.array(clean))
+
+    return run
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of docs, with all their columns, in whose text no window of the benchmark occurs."""
+    for shared in _passes(docs, benchmark, window, shingle, block_windows):
+        docs = docs.mapInArrow(_without_hits(shared), docs.schema)
+    return docs
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
