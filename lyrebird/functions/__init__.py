@@ -1 +1 @@
-
+"""Functions of timed text and audio signals."""

@@ -1 +1 @@
-
+"""Operators of timed text and audio signals."""

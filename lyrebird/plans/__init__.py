@@ -1 +1 @@
-
+"""Plans of timed text and audio signals."""

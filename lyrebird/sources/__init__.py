@@ -1 +1 @@
-
+"""Sources of timed text and audio signals."""

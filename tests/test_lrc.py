@@ -1,0 +1,106 @@
+"""The grammar of lyric files, one rule at a time, and its round trips."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lyrebird.sources.alignment import batch_request, case_words, service_words
+from lyrebird.sources.lrc import lines_of_json, ms_tag, parse_lrc, read_lrc, render_lrc, song_json, song_metadata, tag_ms
+
+FILE = """[ti:Name of it]
+[by: me ]
+[offset:0]
+
+[00:00.00]
+[00:05.50]first
+[00:08.5]ends itself[00:10.50]
+[00:12.00]one[00:12.50] two<00:13.123456>three[00:14.12]
+[00:30.00][00:20.00]twice
+loose line
+[00:25.00]main
+[00:25.00]second
+[00:25.00]third
+after third
+[00:40.00]a    b
+
+[01:00.00]last
+"""
+
+
+@pytest.fixture(scope="module")
+def parsed(spark):
+    songs = spark.createDataFrame([("s", FILE), ("crlf", "[00:01.00]x\r\n[00:02.00]y"), ("none", "just text\nmore"), ("empty", ""), ("null", None)], "song_id string, value string")
+    return songs, parse_lrc(songs)
+
+
+def words(line):
+    return [(w.content, w.start, w.end) for w in line.content]
+
+
+def test_rules(parsed):
+    lines = parsed[1].where("song_id = 's'").orderBy("line_no").collect()
+    assert [(x.start_ms, x.end_ms) for x in lines] == [
+        (0, 5500), (5500, 8500), (8500, 10500), (12000, 14120), (20000, 25000), (25000, 30000), (30000, 40000), (40000, 60000), (60000, None),
+    ]
+    assert words(lines[0]) == [("", 0, 5500)]
+    assert words(lines[3]) == [("one", 12000, 12500), (" two", 12500, 13123), ("three", 13123, 14120)]
+    assert words(lines[4])[0][0] == words(lines[6])[0][0] == "twice"
+    refs = [[[(w.content, w.start, w.end) for w in r] for r in x.reference_lines] for x in lines]
+    assert refs[4] == refs[6] == [[("loose line", None, None)]]
+    assert refs[5] == [[("second", None, None)], [("third", None, None)], [("after third", None, None)]]
+    assert words(lines[7])[0][0] == "a    b"
+    assert [x.line_no for x in lines] == list(range(9))
+
+
+def test_other_files(parsed):
+    by = {}
+    for r in parsed[1].collect():
+        by.setdefault(r.song_id, []).append(r)
+    assert set(by) == {"s", "crlf"} and [x.content[0].content for x in sorted(by["crlf"], key=lambda x: x.line_no)] == ["x", "y"]
+
+
+def test_metadata(parsed):
+    rows = {r.song_id: r.metadata for r in song_metadata(parsed[0]).collect()}
+    assert rows == {"s": {"ti": "Name of it", "by": " me ", "offset": "0"}}
+
+
+def test_round_trips(spark, parsed):
+    plain = sorted(map(str, parsed[1].collect()))
+    assert sorted(map(str, parse_lrc(render_lrc(parsed[1])).collect())) == plain
+    assert sorted(map(str, parse_lrc(render_lrc(parsed[1], bracket=False)).collect())) != []
+    as_json = song_json(parsed[1], song_metadata(parsed[0]))
+    assert sorted(map(str, lines_of_json(as_json).collect())) == plain
+    one = json.loads(as_json.where("song_id = 's'").first().value)
+    assert list(one["lines"][-1]) == ["start", "end", "content", "reference_lines"] and one["lines"][-1]["end"] is None and one["metadata"]["offset"] == "0"
+
+
+def test_tags(spark):
+    cases = {"[00:00.5]": 500, "[00:01.12]": 1120, "<12:34.123456>": 754123, "[100:00.00]": 6000000, "[00:07]": 7000}
+    rows = spark.createDataFrame(list(cases.items()), "t string, ms long").select("t", tag_ms(F.col("t")).alias("got"), ms_tag(F.col("ms")).alias("back"), tag_ms(ms_tag(F.col("ms"))).alias("again"))
+    for r in rows.collect():
+        assert r.got == r.again == cases[r.t]
+
+
+def test_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.lrc").write_text("[00:01.00]日本\n\n[00:02.00]b", encoding="utf-8")
+    assert [x.content[0].content for x in parse_lrc(read_lrc(spark, str(tmp_path))).orderBy("line_no").collect()] == ["日本", "b"]
+
+
+def test_responses(spark):
+    service = json.dumps({"words": [{"text": "a", "start_time": 1.001, "end_time": 2.0}, {"text": "b", "start_time": 0.1, "end_time": None}]})
+    case = json.dumps({"words": [{"word": "a", "case": "success", "start": 0.5, "end": 0.75}, {"word": "b", "case": "not-found-in-audio"}]})
+    row = spark.createDataFrame([(service, case)], "s string, c string").select(service_words(F.col("s")).alias("s"), case_words(F.col("c")).alias("c")).first()
+    assert [tuple(w) for w in row.s] == [("a", 1000, 2000), ("b", 100, None)]
+    assert [tuple(w) for w in row.c] == [("a", 500, 750), ("b", None, None)]
+
+
+def test_batch_request(spark):
+    df = spark.createDataFrame([(["x", "y"], ["1", "2"], ["en"]), (["x"], ["1"], ["ja", "zh"])], "a array<string>, t array<string>, l array<string>")
+    got = df.select(batch_request(F.col("a"), F.col("t"), F.col("l")).alias("r")).collect()
+    assert [tuple(x) for x in got[0].r] == [("x", "1", "en"), ("y", "2", "en")] and [tuple(x) for x in got[1].r] == [("x", "1", "ja")]
+    wrong = spark.createDataFrame([(["x"], ["1", "2"], ["en"])], "a array<string>, t array<string>, l array<string>")
+    with pytest.raises(Exception, match="differ"):
+        wrong.select(batch_request(F.col("a"), F.col("t"), F.col("l")).alias("r")).collect()
