@@ -248,3 +248,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.size("items") > 0).alias("contaminated"),
     )
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+SQL = f"""
+WITH b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+i AS (SELECT item_id, least(len(ws), 10) AS k, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i:i + least(len(ws), 10) - 1], ' '))) AS window_text
+      FROM b WHERE len(ws) > 0),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS pos FROM d, (SELECT DISTINCT k FROM i)),
+h AS MATERIALIZED (SELECT DISTINCT doc_id, pos, g.k, item_id FROM g JOIN i ON g.k = i.k AND array_to_string(ws[pos:pos + g.k - 1], ' ') = i.window_text),
+p AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS w FROM h) GROUP BY 1),
+t AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM h GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""

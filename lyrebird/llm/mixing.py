@@ -66,7 +66,8 @@ def source_targets(
 
 def copies_taken(doc_id: Column, rate: Column, seed: int = SEED) -> Column:
     """floor(rate), and one more with the probability of the fraction."""
-    number = F.pmod(F.xxhash64(F.lit(seed).cast("long"), doc_id), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    digest = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), "UTF-8"))
+    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     whole = F.floor(rate)
     return (whole + F.when(number < rate - whole, 1).otherwise(0)).cast("long")
 
@@ -104,3 +105,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, cap / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM w),
+k AS (SELECT *, (total - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM l
+      WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, (ratio, source)) FROM k WHERE ratio >= level), 'inf'::DOUBLE) * weight) AS target FROM k),
+r AS (SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+             CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS number
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies
+FROM (SELECT *, CAST(floor(rate) + CASE WHEN number < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM r)"""

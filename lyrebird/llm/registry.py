@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lyrebird.llm import decontamination, jaccard, mixing, repeats
 from lyrebird.llm.decontamination import op2_decontamination
 from lyrebird.llm.extraction import op7_extraction
 from lyrebird.llm.jaccard import op1_jaccard
@@ -30,4 +31,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_jaccard": jaccard.SQL,
+        "op2_decontamination": decontamination.SQL,
+        "op3_source_mix": mixing.SQL,
+        "op8_repeated_passages": repeats.SQL,
+    }

@@ -33,6 +33,8 @@ PHRASE = 8
 PART_BYTES = 2 << 20
 #: documents of a shard, about
 SHARD_DOCS = 1000
+#: documents of a part of a shard, about; each part compiles its own automata
+PART_DOCS = 250
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -207,7 +209,9 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRAS
     held = likely_in(docs, marked, then=_keyed, schema="doc_id long, key long, text string").join(marked, ["doc_id", "key"])
     shard = F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int")
     held = staged(held.withColumn("shard", shard).dropDuplicates(["doc_id", "key"]), "repeats-held")
-    routed = held.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("shard", "first", "doc_id")
+    sizes = held.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART_DOCS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    routed = held.join(sizes, "shard").withColumn("part", part).repartition("shard", "part").sortWithinPartitions("shard", "part", "first", "doc_id")
     windows = routed.mapInArrow(_windows(window, phrase), "doc_id long, key long, start int, w1 long, w2 long")
     windows = staged(windows, "repeats-windows")
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
@@ -230,3 +234,15 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRAS
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS pos FROM d WHERE len(ws) >= 50),
+w AS MATERIALIZED (SELECT doc_id, pos, md5(array_to_string(ws[pos:pos + 49], ' ')) AS h FROM g),
+f AS (SELECT h, min(doc_id) AS first FROM w GROUP BY 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS p FROM w JOIN f USING (h) WHERE doc_id > first),
+r AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ws[i]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)"""
