@@ -100,10 +100,11 @@ def ms_tag(ms: Column, left: str = "[", right: str = "]") -> Column:
 
 
 def render_line(start: Column, end: Column, content: Column, bracket: bool = True) -> Column:
-    """One line of text: its start, its words with tags between them where times differ, and its end if it has one."""
+    """One line of text: its start, its words with tags between them, and its end if it has one and any text."""
     left, right = ("[", "]") if bracket else ("<", ">")
     word = F.transform(content, lambda w, i: F.concat(F.when(i > 0, ms_tag(w["start"], left, right)).otherwise(F.lit("")), w["content"]))
-    return F.concat(ms_tag(start), F.array_join(word, ""), ms_tag(end, left, right))
+    text = F.array_join(word, "")
+    return F.concat(ms_tag(start), text, F.when(text != "", ms_tag(end, left, right)).otherwise(F.lit("")))
 
 
 def render_lrc(lines: DataFrame, bracket: bool = True) -> DataFrame:
