@@ -23,7 +23,10 @@ LEAST_QUALITY = 0.5
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes; it learns from the labels of those it may learn from."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, score="_score").where(F.col("_score") >= LEAST_QUALITY).drop("_score")
+    score = "_score"
+    while score in docs.columns:
+        score += "_"
+    return score_quality(docs, model, score=score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def _coordinates(docs: DataFrame) -> DataFrame:
     text first, so that copies stay neighbours, then by id, so that a cut can
     pass through any number of them.
     """
-    data = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     kept = docs.select("doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), "source", "lang")
     tie = F.shiftleft(F.col("text_crc32").bitwiseAND(F.lit((1 << 9) - 1)), 9) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 9))
     high = BITS - _TIE

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from lyrebird.llm.words import text_blocks
 from lyrebird.staging import table
@@ -200,7 +201,7 @@ def media_columns(docs: DataFrame, blobs: bool = True, to: int = OUT_RATE, codec
         f"doc_id {kind.simpleString()}, n_bytes long, codec string, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, feature string" + (", media binary, pcm binary" if blobs else "")
     )
-    data = docs.select("doc_id", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("data"))
+    data = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
     return data.mapInArrow(_store_and_read(to_arrow_type(kind), blobs, to, codecs), schema)
 
 
@@ -220,7 +221,8 @@ def decode_media(rows: DataFrame, media: str = "media", to: int = OUT_RATE) -> D
 
     fields = [f for f in rows.schema.fields if f.name not in ("codec", "pcm")]
     kept = rows.select(*[f.name for f in fields])
-    return kept.mapInArrow(run, kept.schema.add("codec", "string").add("pcm", "binary"))
+    schema = StructType([*fields, StructField("codec", StringType()), StructField("pcm", BinaryType())])
+    return kept.mapInArrow(run, schema)
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
