@@ -6,7 +6,7 @@ import hashlib
 import re
 
 import pytest
-from conftest import COLUMNS, outcome
+from awkward import COLUMNS, outcome
 
 from lyrebird.llm import decontamination as D
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import COLUMNS, outcome, words_of
+from awkward import COLUMNS, outcome, words_of
 from pyspark.sql import functions as F
 
 from lyrebird.llm import mixing

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import COLUMNS
+from awkward import COLUMNS
 from pyspark.sql import functions as F
 
 from lyrebird.llm import quality

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
-from conftest import COLUMNS, corpus, outcome, words_of
+from awkward import COLUMNS, corpus, outcome, words_of
 
 from lyrebird.llm.repeats import repeated_passages
 

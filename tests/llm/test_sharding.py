@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from conftest import COLUMNS, corpus, outcome
+from awkward import COLUMNS, corpus, outcome
 
 from lyrebird.llm.sharding import kd_shards
 

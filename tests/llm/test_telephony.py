@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import outcome
+from awkward import outcome
 
 from lyrebird.llm import telephony as T
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from conftest import outcome, words_of
+from awkward import outcome, words_of
 
 from lyrebird.llm.wordpieces import PIECES, START, LongestMatch, load_pieces, token_counts
 
