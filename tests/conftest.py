@@ -21,7 +21,8 @@ def spark():
     scratch = tempfile.mkdtemp(prefix="spark-")
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "3")
+        .config("spark.sql.codegen.wholeStage", "false")  # tables are small: compiling takes longer than running
         .config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
