@@ -131,6 +131,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, fine: float = FINE) -> Data
         moves += [(n, 0, "0L", n, n) for n, k in nodes.items() if k == 1]
         rows = rows.join(_values(docs.sparkSession, "node, dim, cut, a, b", moves), "node")
         rows = rows.withColumn("node", F.when(_coordinate() < F.col("cut"), F.col("a")).otherwise(F.col("b"))).drop("dim", "cut", "a", "b")
+        rows = staged(rows, "kd-level")  # else the plan of a level holds those of all before
     names = _values(docs.sparkSession, "node, shard", [(n, first_shard[n]) for n in nodes])
     return _slots(rows.join(names, "node").select("doc_id", "size", "text_crc32", "shard"), "shard")
 
