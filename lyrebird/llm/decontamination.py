@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,8 @@ def _shingle_counts(shared):
 
 
 def _find(shared, schema: pa.Schema):
+    """Rows with their words and hits; schema has the columns to keep before n_words, spans and items."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, prefixes = shared.value
         bits = {k: _bits(p[0]) for k, p in prefixes.items()}
@@ -130,8 +133,9 @@ def _find(shared, schema: pa.Schema):
                     start = where[own] - block.bounds[r]
                     spans.append(np.stack([start, start + windows.lengths[what[own]]], 1).ravel() if len(own) else [])
                     items.append(sorted({i for w in set(what[own].tolist()) for i in windows.items[w]}))
+                kept = [batch[c].slice(block.first_row, block.rows) for c in schema.names[:-3]]
                 yield pa.record_batch(
-                    [batch["doc_id"].slice(block.first_row, block.rows), pa.array(block.counts), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
+                    [*kept, pa.array(block.counts), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                     schema=schema,
                 )
 
@@ -166,29 +170,37 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     the other; items the ids, as strings, of the items that occur, sorted.  A
     null or empty text has no words and no hits; items without words have no
     window; of repeated items each id counts.  Rows without an item_id are passed
-    over.  Windows that several items share are looked for once.  The windows go
-    to the tasks in passes of at most block_windows; where there is more than one
-    pass the passes' results are joined row by row, so doc_id must then be unique.
+    over.  Windows that several items share are looked for once.  Ids may repeat or
+    be null.  The windows go to the tasks in passes of about block_windows; where
+    there is more than one pass the rows are numbered and written once, and the
+    hits of a row are put together by its number.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = next(f for f in docs.schema.fields if f.name == "doc_id").dataType
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-    out = None
-    for shared in _passes(docs, benchmark, window, shingle, block_windows):
-        hits = docs.mapInArrow(_find(shared, schema), f"doc_id {kind.simpleString()}, n_words long, spans array<long>, items array<string>")
-        if out is None:
-            out = hits
-        else:
-            more = hits.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("items").alias("_items"))
-            out = out.join(more, F.col("doc_id").eqNullSafe(F.col("_id"))).select(
-                "doc_id", "n_words", F.concat("spans", "_spans").alias("spans"), F.array_sort(F.array_union("items", "_items")).alias("items")
-            )
-    return out
+    found, passes = _benchmark_windows(benchmark, window, block_windows)
+    keep, ddl = [("doc_id", to_arrow_type(kind))], f"doc_id {kind.simpleString()}"
+    if passes > 1:
+        docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "benchmark-rows").select("row", "doc_id", "text")
+        keep, ddl = [("row", pa.int64()), *keep], f"row long, {ddl}"
+    schema = pa.schema([*keep, ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    parts = []
+    for part, shared in enumerate(_passes(docs, found, passes, shingle)):
+        hits = docs.mapInArrow(_find(shared, schema), f"{ddl}, n_words long, spans array<long>, items array<string>")
+        if passes == 1:
+            return hits
+        # the first pass has every row, the others those with hits; written, so that a task holds the windows of one pass
+        hits = hits if part == 0 else hits.where(F.size("items") > 0)
+        parts.append(staged(hits.withColumn("part", F.lit(part)), "benchmark-hits"))
+    whole = reduce(DataFrame.union, parts).groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("part", "spans", "items"))).alias("hits")
+    )
+    return whole.select(
+        "doc_id", "n_words", F.flatten("hits.spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten("hits.items"))).alias("items")
+    )
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_windows: int) -> Iterator:
-    """Of each pass the windows and their prefixes, broadcast; one pass with none for a benchmark without words."""
-    spark = docs.sparkSession
+def _benchmark_windows(benchmark: DataFrame, window: int, block_windows: int) -> tuple[DataFrame, int]:
+    """The windows with their items, and in how many passes they are taken; one for a benchmark without words."""
     found = (
         benchmark.where(F.col("item_id").isNotNull())
         .select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -197,7 +209,12 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, bl
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.first("key").alias("key"))
     )
     found = staged(found, "benchmark-windows")
-    passes = max(1, -(-found.count() // block_windows))
+    return found, max(1, -(-found.count() // block_windows))
+
+
+def _passes(docs: DataFrame, found: DataFrame, passes: int, shingle: int) -> Iterator:
+    """Of each pass the windows and their prefixes, broadcast."""
+    spark = docs.sparkSession
     for part in range(passes):
         rows = found.where(F.pmod("key", F.lit(passes)) == part).sort("key").collect()
         windows = _Windows([np.array(r["words"], np.int64) for r in rows], [r["items"] for r in rows], shingle)
@@ -233,7 +250,7 @@ def _without_hits(shared):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of docs, with all their columns, in whose text no window of the benchmark occurs."""
-    for shared in _passes(docs, benchmark, window, shingle, block_windows):
+    for shared in _passes(docs, *_benchmark_windows(benchmark, window, block_windows), shingle):
         docs = docs.mapInArrow(_without_hits(shared), docs.schema)
     return docs
 

@@ -63,6 +63,12 @@ def test_several_passes(spark, rows, benchmark, items):
     assert outcome(digest(D.benchmark_hits(docs, benchmark, block_windows=7))) == brute(once, items)
 
 
+def test_several_passes_of_repeated_and_null_ids(docs, odd_docs, no_docs, benchmark, rows, items):
+    assert outcome(digest(D.benchmark_hits(docs, benchmark, block_windows=7))) == brute(rows, items)
+    assert outcome(digest(D.benchmark_hits(odd_docs, benchmark, block_windows=7))) == brute(rows, items)
+    assert D.benchmark_hits(no_docs, benchmark, block_windows=7).count() == 0
+
+
 def test_odd_tables(docs, odd_docs, no_docs, benchmark, rows, items):
     none = benchmark.where("false")
     assert D.benchmark_hits(no_docs, benchmark).count() == 0
