@@ -5,10 +5,12 @@ block elements around it.  Over the pages of one host every path has an
 occurrence vector: how often each page has it.  Paths of equal vectors form an
 equivalence class.  The classes that most pages have, and that nest in each
 other, are the host's template; the text between template elements lies in
-slots.  Slots whose text is the same on all pages, is mostly links, or stands in
-a menu, header, footer, sidebar, notice, advert, form or among reader comments
-are no content; the article is what the other slots share as their innermost
-template element, or an article or main element where pages have one.
+slots.  The template decides first: slots whose text is the same on all pages or
+is mostly links are no content, and the article is the innermost single template
+element with most of the text of the other slots.  Names and roles of elements
+only trim what varies inside it: adverts, comments, forms.  Pages without a
+template, or without its article, are judged by article and main elements and by
+names alone.
 
 The vectors are never gathered: Spark sums a hash of (page, count) for each host
 and path, so that a host may have any number of pages.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +39,8 @@ SUPPORT = 0.5
 RARE = 0.05
 #: the article holds this share of the text that may be content
 COVER = 0.7
+#: an article no deeper than this, in html and body, is the whole page
+_OUTER = 2
 #: templates of so many bytes are sent to all tasks; more are joined by host
 BROADCAST_BYTES = 32 << 20
 
@@ -44,6 +48,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript iframe template svg math object video audio canvas textarea title select".split())
 _DROPPED = frozenset("head nav footer aside form menu button dialog fieldset datalist".split())
+#: these hold parts of an article, not all of it
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _NOISE = re.compile(
     r"^(?:ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|footers?|masthead|topbar|toolbar"
@@ -57,7 +63,7 @@ _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)|^//([^/?#:]*)"
 
 
 class Run:
-    """A piece of text: its path, block number and whether it is linked, noise or in an article."""
+    """A piece of text: its path, block number, whether it is linked, the path of its innermost noise element ("" if in none), and whether it is in an article."""
 
     __slots__ = ("path", "text", "block", "linked", "noise", "article")
 
@@ -92,7 +98,7 @@ def read_page(page: str) -> tuple[list[Run], dict[str, int]]:
     runs: list[Run] = []
     counts = {"": 1}
     # of each open element: name, path, inline, linked, noise, article
-    stack = [("", "", False, False, False, False)]
+    stack = [("", "", False, False, "", False)]
     block = at = 0
 
     def text(piece: str) -> None:
@@ -141,7 +147,7 @@ def read_page(page: str) -> tuple[list[Run], dict[str, int]]:
         if not inline:
             path = f"{path}/{label}"
             counts[path] = counts.get(path, 0) + 1
-        stack.append((name, path, inline, linked or name == "a", was_noise or noise, article or main))
+        stack.append((name, path, inline, linked or name == "a", f"{path}/~" if noise and inline else path if noise else was_noise, article or main))
     text(page[at:] if not re.match(r"<[a-zA-Z/!?]", page[at : at + 2]) else "")
     return runs, counts
 
@@ -168,28 +174,31 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     texts.setdefault(run.path, []).append(run)
             for path, n in counts.items():
                 own = texts.get(path, ())
-                free = sum(len(r.text) for r in own if not r.noise and not r.linked)
-                seen = _hash(" ".join(r.text for r in own)) if own else -1
-                row = sums.setdefault((host, path), [0, 0, 0, 0, 1 << 63, -1, False, False])
+                free = sum(len(r.text) for r in own if not r.linked)
+                row = sums.setdefault((host, path), [0, 0, 0, 0, (1 << 63) - 1, -1, 0, 0])
                 row[0] = (row[0] + _hash(f"{page_id}\x00{url}\x00{n}")) & ((1 << 62) - 1)  # of the occurrence vector
                 row[1] += 1
                 row[2] += free
                 row[3] += sum(len(r.text) for r in own) - free
-                row[4], row[5] = min(row[4], seen), max(row[5], seen)
-                row[6] |= any(r.article for r in own)
+                if own:
+                    seen = _hash(" ".join(" ".join(r.text for r in own).split()))
+                    row[4], row[5] = min(row[4], seen), max(row[5], seen)
+                row[6] += bool(own)
+                row[7] = max(row[7], n)
         keys = list(sums)
         yield pa.record_batch({
             "host": pa.array([k[0] for k in keys], pa.string()), "path": pa.array([k[1] for k in keys], pa.string()),
-            **{c: pa.array([min(sums[k][i], (1 << 63) - 1) for k in keys], pa.int64()) for i, c in enumerate(("vector", "pages", "free", "other", "low", "high"))},
-            "article": pa.array([sums[k][6] for k in keys], pa.bool_()),
+            **{c: pa.array([sums[k][i] for k in keys], pa.int64()) for i, c in enumerate(_SUMS)},
         })
 
 
-_PATHS = "host string, path string, vector long, pages long, free long, other long, low long, high long, article boolean"
+#: of each path of a host: hash of the vector, pages, length of text outside and inside links, least and largest hash of a page's text, pages with text, most times on a page
+_SUMS = ("vector", "pages", "free", "linked", "low", "high", "filled", "most")
+_PATHS = "host string, path string, " + ", ".join(f"{c} long" for c in _SUMS)
 
 
-def deduce(paths: pd.DataFrame) -> str | None:
-    """The path of the article in the template of one host, of its paths with their sums; None if there is no template."""
+def deduce(paths: pd.DataFrame) -> tuple[str, list[str]] | None:
+    """The path of the article in the template of one host and its slots that are no content, of the host's paths with their sums; None if there is no template."""
     pages = int(paths.loc[paths.path == "", "pages"].max()) if (paths.path == "").any() else 0
     if pages < 2:
         return None
@@ -201,33 +210,47 @@ def deduce(paths: pd.DataFrame) -> str | None:
     for members in sorted(classes, key=lambda m: (m[0].count("/"), m[0])):
         nested = [p for p in members if p == "" or p.rpartition("/")[0] in template or p.rpartition("/")[0] in members]
         template.update(nested)  # members that hang in no template element make the class invalid there
-    content = paths[(paths.low != paths.high) | (paths.pages < 2)]
+    often = paths.path.isin(template) & (paths.filled >= max(2, SUPPORT * pages))
+    title = paths.path.str.rpartition("/")[2].str.match(r"h[1-6](?:\.|$)")
+    dull = often & ((paths.low == paths.high) | ((paths.linked > paths.free) & ~title))
+    content = paths[~dull]
     total = content.free.sum()
     if not total:
         return None
+    single = set(paths.path[(paths.most == 1) & ~paths.path.str.rpartition("/")[2].str.split(".").str[0].isin(_TEXT)])
     best = ""
-    for path in sorted(template, key=lambda p: (-p.count("/"), p)):
+    for path in sorted(template & single, key=lambda p: (-p.count("/"), p)):
         under = content.path.eq(path) | content.path.str.startswith(path + "/")
         if content.free[under].sum() >= COVER * total:
             best = path
             break
-    return best
+    parts = best.split("/")  # a title may stand beside most of the text, in the same article
+    for depth in range(len(parts) - 1, 0, -1):
+        if parts[depth].split(".")[0] in ("article", "main") and "/".join(parts[: depth + 1]) in single:
+            best = "/".join(parts[: depth + 1])
+            break
+    return best, sorted(paths.path[dull & (paths.path.eq(best) | paths.path.str.startswith(best + "/"))])
 
 
 def _templates(host: pd.DataFrame) -> pd.DataFrame:
-    found = deduce(host)
-    return pd.DataFrame({"host": host.host.iloc[:1], "main": [found]})
+    main, dull = deduce(host) or (None, None)
+    return pd.DataFrame({"host": host.host.iloc[:1].tolist(), "main": [main], "dull": [dull]})
 
 
-def main_text(page: str, main: str | None) -> str:
-    """The blocks of the article of a page; main is its path in the host's template."""
+def main_text(page: str, main: str | None, dull: Iterable[str] = ()) -> str:
+    """The blocks of the article of a page; main is its path in the host's template, dull the slots there that are no content."""
     runs, _ = read_page(page)
-    own = [r for r in runs if not r.noise]
-    chosen = [r for r in own if r.article]
-    if not any(r.text.strip() for r in chosen) and main:
-        chosen = [r for r in own if r.path == main or r.path.startswith(main + "/")]
+    chosen = []
+    if main is not None:
+        below, dull = main + "/", frozenset(dull)
+        chosen = [r for r in runs if (r.path == main or r.path.startswith(below)) and r.path not in dull and not r.noise.startswith(below)]
+        if main.count("/") <= _OUTER and any(r.article and r.text.strip() for r in chosen):
+            chosen = [r for r in chosen if r.article]  # the template tells no more than the whole page
     if not any(r.text.strip() for r in chosen):
-        chosen = own
+        own = [r for r in runs if not r.noise]
+        chosen = [r for r in own if r.article]
+        if not any(r.text.strip() for r in chosen):
+            chosen = own
     blocks: dict[int, list[str]] = {}
     for run in chosen:
         blocks.setdefault(run.block, []).append(run.text)
@@ -239,8 +262,8 @@ def _extract(kind: pa.DataType, shared=None):
         known = shared.value if shared else None
         for batch in batches:
             urls, pages = batch["url"].to_pylist(), batch["html"].to_pylist()
-            mains = [known.get(host_of(u)) for u in urls] if shared else batch["main"].to_pylist()
-            texts = [main_text(p or "", m) for p, m in zip(pages, mains, strict=True)]
+            mains = [known.get(host_of(u), (None, ())) for u in urls] if shared else zip(batch["main"].to_pylist(), batch["dull"].to_pylist(), strict=True)
+            texts = [main_text(p or "", m, d or ()) for p, (m, d) in zip(pages, mains, strict=True)]
             yield pa.record_batch({
                 "page_id": batch["page_id"].cast(kind), "url": batch["url"], "text": pa.array(texts, pa.string()),
                 "n_chars": pa.array([len(t) for t in texts], pa.int64()),
@@ -255,16 +278,16 @@ def _host(url: str) -> Column:
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """host, main: the path of the article in each host's template, null where one page or no content gives none."""
+    """host, main, dull: of each host's template the path of the article, null where one page or no content gives none, and its slots that are no content."""
     sums = pages.select("page_id", "url", "html").mapInArrow(_paths, _PATHS)
     by_path = sums.groupBy("host", "path").agg(
         F.expr("CAST(SUM(CAST(vector AS DECIMAL(38,0))) % 9223372036854775807 AS LONG)").alias("vector"),
-        *[F.sum(c).alias(c) for c in ("pages", "free", "other")], F.min("low").alias("low"), F.max("high").alias("high"), F.max("article").alias("article"),
+        *[F.sum(c).alias(c) for c in ("pages", "free", "linked", "filled")], F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most"),
     )
     by_path = staged(by_path, "html-paths")
     hosts = by_path.where("path = ''").select("host", F.col("pages").alias("of"))
     common = by_path.join(hosts, "host").where(F.col("pages") >= RARE * F.col("of")).drop("of")
-    return staged(common.groupBy("host").applyInPandas(_templates, "host string, main string"), "html-templates")
+    return staged(common.groupBy("host").applyInPandas(_templates, "host string, main string, dull array<string>"), "html-templates")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -280,12 +303,12 @@ def extracted(pages: DataFrame) -> DataFrame:
     schema = f"page_id {kind.simpleString()}, url string, text string, n_chars long"
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     templates = host_templates(pages).where("main IS NOT NULL")
-    size = templates.agg(F.sum(F.octet_length("host") + F.octet_length("main") + 100)).first()[0] or 0
+    size = templates.agg(F.sum(F.octet_length("host") + F.octet_length("main") + F.octet_length(F.concat_ws(" ", "dull")) + 50 * F.size("dull") + 100)).first()[0] or 0
     if size <= BROADCAST_BYTES:
-        known = {r["host"]: r["main"] for r in templates.collect()}
+        known = {r["host"]: (r["main"], tuple(r["dull"])) for r in templates.collect()}
         return pages.mapInArrow(_extract(to_arrow_type(kind), spark.sparkContext.broadcast(known)), schema)
     joined = pages.withColumn("_host", _host("url")).join(templates.withColumnRenamed("host", "_host"), "_host", "left")
-    return joined.select("page_id", "url", "html", "main").mapInArrow(_extract(to_arrow_type(kind)), schema)
+    return joined.select("page_id", "url", "html", "main", "dull").mapInArrow(_extract(to_arrow_type(kind)), schema)
 
 
 def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

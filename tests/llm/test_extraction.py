@@ -58,3 +58,20 @@ def test_many_templates_are_joined(spark, monkeypatch):
     plain = outcome(extracted(pages))
     monkeypatch.setattr(extraction, "BROADCAST_BYTES", -1)
     assert outcome(extracted(pages)) == plain
+
+
+def test_template_decides_before_article_tags(spark):
+    page = (
+        "<body><div class=wrap><article><h1>title {0}</h1><div class=box>We use the same words everywhere, share this</div><p>story {0} goes on and on</p><p>and ends {0}</p>"
+        "<ul class=more><li><a href=/x{0}>more of {0}</a></ul><div class=comments><p>nice {0}</p></div></article></div><div class=ad>buy {0}</div></body>"
+    )
+    odd = "<body><div class=wrap><article><p>tale</p></article></div></body>"
+    named = "<body><p>top {0}</p><div class=social-studies><h1>t {0}</h1><p>lesson {0} is long enough to be an article, with some more words</p></div></body>"
+    rows = [(i, f"http://a.org/{i}", page.format(i)) for i in range(30)] + [(50 + i, f"http://b.org/{i}", named.format(i) + "<p>x</p>" * (i % 2)) for i in range(5)]
+    rows += [(100 + i, "http://copies.org", page.format(7)) for i in range(2)] + [(200, "http://a.org", odd)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extracted(pages).collect()}
+    assert all(got[i] == f"title {i} story {i} goes on and on and ends {i}" for i in range(30))
+    assert all(got[50 + i].startswith(f"t {i} lesson {i} is long enough to be an article, with some more words") for i in range(5))
+    assert got[100] == got[101] and "story 7 goes on and on" in got[100]  # copies have no template
+    assert got[200] == "tale"
