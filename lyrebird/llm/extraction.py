@@ -1,7 +1,7 @@
 """Main text of web pages by templates deduced for each host.
 
 A page is read as elements; an element's path is the names and classes of the
-block elements around it.  Over the pages of one host every path has an
+block elements around it, without those that are on single pages of the host.  Over the pages of one host every path has an
 occurrence vector: how often each page has it.  Paths of equal vectors form an
 equivalence class.  The classes that most pages have, and that nest in each
 other, are the host's template; the text between template elements lies in
@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -35,7 +36,7 @@ from lyrebird.staging import staged, table
 
 #: a template element is on this share of a host's pages
 SUPPORT = 0.5
-#: paths rarer than this on a host are not looked at
+#: paths rarer than this on a host are no template elements, words rarer no part of labels; their text counts for the elements around them
 RARE = 0.05
 #: the article holds this share of the text that may be content
 COVER = 0.7
@@ -72,8 +73,8 @@ class Run:
 
 
 @lru_cache(1 << 14)
-def _label(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """Label for the path, whether the element is noise, and whether it is a main one."""
+def _label(name: str, attrs: str) -> tuple[list[str], bool, bool]:
+    """Words of class and id, whether the element is noise, and whether it is a main one."""
     noise, main, words = name in _DROPPED, name in ("article", "main"), []
     for key, *values in _ATTR.findall(attrs) if attrs else ():
         key, value = key.lower(), "".join(values).lower()
@@ -89,12 +90,12 @@ def _label(name: str, attrs: str) -> tuple[str, bool, bool]:
         if parts[0] in ("no", "has", "with", "without"):  # tells of another element
             continue
         noise = noise or any(_NOISE.match(p) for p in (word, parts[0], parts[-1])) or (bool(_HEADS.match(word)) and name != "article")
-    tidy = sorted({re.sub(r"\d+", "#", w) for w in words if w})
-    return ".".join([name, *tidy[:4]]), noise, main and not noise
+    tidy = sorted({re.sub(r"\d+", "#", w).replace("/", "|") for w in words if w})
+    return tidy, noise, main and not noise
 
 
-def read_page(page: str) -> tuple[list[Run], dict[str, int]]:
-    """The runs of text of a page, and how often it has each path."""
+def read_page(page: str, words: frozenset[str] | None = None) -> tuple[list[Run], dict[str, int]]:
+    """The runs of text of a page, and how often it has each path; of class and id only words count for labels, or all if None."""
     runs: list[Run] = []
     counts = {"": 1}
     # of each open element: name, path, inline, linked, noise, article
@@ -140,12 +141,12 @@ def read_page(page: str) -> tuple[list[Run], dict[str, int]]:
                     break
                 if not stack[depth][2]:
                     break
-        label, noise, main = _label(name, attrs)
+        own_words, noise, main = _label(name, attrs)
         _, path, _, linked, was_noise, article = stack[-1]
         if name == "header":
             noise = noise or not article
         if not inline:
-            path = f"{path}/{label}"
+            path = "/".join([path, ".".join([name, *[w for w in own_words if words is None or w in words][:4]])])
             counts[path] = counts.get(path, 0) + 1
         stack.append((name, path, inline, linked or name == "a", f"{path}/~" if noise and inline else path if noise else was_noise, article or main))
     text(page[at:] if not re.match(r"<[a-zA-Z/!?]", page[at : at + 2]) else "")
@@ -161,39 +162,74 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value) >> 1
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, url, html -> host, path and sums over pages."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """url, html -> host, word and the number of pages that have it in a class or id; the word "" counts all."""
     for batch in batches:
-        sums: dict[tuple[str, str], list] = {}
-        for page_id, url, page in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            host = host_of(url)
-            runs, counts = read_page(page or "")
-            texts: dict[str, list] = {}
-            for run in runs:
-                if run.text.strip():
-                    texts.setdefault(run.path, []).append(run)
-            for path, n in counts.items():
-                own = texts.get(path, ())
-                free = sum(len(r.text) for r in own if not r.linked)
-                row = sums.setdefault((host, path), [0, 0, 0, 0, (1 << 63) - 1, -1, 0, 0])
-                row[0] = (row[0] + _hash(f"{page_id}\x00{url}\x00{n}")) & ((1 << 62) - 1)  # of the occurrence vector
-                row[1] += 1
-                row[2] += free
-                row[3] += sum(len(r.text) for r in own) - free
-                if own:
-                    seen = _hash(" ".join(" ".join(r.text for r in own).split()))
-                    row[4], row[5] = min(row[4], seen), max(row[5], seen)
-                row[6] += bool(own)
-                row[7] = max(row[7], n)
-        keys = list(sums)
+        pages: dict[tuple[str, str], int] = {}
+        for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
+            host, found = host_of(url), {""}
+            for tag in _TAG.finditer(page or ""):
+                if attrs := tag.group(3) or tag.group(6):
+                    found.update(_label((tag.group(2) or tag.group(5)).lower(), attrs)[0])
+            for word in found:
+                pages[host, word] = pages.get((host, word), 0) + 1
         yield pa.record_batch({
-            "host": pa.array([k[0] for k in keys], pa.string()), "path": pa.array([k[1] for k in keys], pa.string()),
-            **{c: pa.array([sums[k][i] for k in keys], pa.int64()) for i, c in enumerate(_SUMS)},
+            "host": pa.array([h for h, _ in pages], pa.string()), "word": pa.array([w for _, w in pages], pa.string()), "pages": pa.array(pages.values(), pa.int64()),
         })
 
 
-#: of each path of a host: hash of the vector, pages, length of text outside and inside links, least and largest hash of a page's text, pages with text, most times on a page
-_SUMS = ("vector", "pages", "free", "linked", "low", "high", "filled", "most")
+def _paths(shared=None):
+    """page_id, url, html (and words) -> host, path and sums over pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value if shared else None
+        for batch in batches:
+            yield _path_sums(batch, known)
+
+    return run
+
+
+def _path_sums(batch: pa.RecordBatch, known: dict | None) -> pa.RecordBatch:
+    sums: dict[tuple[str, str], list] = {}
+    urls = batch["url"].to_pylist()
+    words = [known.get(host_of(u), ((),))[0] for u in urls] if known is not None else batch["words"].to_pylist()
+    for page_id, url, page, common in zip(batch["page_id"].to_pylist(), urls, batch["html"].to_pylist(), words, strict=True):
+        host = host_of(url)
+        runs, counts = read_page(page or "", frozenset(common or ()))
+        texts: dict[str, list] = {}
+        for run in runs:
+            if run.text.strip():
+                texts.setdefault(run.path, []).append(run)
+        under = dict.fromkeys(counts, 0)
+        for path, own in texts.items():
+            free = sum(len(r.text) for r in own if not r.linked)
+            while free and path:
+                under[path] += free
+                path = path.rpartition("/")[0]
+            under[""] += free
+        for path, n in counts.items():
+            own = texts.get(path, ())
+            free = sum(len(r.text) for r in own if not r.linked)
+            row = sums.setdefault((host, path), [0, 0, 0, 0, (1 << 63) - 1, -1, 0, 0, 0])
+            row[0] = (row[0] + _hash(f"{page_id}\x00{url}\x00{n}")) & ((1 << 62) - 1)  # of the occurrence vector
+            row[1] += 1
+            row[2] += free
+            row[3] += sum(len(r.text) for r in own) - free
+            if own:
+                seen = _hash(" ".join(" ".join(r.text for r in own).split()))
+                row[4], row[5] = min(row[4], seen), max(row[5], seen)
+            row[6] += bool(own)
+            row[7] = max(row[7], n)
+            row[8] += under[path]
+    keys = list(sums)
+    return pa.record_batch({
+        "host": pa.array([k[0] for k in keys], pa.string()), "path": pa.array([k[1] for k in keys], pa.string()),
+        **{c: pa.array([sums[k][i] for k in keys], pa.int64()) for i, c in enumerate(_SUMS)},
+    })
+
+
+#: of each path of a host: hash of the vector, pages, length of text outside and inside links, least and largest hash of a page's text, pages with text, most times on a page, free text of all that is in it
+_SUMS = ("vector", "pages", "free", "linked", "low", "high", "filled", "most", "under")
 _PATHS = "host string, path string, " + ", ".join(f"{c} long" for c in _SUMS)
 
 
@@ -213,15 +249,17 @@ def deduce(paths: pd.DataFrame) -> tuple[str, list[str]] | None:
     often = paths.path.isin(template) & (paths.filled >= max(2, SUPPORT * pages))
     title = paths.path.str.rpartition("/")[2].str.match(r"h[1-6](?:\.|$)")
     dull = often & ((paths.low == paths.high) | ((paths.linked > paths.free) & ~title))
-    content = paths[~dull]
-    total = content.free.sum()
-    if not total:
+    # what rare paths have is in the sums of the paths around them
+    left = {}
+    for path, under in zip(paths.path, paths.under, strict=True):
+        inside = dull & (paths.path.eq(path) | paths.path.str.startswith(path + "/"))
+        left[path] = under - paths.free[inside].sum()
+    if not left.get(""):
         return None
     single = set(paths.path[(paths.most == 1) & ~paths.path.str.rpartition("/")[2].str.split(".").str[0].isin(_TEXT)])
     best = ""
     for path in sorted(template & single, key=lambda p: (-p.count("/"), p)):
-        under = content.path.eq(path) | content.path.str.startswith(path + "/")
-        if content.free[under].sum() >= COVER * total:
+        if left[path] >= COVER * left[""]:
             best = path
             break
     parts = best.split("/")  # a title may stand beside most of the text, in the same article
@@ -237,9 +275,9 @@ def _templates(host: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": host.host.iloc[:1].tolist(), "main": [main], "dull": [dull]})
 
 
-def main_text(page: str, main: str | None, dull: Iterable[str] = ()) -> str:
-    """The blocks of the article of a page; main is its path in the host's template, dull the slots there that are no content."""
-    runs, _ = read_page(page)
+def main_text(page: str, main: str | None, dull: Iterable[str] = (), words: frozenset[str] | None = None) -> str:
+    """The blocks of the article of a page; main is its path in the host's template, dull the slots there that are no content, words those of labels."""
+    runs, _ = read_page(page, words)
     chosen = []
     if main is not None:
         below, dull = main + "/", frozenset(dull)
@@ -257,13 +295,17 @@ def main_text(page: str, main: str | None, dull: Iterable[str] = ()) -> str:
     return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks.values())))
 
 
+#: columns of a host's template
+_TEMPLATE = ("main", "dull", "words")
+
+
 def _extract(kind: pa.DataType, shared=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value if shared else None
         for batch in batches:
             urls, pages = batch["url"].to_pylist(), batch["html"].to_pylist()
-            mains = [known.get(host_of(u), (None, ())) for u in urls] if shared else zip(batch["main"].to_pylist(), batch["dull"].to_pylist(), strict=True)
-            texts = [main_text(p or "", m, d or ()) for p, (m, d) in zip(pages, mains, strict=True)]
+            own = [known.get(host_of(u), (None, (), ())) for u in urls] if shared else zip(*[batch[c].to_pylist() for c in _TEMPLATE], strict=True)
+            texts = [main_text(p or "", m, d or (), frozenset(w or ())) for p, (m, d, w) in zip(pages, own, strict=True)]
             yield pa.record_batch({
                 "page_id": batch["page_id"].cast(kind), "url": batch["url"], "text": pa.array(texts, pa.string()),
                 "n_chars": pa.array([len(t) for t in texts], pa.int64()),
@@ -277,17 +319,38 @@ def _host(url: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _for_pages(pages: DataFrame, by_host: DataFrame, *columns: str) -> tuple[DataFrame, Broadcast | None]:
+    """pages, and the columns of their hosts: broadcast, or joined to pages if large."""
+    size = by_host.agg(F.sum(F.octet_length(F.to_json(F.struct("host", *columns))) + 100)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return pages, pages.sparkSession.sparkContext.broadcast({r["host"]: tuple(r[c] for c in columns) for r in by_host.collect()})
+    joined = pages.withColumn("_host", _host("url")).join(by_host.select(F.col("host").alias("_host"), *columns), "_host", "left")
+    return joined.drop("_host"), None
+
+
+def common_words(pages: DataFrame) -> DataFrame:
+    """host, words: the words of classes and ids that are on RARE of a host's pages, and on two."""
+    counts = pages.select("url", "html").mapInArrow(_words, "host string, word string, pages long")
+    counts = staged(counts.groupBy("host", "word").agg(F.sum("pages").alias("pages")).where("pages > 1"), "html-words")
+    hosts = counts.where("word = ''").select("host", F.col("pages").alias("of"))
+    often = counts.where("word <> ''").join(hosts, "host").where(F.col("pages") >= RARE * F.col("of"))
+    return staged(often.groupBy("host").agg(F.sort_array(F.collect_set("word")).alias("words")), "html-common-words")
+
+
 def host_templates(pages: DataFrame) -> DataFrame:
-    """host, main, dull: of each host's template the path of the article, null where one page or no content gives none, and its slots that are no content."""
-    sums = pages.select("page_id", "url", "html").mapInArrow(_paths, _PATHS)
+    """host, main, dull, words: of each host's template, if it has one, the path of the article, its slots that are no content, and the words of labels."""
+    words = common_words(pages)
+    dealt, shared = _for_pages(pages.select("page_id", "url", "html"), words, "words")
+    sums = dealt.mapInArrow(_paths(shared), _PATHS)
     by_path = sums.groupBy("host", "path").agg(
         F.expr("CAST(SUM(CAST(vector AS DECIMAL(38,0))) % 9223372036854775807 AS LONG)").alias("vector"),
-        *[F.sum(c).alias(c) for c in ("pages", "free", "linked", "filled")], F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most"),
+        *[F.sum(c).alias(c) for c in ("pages", "free", "linked", "filled", "under")], F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most"),
     )
     by_path = staged(by_path, "html-paths")
     hosts = by_path.where("path = ''").select("host", F.col("pages").alias("of"))
     common = by_path.join(hosts, "host").where(F.col("pages") >= RARE * F.col("of")).drop("of")
-    return staged(common.groupBy("host").applyInPandas(_templates, "host string, main string, dull array<string>"), "html-templates")
+    found = common.groupBy("host").applyInPandas(_templates, "host string, main string, dull array<string>").where("main IS NOT NULL")
+    return staged(found.join(words, "host", "left"), "html-templates")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -298,17 +361,11 @@ def extracted(pages: DataFrame) -> DataFrame:
     rows are repeated.  An empty table gives no rows.  Other columns are left
     alone.
     """
-    spark = pages.sparkSession
     kind = next(f for f in pages.schema.fields if f.name == "page_id").dataType
     schema = f"page_id {kind.simpleString()}, url string, text string, n_chars long"
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    templates = host_templates(pages).where("main IS NOT NULL")
-    size = templates.agg(F.sum(F.octet_length("host") + F.octet_length("main") + F.octet_length(F.concat_ws(" ", "dull")) + 50 * F.size("dull") + 100)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        known = {r["host"]: (r["main"], tuple(r["dull"])) for r in templates.collect()}
-        return pages.mapInArrow(_extract(to_arrow_type(kind), spark.sparkContext.broadcast(known)), schema)
-    joined = pages.withColumn("_host", _host("url")).join(templates.withColumnRenamed("host", "_host"), "_host", "left")
-    return joined.select("page_id", "url", "html", "main", "dull").mapInArrow(_extract(to_arrow_type(kind)), schema)
+    dealt, shared = _for_pages(pages, host_templates(pages), *_TEMPLATE)
+    return dealt.mapInArrow(_extract(to_arrow_type(kind), shared), schema)
 
 
 def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

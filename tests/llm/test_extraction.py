@@ -75,3 +75,24 @@ def test_template_decides_before_article_tags(spark):
     assert all(got[50 + i].startswith(f"t {i} lesson {i} is long enough to be an article, with some more words") for i in range(5))
     assert got[100] == got[101] and "story 7 goes on and on" in got[100]  # copies have no template
     assert got[200] == "tale"
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_containers_named_after_their_page(spark, monkeypatch, joined):
+    from lyrebird.llm import extraction
+
+    if joined:
+        monkeypatch.setattr(extraction, "BROADCAST_BYTES", -1)
+    page = "<body><div class=w-1/2><div class=by>by {1} on day {0}</div><div id='post-{1}' class='{1} entry'><h1>title {1}</h1><p>story {1} goes on and on</p><{2}>and it ends with {1}</{2}></div></div></body>"
+    names = ["".join(chr(97 + int(d)) for d in f"{i:03}") for i in range(60)]
+    rows = [(i, f"http://h.org/{n}", page.format(i, n, "section" if i == 7 else "p")) for i, n in enumerate(names)]
+    got = {r.page_id: r.text for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"title {n} story {n} goes on and on and it ends with {n}" for i, n in enumerate(names))
+
+
+def test_text_of_rare_paths_counts(spark):
+    page = "<body><div class=w><div class=by>by {1}, day {0}</div><div class=x><{2}>story {1} goes on and on for many words and ends</{2}></div></div></body>"
+    kinds = ["section", "figure", "pre", "blockquote", "address", "center", *[f"x-{c}" for c in "abcdefghijklmnopqrstuvwxyz"]]
+    rows = [(i, f"http://h.org/{i}", page.format(i, f"name{i}", kinds[i % len(kinds)])) for i in range(64)]
+    got = {r.page_id: r.text for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"story name{i} goes on and on for many words and ends" for i in range(64))
