@@ -389,7 +389,7 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with the smallest id of each class of near duplicates, and of rows that repeat an id one; rows without an id stay."""
+    """docs with the smallest id of each class of near duplicates, and of rows that repeat an id the one whose text has the least digest; rows without an id stay."""
     away = jaccard_classes(docs)[0].where("doc_id <> component_id").select(F.col("doc_id").alias("_away")).distinct()
     away = staged(away, "jaccard-away")
     kept = docs.join(away, docs["doc_id"] == away["_away"], "left_anti")
@@ -397,7 +397,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     repeated = staged(repeated, "jaccard-repeated")
     once = kept.join(repeated, kept["doc_id"] == repeated["_away"], "left_anti")
     several = kept.join(repeated, kept["doc_id"] == repeated["_away"], "left_semi")
-    return once.union(several.dropDuplicates(["doc_id"]))
+    whole = F.struct(*several.columns)
+    least = several.groupBy("doc_id").agg(F.min_by(whole, F.struct(F.sha2(F.col("text").cast("binary"), 256), F.to_json(whole))).alias("_least"))
+    return once.union(least.select("_least.*"))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from awkward import COLUMNS, corpus, outcome, words_of
@@ -83,6 +85,13 @@ def test_deduplicated(docs, odd_docs, rows, no_docs):
     assert jaccard.deduplicated(no_docs).count() == 0
 
 
+def test_deduplicated_keeps_the_same_row_in_any_order(spark):
+    texts = {i: [" ".join(f"t{i}x{j}w{k}" for k in range(9)) for j in range(4)] for i in range(12)}
+    rows = [(i, t, "en", "s", 1) for i, own in texts.items() for t in own]
+    least = {i: min(own, key=lambda t: hashlib.sha256(t.encode()).hexdigest()) for i, own in texts.items()}
+    assert {r.doc_id: r.text for r in jaccard.deduplicated(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()} == least
+
+
 def test_tree_finds_all_that_the_bound_allows():
     rng = np.random.default_rng(0)
     points = rng.poisson(rng.uniform(0.5, 3, (150, 1)), (150, 64)).astype(np.uint16)
