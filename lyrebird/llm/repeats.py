@@ -2,19 +2,27 @@
 
 Every window of 50 words is represented by one phrase of 8 words in it: the one
 with the least hash.  Equal windows have equal phrases, so a window can recur
-only where its phrase does.  Phrases found in two documents or more are compiled
-into Aho-Corasick automata, one for each part of a shard; the documents that hold
-such phrases run through the automata of their shards, which finds every place
-where a phrase stands, word for word.  The windows around those places are
-compared by 128-bit hashes, and a word goes if a window over it also starts in a
-document with a smaller id.  Documents equal word for word are settled first, by
-the digest of their words.
+only where its phrase does.
+
+1. Confirm: phrases that represent windows of two documents or more recur.
+2. Compile: the recurring phrases are dealt to shards, a phrase to the shard of
+   its first document; that document gives its words, and each shard is one
+   Aho-Corasick automaton of bounded size.
+3. Locate: every document is streamed through the automata of all shards that
+   have a phrase of one of its windows, in as many tasks for a shard as its
+   documents ask for.  The automata find where the phrases stand, word for word.
+   A window comes forth from the one shard that has its phrase, so none is lost
+   and none comes twice.
+4. The windows around the places found are compared by 128-bit hashes, and a
+   word goes if a window over it also starts in a document with a smaller id.
+
+Documents equal word for word are settled first, by the digest of their words.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -29,12 +37,10 @@ from lyrebird.staging import staged, table
 
 WINDOW = 50
 PHRASE = 8
-#: bytes of text that share an automaton
-PART_BYTES = 2 << 20
-#: documents of a shard, about
-SHARD_DOCS = 1000
-#: documents of a part of a shard, about; each part compiles its own automata
-PART_DOCS = 250
+#: phrases of a shard's automaton, about; those of one document are together
+SHARD_PHRASES = 20_000
+#: bytes of text that one task streams through a shard's automaton; it compiles its own
+PART_BYTES = 16 << 20
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -45,18 +51,22 @@ def _row_words(block: Block, row: int) -> list[bytes]:
     return block.raw[block.offsets[row] : block.offsets[row + 1]].tobytes().split()
 
 
-def least_phrases(ids: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all phrases, and for each window that of its least."""
-    grams = gram_ids(ids, phrase)
-    span = window - phrase + 1
-    if len(grams) < span:
-        return grams, grams[:0]
-    least, have = grams, 1
+def _sliding_least(values: np.ndarray, span: int) -> np.ndarray:
+    """The least of every span consecutive values."""
+    if len(values) < span:
+        return values[:0]
+    least, have = values, 1
     while 2 * have <= span:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
     over = span - have
-    return grams, np.minimum(least[: len(least) - over], least[over:]) if over else least
+    return np.minimum(least[: len(least) - over], least[over:]) if over else least
+
+
+def least_phrases(ids: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all phrases, and for each window that of its least."""
+    grams = gram_ids(ids, phrase)
+    return grams, _sliding_least(grams, window - phrase + 1)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,63 +108,96 @@ def _survey(window: int, phrase: int):
     return run
 
 
-def _automaton(phrases: dict[bytes, int]):
+def _phrase_words(phrase: int):
+    """Documents with the recurring phrases that they are the first to have -> shard and the words of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in word_blocks(batch["text"], PLAIN):
+                own = batch.slice(block.first_row, block.rows)
+                shards, texts = [], []
+                for row, (known, shard) in enumerate(zip(own["phrases"], own["shard"].to_pylist(), strict=True)):
+                    words, grams = _row_words(block, row), gram_ids(block.ids[block.bounds[row] : block.bounds[row + 1]], phrase)
+                    wanted = np.flatnonzero(np.isin(grams, known.values.to_numpy().view(np.uint64)))
+                    once = wanted[np.unique(grams[wanted], return_index=True)[1]].tolist()
+                    texts += [b" ".join(words[p : p + phrase]) for p in once]
+                    shards += [shard] * len(once)
+                yield pa.record_batch({"shard": pa.array(shards, pa.int32()), "phrase": pa.array(texts, pa.binary())})
+
+    return run
+
+
+def _automaton(phrases: Iterable[bytes]):
+    """Finds the phrases in words with one space between them and at both ends."""
     out = ahocorasick.Automaton()
-    for text, phrase in phrases.items():
-        out.add_word(text.decode("latin-1"), (len(text), phrase))
+    for words in phrases:
+        out.add_word(f" {words.decode('latin-1')} ", len(words))
     out.make_automaton()
     return out
 
 
-def _located(automaton, words: list[bytes]) -> dict[int, list[int]]:
-    """phrase -> the words at which it starts."""
+def _located(automaton, words: list[bytes]) -> np.ndarray:
+    """The words at which phrases start."""
+    found = [end - size for end, size in automaton.iter(f" {b' '.join(words).decode('latin-1')} ")]
     starts = np.concatenate([[1], 1 + np.cumsum([len(w) + 1 for w in words])])
-    found: dict[int, list[int]] = {}
-    for end, (size, phrase) in automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")):
-        found.setdefault(phrase, []).append(int(np.searchsorted(starts, end - size + 2)))
-    return found
+    return np.searchsorted(starts, np.array(found, np.int64))
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], pa.RecordBatch, pa.RecordBatch]]:
+    """Of each shard and part in a batch its phrases and then its documents."""
+    shard, part = (batch[c].to_numpy() for c in ("shard", "part"))
+    edges = np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1])) + 1
+    edges = [0, *edges.tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own = batch.slice(a, b - a)
+        phrases = own["phrase"].is_valid()
+        yield (int(shard[a]), int(part[a])), own.filter(phrases), own.filter(pc.invert(phrases))
 
 
 def _windows(window: int, phrase: int):
-    """Documents with their recurring phrases -> doc_id, key, start and 128-bit hash of each window to compare."""
+    """Phrases and documents of each shard and part, phrases first -> doc_id, key, start and 128-bit hash of each window to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, phrases, automaton = None, set(), None
         for batch in batches:
-            for block in word_blocks(batch["text"], PLAIN, PART_BYTES):
-                known = batch["phrases"].slice(block.first_row, block.rows).to_pylist()
-                part = batch.slice(block.first_row, block.rows)
-                texts, phrases, hashes = [], {}, []
-                for row in range(block.rows):
-                    words, ids = _row_words(block, row), block.ids[block.bounds[row] : block.bounds[row + 1]]
-                    grams, least = least_phrases(ids, window, phrase)
-                    wanted = np.array(known[row], np.int64).view(np.uint64)
-                    for p in np.flatnonzero(np.isin(grams, wanted)).tolist():
-                        phrases.setdefault(b" " + b" ".join(words[p : p + phrase]) + b" ", int(grams[p]))
-                    texts.append(words)
-                    hashes.append((ids, least))
-                if not phrases:
+            for where, new, documents in _runs(batch) if batch.num_rows else ():
+                if where != here:
+                    here, phrases, automaton = where, set(), None
+                phrases.update(new["phrase"].to_pylist())
+                if not documents.num_rows or not phrases:
                     continue
-                automaton = _automaton(phrases)
-                at, start, one, two = [], [], [], []
-                for row in range(block.rows):
-                    ids, least = hashes[row]
-                    found = _located(automaton, texts[row])
-                    here = np.flatnonzero(np.isin(least, np.array(list(found), np.uint64)))
-                    if len(here):
-                        one.append(gram_ids(ids, window)[here])
-                        two.append(gram_ids(mix(ids + np.uint64(0x5851F42D4C957F2D)), window)[here])
-                        at.append(np.full(len(here), row))
-                        start.append(here)
-                if at:
-                    where = pa.array(np.concatenate(at))
-                    yield pa.record_batch({
-                        "doc_id": part["doc_id"].take(where), "key": part["key"].take(where), "start": pa.array(np.concatenate(start).astype(np.int32)),
-                        "w1": pa.array(signed(np.concatenate(one))), "w2": pa.array(signed(np.concatenate(two))),
-                    })
+                automaton = automaton or _automaton(phrases)
+                for block in word_blocks(documents["text"], PLAIN):
+                    yield from _block_windows(documents.slice(block.first_row, block.rows), block, automaton, window, phrase)
 
     return run
 
 
+def _block_windows(documents: pa.RecordBatch, block: Block, automaton, window: int, phrase: int) -> Iterator[pa.RecordBatch]:
+    at, start, one, two = [], [], [], []
+    for row in range(block.rows):
+        places = _located(automaton, _row_words(block, row))
+        if not len(places):
+            continue
+        ids = block.ids[block.bounds[row] : block.bounds[row + 1]]
+        grams, least = least_phrases(ids, window, phrase)
+        found = np.full(len(grams), np.iinfo(np.uint64).max, np.uint64)
+        found[places] = grams[places]
+        # windows whose least phrase is one that the automaton has found
+        here = np.flatnonzero(_sliding_least(found, window - phrase + 1) == least)
+        if len(here):
+            one.append(gram_ids(ids, window)[here])
+            two.append(gram_ids(mix(ids + np.uint64(0x5851F42D4C957F2D)), window)[here])
+            at.append(np.full(len(here), row))
+            start.append(here)
+    if at:
+        where = pa.array(np.concatenate(at))
+        yield pa.record_batch({
+            "doc_id": documents["doc_id"].take(where), "key": documents["key"].take(where), "start": pa.array(np.concatenate(start).astype(np.int32)),
+            "w1": pa.array(signed(np.concatenate(one))), "w2": pa.array(signed(np.concatenate(two))),
+        })
+
+
 def _removal(window: int, spans: bool):
     """Documents with the starts of windows to remove -> digest of what is left, and the kept text if asked for."""
 
@@ -201,18 +244,29 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRAS
     places = staged(places.join(copies, ["doc_id", "key"], "left_anti"), "repeats-phrases")
     recurring = places.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     recurring = staged(recurring.select("phrase", "first"), "repeats-recurring")
-    marked = places.join(recurring, "phrase").groupBy("doc_id", "key").agg(F.collect_set("phrase").alias("phrases"), F.min("first").alias("first"))
-    marked = staged(marked, "repeats-marked")
-    shards = max(1, -(-marked.count() // SHARD_DOCS))
-
-    # the documents that hold recurring phrases, those of a shard side by side; large shards take several parts
-    held = likely_in(docs, marked, then=_keyed, schema="doc_id long, key long, text string").join(marked, ["doc_id", "key"])
-    shard = F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int")
-    held = staged(held.withColumn("shard", shard).dropDuplicates(["doc_id", "key"]), "repeats-held")
-    sizes = held.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART_DOCS).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
-    routed = held.join(sizes, "shard").withColumn("part", part).repartition("shard", "part").sortWithinPartitions("shard", "part", "first", "doc_id")
-    windows = routed.mapInArrow(_windows(window, phrase), "doc_id long, key long, start int, w1 long, w2 long")
+    shards = max(1, -(-recurring.count() // SHARD_PHRASES))
+    recurring = recurring.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int"))
+    placed = places.join(recurring, "phrase")
+    routes = staged(placed.select("doc_id", "key", "shard").distinct(), "repeats-routes")
+    compiled = placed.where("doc_id = first").groupBy("doc_id", "key", "shard").agg(F.collect_set("phrase").alias("phrases"))
+
+    # the documents that hold recurring phrases, once for each shard that has one
+    holders = staged(routes.select("doc_id", "key").distinct(), "repeats-holders")
+    held = likely_in(docs, holders, then=_keyed, schema="doc_id long, key long, text string").join(holders, ["doc_id", "key"])
+    held = staged(held.dropDuplicates(["doc_id", "key"]), "repeats-held")
+    routed = held.join(routes, ["doc_id", "key"])
+    lengths = held.select("doc_id", "key", F.octet_length("text").alias("bytes")).join(routes, ["doc_id", "key"])
+    sizes = staged(lengths.groupBy("shard").agg(F.ceil(F.sum("bytes") / PART_BYTES).cast("int").alias("parts")), "repeats-sizes")
+    phrases = held.join(compiled, ["doc_id", "key"]).select("shard", "text", "phrases").mapInArrow(_phrase_words(phrase), "shard int, phrase binary")
+    phrases = staged(phrases, "repeats-phrase-words").join(sizes, "shard")
+    phrases = phrases.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    routed = routed.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int"))
+    none = {c: F.lit(None).cast(t) for c, t in {"doc_id": "long", "key": "long", "text": "string", "phrase": "binary"}.items()}
+    stream = phrases.select("shard", "part", none["doc_id"].alias("doc_id"), none["key"].alias("key"), "phrase", none["text"].alias("text")).union(
+        routed.select("shard", "part", "doc_id", "key", none["phrase"].alias("phrase"), "text")
+    )
+    stream = stream.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("doc_id").asc_nulls_first())
+    windows = stream.mapInArrow(_windows(window, phrase), "doc_id long, key long, start int, w1 long, w2 long")
     windows = staged(windows, "repeats-windows")
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     firsts = staged(firsts.select("w1", "w2", "first"), "repeats-firsts")

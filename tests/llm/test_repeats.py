@@ -49,3 +49,31 @@ def test_kept_text(docs, rows):
 def test_odd_tables(docs, odd_docs, no_docs):
     assert outcome(repeated_passages(odd_docs)) == outcome(repeated_passages(docs))
     assert repeated_passages(no_docs).count() == 0
+
+
+def test_many_shards_and_parts(spark, docs, rows, monkeypatch):
+    from lyrebird.llm import repeats
+
+    monkeypatch.setattr(repeats, "SHARD_PHRASES", 3)
+    monkeypatch.setattr(repeats, "PART_BYTES", 2000)
+    assert outcome(repeated_passages(docs)) == [r[:4] for r in brute(rows)]
+
+
+def test_automata_locate():
+    from lyrebird.llm.repeats import _automaton, _block_windows, _located
+
+    words = b"a bb a bb c a bb a bb \xc3\xa9 bb bb".split()
+    phrases = [b"a bb", b"bb a bb", b"\xc3\xa9 bb", b"b a", b"bb bb"]
+    wanted = sorted(i for p in phrases for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+    assert sorted(_located(_automaton(phrases), words).tolist()) == wanted
+    import pyarrow as pa
+
+    from lyrebird.llm.words import PLAIN, word_blocks
+
+    text = " ".join(f"w{i}" for i in range(90))
+    documents = pa.record_batch({"doc_id": [1], "key": [2], "text": [text]})
+    block = next(word_blocks(documents["text"], PLAIN))
+    # without the phrase in the automaton no window comes forth; with every phrase all do
+    assert not list(_block_windows(documents, block, _automaton([b"x y"]), 50, 8))
+    every = [b" ".join(text.encode().split()[i : i + 8]) for i in range(83)]
+    assert next(_block_windows(documents, block, _automaton(every), 50, 8))["start"].to_pylist() == list(range(41))
