@@ -1,41 +1,49 @@
 """Main text of web pages by templates deduced for each host.
 
-A page is read as elements; an element's path is the names and classes of the
-block elements around it, without those that are on single pages of the host.  Over the pages of one host every path has an
-occurrence vector: how often each page has it.  Paths of equal vectors form an
-equivalence class.  The classes that most pages have, and that nest in each
-other, are the host's template; the text between template elements lies in
-slots.  The template decides first: slots whose text is the same on all pages or
-is mostly links are no content, and the article is the innermost single template
-element with most of the text of the other slots.  Names and roles of elements
-only trim what varies inside it: adverts, comments, forms.  Pages without a
-template, or without its article, are judged by article and main elements and by
-names alone.
-
-The vectors are never gathered: Spark sums a hash of (page, count) for each host
-and path, so that a host may have any number of pages.
+The tokens of a page are its elements and its blocks of text, each in its place:
+the path of block elements around it.  A step of a path is an element's name, the
+words of its class and id that are not peculiar to single pages, and, where all
+pages have the same number of such children there, its number among them; so
+elements of one name tell their roles apart without telling classes.
+
+1. Over the pages of one host every token has an occurrence vector: how often
+   each page has it.  Tokens of equal vectors form an equivalence class.
+2. Classes that most pages have are the host's template.  They nest: a token's
+   place is made of tokens of its own class or of classes around it.  The tokens
+   that a page has once, in order, part it into slots; text that is a token of the
+   template is no content.
+3. Slots whose text is the same on all pages, or is mostly links, are no content.
+   The article is the innermost single template element with most of the text of
+   the other slots, and the text of those slots in it is what is extracted.
+
+Names and roles of elements only trim what varies inside the article: adverts,
+comments, forms.  Pages without a template (of a host with one page, say), or
+without its article, are judged by article and main elements and by names alone.
+
+Vectors are never gathered: Spark sums a hash of (page, count) for each host and
+token, so that a host may have any number of pages.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, types
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lyrebird.staging import staged, table
 
-#: a template element is on this share of a host's pages
+#: a class of the template is on this share of a host's pages
 SUPPORT = 0.5
+#: and, if it is of text, on so many pages
+TEXT_PAGES = 3
 #: paths rarer than this on a host are no template elements, words rarer no part of labels; their text counts for the elements around them
 RARE = 0.05
 #: the article holds this share of the text that may be content
@@ -45,18 +53,23 @@ _OUTER = 2
 #: templates of so many bytes are sent to all tasks; more are joined by host
 BROADCAST_BYTES = 32 << 20
 
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img math mrow mi mo mn ms mtext mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript iframe template svg math object video audio canvas textarea title select".split())
+_RAW = frozenset("script style noscript iframe template svg object video audio canvas textarea title select".split())
 _DROPPED = frozenset("head nav footer aside form menu button dialog fieldset datalist".split())
 #: these hold parts of an article, not all of it
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _NOISE = re.compile(
-    r"^(?:ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|footers?|masthead|topbar|toolbar"
-    r"|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related"
-    r"|recommend\w*|comments?|commentlist|respond|replies|reply|disqus|widgets?|skip|pagination|pager|copyright|legal|disclaimer|hidden)$"
+    r"^(?:ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|masthead|topbar|toolbar"
+    r"|cookies?|consent|gdpr|notices?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related"
+    r"|recommend\w*|comments?|commentlist|disqus|skip|pagination|pager)$"
 )
+#: these words tell of noise on containers, not on paragraphs, headings or lists
+_MILD = re.compile(r"^(?:alerts?|search|side|respond|replies|reply|widgets?|copyright|legal|disclaimer|hidden)$")
+#: in a word of several parts the last part is what the element is; these tell it as the first part too
+_FIRST = re.compile(r"^(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|cookies?|consent|gdpr|newsletter|comments?|disqus|pagination)$")
+_LISTED = re.compile(r"^(?:related|social|share|sharing|recommended)[-_]+(?:\w*[-_]+)*(?:posts?|links?|buttons?|icons?|articles?|bars?|media|lists?|box|tools?|stories|items?)$")
 _HEADS = re.compile(r"^(?:header|head|site-?header|page-?header)$")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -72,6 +85,16 @@ class Run:
         self.path, self.text, self.block, self.linked, self.noise, self.article = path, text, block, linked, noise, article
 
 
+def _is_noise(word: str, name: str) -> bool:
+    """Whether a word of a class or an id says that the element is none of the article."""
+    parts = re.split(r"[-_]+", word)
+    if parts[0] in ("no", "has", "with", "without"):  # tells of another element
+        return False
+    if _NOISE.match(parts[-1]) or (len(parts) > 1 and _FIRST.match(parts[0])) or _LISTED.match(word):
+        return True
+    return bool(name not in _TEXT and (_MILD.match(word) or (_HEADS.match(word) and name != "article")))
+
+
 @lru_cache(1 << 14)
 def _label(name: str, attrs: str) -> tuple[list[str], bool, bool]:
     """Words of class and id, whether the element is noise, and whether it is a main one."""
@@ -85,72 +108,107 @@ def _label(name: str, attrs: str) -> tuple[list[str], bool, bool]:
             main = main or value in ("main", "article")
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
             noise = True
-    for word in words if name not in ("html", "body") else ():
-        parts = re.split(r"[-_]+", word)
-        if parts[0] in ("no", "has", "with", "without"):  # tells of another element
-            continue
-        noise = noise or any(_NOISE.match(p) for p in (word, parts[0], parts[-1])) or (bool(_HEADS.match(word)) and name != "article")
+    if name not in ("html", "body"):
+        noise = noise or any(_is_noise(w, name) for w in words)
     tidy = sorted({re.sub(r"\d+", "#", w).replace("/", "|") for w in words if w})
     return tidy, noise, main and not noise
 
 
-def read_page(page: str, words: frozenset[str] | None = None) -> tuple[list[Run], dict[str, int]]:
-    """The runs of text of a page, and how often it has each path; of class and id only words count for labels, or all if None."""
-    runs: list[Run] = []
-    counts = {"": 1}
-    # of each open element: name, path, inline, linked, noise, article
-    stack = [("", "", False, False, "", False)]
-    block = at = 0
-
-    def text(piece: str) -> None:
-        if piece:
-            _, path, _, linked, noise, article = stack[-1]
-            runs.append(Run(path, entities.unescape(piece) if "&" in piece else piece, block, linked, noise, article))
-
-    while tag := _TAG.search(page, at):
-        text(page[at : tag.start()])
-        at = tag.end()
-        close, name, attrs = tag.group(1, 2, 3) if tag.group(2) else tag.group(4, 5, 6)
-        if not name:
-            if tag.group().startswith("<![CDATA["):
-                text(tag.group()[9:].removesuffix("]]>").replace("&", "&amp;"))
-            continue
-        name = name.lower()
-        inline = name in _INLINE
-        if not inline:
-            block += 1
-        if close:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    break
-                if inline and not stack[depth][2]:
-                    break  # an inline end tag does not close blocks
-            continue
-        if name in _VOID:
-            continue
-        if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if not inline:
-            own = _CLOSES.get(name, ())
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p" or stack[depth][0] in own:
-                    del stack[depth:]
-                    break
-                if not stack[depth][2]:
-                    break
-        own_words, noise, main = _label(name, attrs)
-        _, path, _, linked, was_noise, article = stack[-1]
-        if name == "header":
-            noise = noise or not article
-        if not inline:
-            path = "/".join([path, ".".join([name, *[w for w in own_words if words is None or w in words][:4]])])
-            counts[path] = counts.get(path, 0) + 1
-        stack.append((name, path, inline, linked or name == "a", f"{path}/~" if noise and inline else path if noise else was_noise, article or main))
-    text(page[at:] if not re.match(r"<[a-zA-Z/!?]", page[at : at + 2]) else "")
-    return runs, counts
+class _Open:
+    """An open element."""
+
+    __slots__ = ("name", "path", "place", "inline", "linked", "noise", "article", "inner")
+
+    def __init__(self, name, path, place, inline, linked, noise, article, inner):
+        self.name, self.path, self.place, self.inline, self.linked, self.noise, self.article = name, path, place, inline, linked, noise, article
+        self.inner = inner  # how many block children of each name the block element has
+
+
+class Page:
+    """runs of text; starts: (path, first block) of each element; inner: (place, children by name) of each element, for the numbering."""
+
+    def __init__(self, page: str, words: frozenset[str] | None = None, split: frozenset[str] | None = frozenset()):
+        """words: of class and id only these count, or all if None; split: numbered children, or all if None."""
+        self.runs: list[Run] = []
+        self.starts: list[tuple[str, int]] = []
+        self.inner: list[tuple[str, dict[str, int]]] = []
+        self.words: set[str] = set()
+        self._read(page, words, split)
+
+    def _read(self, page: str, words: frozenset[str] | None, split: frozenset[str] | None) -> None:
+        stack = [_Open("", "", "", False, False, "", False, {})]
+        self.inner.append(("", stack[0].inner))
+        block = at = 0
+
+        def text(piece: str) -> None:
+            if piece:
+                top = stack[-1]
+                self.runs.append(Run(top.path, entities.unescape(piece) if "&" in piece else piece, block, top.linked, top.noise, top.article))
+
+        while tag := _TAG.search(page, at):
+            text(page[at : tag.start()])
+            at = tag.end()
+            close, name, attrs = tag.group(1, 2, 3) if tag.group(2) else tag.group(4, 5, 6)
+            if not name:
+                if tag.group().startswith("<![CDATA["):
+                    text(tag.group()[9:].removesuffix("]]>").replace("&", "&amp;"))
+                continue
+            name = name.lower()
+            inline = name in _INLINE
+            if not inline:
+                block += 1
+            if close:
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].name == name:
+                        del stack[depth:]
+                        break
+                    if inline and not stack[depth].inline:
+                        break  # an inline end tag does not close blocks
+                continue
+            if name in _VOID:
+                continue
+            if name in _RAW:
+                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            if not inline:
+                own = _CLOSES.get(name, ())
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].name == "p" or stack[depth].name in own:
+                        del stack[depth:]
+                        break
+                    if not stack[depth].inline:
+                        break
+            own_words, noise, main = _label(name, attrs)
+            self.words.update(own_words)
+            top = stack[-1]
+            if name == "header":
+                noise = noise or not top.article
+            path, place, inner = top.path, top.place, top.inner
+            if not inline:
+                number = inner[name] = inner.get(name, 0) + 1
+                step = f"{name}[{number}]" if split is None or f"{place}>{name}" in split else name
+                place, inner = f"{place}/{step}", {}
+                path = "/".join([path, ".".join([step, *[w for w in own_words if words is None or w in words][:4]])])
+                self.starts.append((path, block))
+                self.inner.append((place, inner))
+            at_noise = f"{path}/~" if noise and inline else path if noise else top.noise
+            stack.append(_Open(name, path, place, inline, top.linked or name == "a", at_noise, top.article or main, inner))
+        text(page[at:] if not re.match(r"<[a-zA-Z/!?]", page[at : at + 2]) else "")
+
+    def blocks(self) -> list[list[Run]]:
+        """The runs of each block with text, in order."""
+        out: list[list[Run]] = []
+        for run in self.runs:
+            if out and out[-1][0].block == run.block:
+                out[-1].append(run)
+            else:
+                out.append([run])
+        return [b for b in out if any(not r.text.isspace() for r in b)]
+
+
+def _joined(block: list[Run]) -> str:
+    return " ".join("".join(r.text for r in block).split())
 
 
 def host_of(url: str | None) -> str:
@@ -162,153 +220,317 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value) >> 1
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """url, html -> host, word and the number of pages that have it in a class or id; the word "" counts all."""
+def _token(path: str, text: str) -> int:
+    """A block of text as a token, not 0."""
+    return _hash(f"{path}\x00{text}") or 1
+
+
+# ---------------------------------------------------------------- numbers of children
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """url, html -> host, place, name and sums over pages.
+
+    With a place: pages that have it (name ""), and pages where it has children of
+    a name, and their least and greatest number.  Without: pages that have a word
+    in a class or id; all pages for the word "".
+    """
     for batch in batches:
-        pages: dict[tuple[str, str], int] = {}
+        sums: dict[tuple, list] = {}
+
+        def add(key: tuple, number: int = 0, sums=sums) -> None:
+            row = sums.setdefault(key, [0, number, number])
+            row[0], row[1], row[2] = row[0] + 1, min(row[1], number), max(row[2], number)
+
         for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            host, found = host_of(url), {""}
-            for tag in _TAG.finditer(page or ""):
-                if attrs := tag.group(3) or tag.group(6):
-                    found.update(_label((tag.group(2) or tag.group(5)).lower(), attrs)[0])
-            for word in found:
-                pages[host, word] = pages.get((host, word), 0) + 1
+            host, read = host_of(url), Page(page or "", split=None)
+            for place, inner in read.inner:
+                add((host, place, ""))
+                for name, number in inner.items():
+                    add((host, place, name), number)
+            for word in read.words | {""}:
+                add((host, None, word))
         yield pa.record_batch({
-            "host": pa.array([h for h, _ in pages], pa.string()), "word": pa.array([w for _, w in pages], pa.string()), "pages": pa.array(pages.values(), pa.int64()),
+            **{c: pa.array([k[i] for k in sums], pa.string()) for i, c in enumerate(("host", "place", "name"))},
+            **{c: pa.array([v[i] for v in sums.values()], pa.int64()) for i, c in enumerate(("pages", "low", "high"))},
         })
 
 
-def _paths(shared=None):
-    """page_id, url, html (and words) -> host, path and sums over pages."""
+def numbered_children(shapes: list[dict]) -> list[str]:
+    """place>name of children that are numbered: all pages have as many of them there, and more than one.
+
+    From the outside in: where children are not numbered, their places are one.
+    """
+    rows: dict[str, dict[str, tuple]] = {}
+    for r in shapes:
+        rows.setdefault(r["place"], {})[r["name"]] = r["pages"], r["low"], r["high"]
+    found, line = [], [("", [""])]
+    for place, same in line:
+        pages = sum(rows[p].get("", (0,))[0] for p in same)
+        for name in sorted({n for p in same for n in rows[p]} - {""}):
+            having = [rows[p][name] for p in same if name in rows[p]]
+            low, high = min(h[1] for h in having), max(h[2] for h in having)
+            inner = [[f"{p}/{name}[{k}]" for p in same] for k in range(1, high + 1)]
+            if low == high > 1 and sum(h[0] for h in having) == pages:
+                found.append(f"{place}>{name}")
+                steps = [(f"{place}/{name}[{k}]", own) for k, own in enumerate(inner, 1)]
+            else:
+                steps = [(f"{place}/{name}", [p for own in inner for p in own])]
+            line += [(step, known) for step, own in steps if (known := [p for p in own if p in rows])]
+    return found
+
+
+def _by_host(rows: DataFrame, columns: tuple[str, ...], decide: Callable, schema: str) -> DataFrame:
+    """host, and what decide says of the rows of each host (dictionaries of columns, as few as RARE allows)."""
+    fields = types.StructType.fromDDL(schema).fields
+    names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [decide(own) for own in batch["rows"].to_pylist()]
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.record_batch([batch["host"], *columns], ["host", *names])
+
+    return rows.groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("rows")).mapInArrow(run, f"host string, {schema}")
+
+
+def host_labels(pages: DataFrame) -> DataFrame:
+    """host, words, split, of: the words of classes and ids that are on RARE of a host's pages, and on two; the children that are numbered; the pages, if more than one."""
+    sums = pages.select("url", "html").mapInArrow(_shapes, "host string, place string, name string, pages long, low long, high long")
+    sums = sums.groupBy("host", "place", "name").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"))
+    sums = staged(sums.where("pages > 1"), "html-shapes")
+    hosts = sums.where("place IS NULL AND name = ''").select("host", F.col("pages").alias("of"))
+    often = sums.join(hosts, "host").where(F.col("pages") >= RARE * F.col("of"))
+    words = often.where("place IS NULL AND name <> ''").groupBy("host").agg(F.sort_array(F.collect_set("name")).alias("words"))
+    split = _by_host(often.where("place IS NOT NULL"), ("place", "name", "pages", "low", "high"), lambda rows: (numbered_children(rows),), "split array<string>")
+    return staged(hosts.join(words, "host", "left").join(split, "host", "left"), "html-labels")
+
+
+# ---------------------------------------------------------------- tokens and classes
+
+#: columns of a host: words, split, of as above; single: elements of the template that a page has once; texts: tokens of text; cuts: those of them that a page has once
+_LABELS = ("words", "split", "of")
+_TEMPLATE = (*_LABELS, "single", "texts", "cuts")
+#: and main: the path of the article; dull: slots that are no content
+_DECIDED = (*_TEMPLATE, "main", "dull")
+
+
+def _known(batch: pa.RecordBatch, shared, columns: tuple[str, ...]) -> Iterator[dict]:
+    """What is known of the host of each row, from a broadcast or from columns."""
+    if shared is None:
+        for values in zip(*[batch[c].to_pylist() for c in columns], strict=True):
+            yield dict(zip(columns, values, strict=True))
+    else:
+        hosts = shared.value
+        for url in batch["url"].to_pylist():
+            yield hosts.get(host_of(url), {})
+
+
+def _page(html: str | None, known: dict) -> Page:
+    return Page(html or "", frozenset(known.get("words") or ()), frozenset(known.get("split") or ()))
+
+
+def _tokens(shared=None):
+    """page_id, url, html -> host, path, text (0 for elements), a hash of the occurrence vector, pages and most times on a page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple, list] = {}
+            rows = zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), _known(batch, shared, _LABELS), strict=True)
+            for page_id, url, html, known in rows:
+                if (known.get("of") or 0) < 2:
+                    continue
+                page, host = _page(html, known), host_of(url)
+                counts: dict[tuple, int] = {("", 0): 1}
+                for path, _ in page.starts:
+                    counts[path, 0] = counts.get((path, 0), 0) + 1
+                for block in page.blocks() if known["of"] >= TEXT_PAGES else ():
+                    token = block[0].path, _token(block[0].path, _joined(block))
+                    counts[token] = counts.get(token, 0) + 1
+                for (path, text), n in counts.items():
+                    row = sums.setdefault((host, path, text), [0, 0, 0])
+                    row[0] = (row[0] + _hash(f"{page_id}\x00{url}\x00{n}")) & ((1 << 62) - 1)
+                    row[1] += 1
+                    row[2] = max(row[2], n)
+            yield pa.record_batch({
+                "host": pa.array([k[0] for k in sums], pa.string()), "path": pa.array([k[1] for k in sums], pa.string()), "text": pa.array([k[2] for k in sums], pa.int64()),
+                **{c: pa.array([v[i] for v in sums.values()], pa.int64()) for i, c in enumerate(("vector", "pages", "most"))},
+            })
+
+    return run
+
+
+def template(tokens: list[dict]) -> tuple[list[str], list[int], list[int]]:
+    """single, texts and cuts of one host's frequent tokens.
+
+    Classes are taken from the outside in.  A class is valid if its elements
+    stand in elements of valid classes or of its own; of texts it takes those that
+    stand in elements of valid classes.
+    """
+    classes: dict[int, list[dict]] = {}
+    for t in tokens:
+        classes.setdefault(t["vector"], []).append(t)
+    valid, single = {""}, []
+    of_elements = [own for members in classes.values() if (own := [t for t in members if not t["text"]])]
+    for own in sorted(of_elements, key=lambda own: min((t["path"].count("/"), t["path"]) for t in own)):
+        paths = {t["path"] for t in own}
+        if all(path.rpartition("/")[0] in valid | paths for path in paths):
+            valid |= paths
+            single += [t["path"] for t in own if t["most"] == 1 and t["path"]]
+    texts = [t for members in classes.values() for t in members if t["text"] and t["path"] in valid]
+    cuts = [t["text"] for t in texts if t["most"] == 1]
+    texts = [t["text"] for t in texts]
+    return sorted(single), sorted(texts), sorted(cuts)
+
+
+def host_classes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels with single, texts and cuts, for hosts of two pages or more."""
+    dealt, shared = _for_pages(pages, labels, *_LABELS)
+    sums = dealt.mapInArrow(_tokens(shared), "host string, path string, text long, vector long, pages long, most long")
+    tokens = sums.groupBy("host", "path", "text").agg(
+        F.expr("CAST(SUM(CAST(vector AS DECIMAL(38,0))) % 9223372036854775807 AS LONG)").alias("vector"), F.sum("pages").alias("pages"), F.max("most").alias("most")
+    )
+    often = tokens.where("pages > 1").join(labels.select("host", "of"), "host")
+    often = often.where((F.col("pages") >= SUPPORT * F.col("of")) & ((F.col("text") == 0) | (F.col("pages") >= TEXT_PAGES)))
+    classes = _by_host(often, ("path", "text", "vector", "most"), template, "single array<string>, texts array<long>, cuts array<long>")
+    return staged(labels.join(classes, "host"), "html-classes")
+
+
+# ---------------------------------------------------------------- slots
+
+
+class Slots:
+    """The blocks of a page that are no tokens of the template, each with its slot and the innermost template element around it."""
+
+    def __init__(self, page: Page, known: dict):
+        single, texts, cuts = frozenset(known["single"] or ()), frozenset(known["texts"] or ()), frozenset(known["cuts"] or ())
+        self.blocks: list[tuple[int, str, list[Run]]] = []
+        last, at, around = "", 0, {"": ""}
+        for block in page.blocks():
+            path = block[0].path
+            while at < len(page.starts) and page.starts[at][1] <= block[0].block:
+                if page.starts[at][0] in single:
+                    last = page.starts[at][0]
+                at += 1
+            if texts and (token := _token(path, _joined(block))) in texts:
+                last = str(token) if token in cuts else last
+                continue
+            if path not in around:
+                up = path
+                while up and up not in single:
+                    up = up.rpartition("/")[0]
+                around[path] = up
+            self.blocks.append((_hash(f"{last}\x00{around[path]}"), around[path], block))
+
+
+def _slots(shared=None):
+    """page_id, url, html -> host, slot, the element around it, lengths of text outside and inside links, pages, least and greatest hash of a page's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value if shared else None
         for batch in batches:
-            yield _path_sums(batch, known)
+            sums: dict[tuple, list] = {}
+            for url, html, known in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), _known(batch, shared, _TEMPLATE), strict=True):
+                if not known.get("single"):
+                    continue
+                host, own = host_of(url), {}
+                for slot, around, block in Slots(_page(html, known), known).blocks:
+                    own.setdefault((host, slot, around), []).append(block)
+                for key, blocks in own.items():
+                    row = sums.setdefault(key, [0, 0, 0, (1 << 63) - 1, -1])
+                    for run in (r for b in blocks for r in b):
+                        row[run.linked] += len(run.text)
+                    seen = _hash(" ".join(map(_joined, blocks)))
+                    row[2], row[3], row[4] = row[2] + 1, min(row[3], seen), max(row[4], seen)
+            yield pa.record_batch({
+                "host": pa.array([k[0] for k in sums], pa.string()), "slot": pa.array([k[1] for k in sums], pa.int64()), "around": pa.array([k[2] for k in sums], pa.string()),
+                **{c: pa.array([v[i] for v in sums.values()], pa.int64()) for i, c in enumerate(("free", "linked", "pages", "low", "high"))},
+            })
 
     return run
 
 
-def _path_sums(batch: pa.RecordBatch, known: dict | None) -> pa.RecordBatch:
-    sums: dict[tuple[str, str], list] = {}
-    urls = batch["url"].to_pylist()
-    words = [known.get(host_of(u), ((),))[0] for u in urls] if known is not None else batch["words"].to_pylist()
-    for page_id, url, page, common in zip(batch["page_id"].to_pylist(), urls, batch["html"].to_pylist(), words, strict=True):
-        host = host_of(url)
-        runs, counts = read_page(page or "", frozenset(common or ()))
-        texts: dict[str, list] = {}
-        for run in runs:
-            if run.text.strip():
-                texts.setdefault(run.path, []).append(run)
-        under = dict.fromkeys(counts, 0)
-        for path, own in texts.items():
-            free = sum(len(r.text) for r in own if not r.linked)
-            while free and path:
-                under[path] += free
-                path = path.rpartition("/")[0]
-            under[""] += free
-        for path, n in counts.items():
-            own = texts.get(path, ())
-            free = sum(len(r.text) for r in own if not r.linked)
-            row = sums.setdefault((host, path), [0, 0, 0, 0, (1 << 63) - 1, -1, 0, 0, 0])
-            row[0] = (row[0] + _hash(f"{page_id}\x00{url}\x00{n}")) & ((1 << 62) - 1)  # of the occurrence vector
-            row[1] += 1
-            row[2] += free
-            row[3] += sum(len(r.text) for r in own) - free
-            if own:
-                seen = _hash(" ".join(" ".join(r.text for r in own).split()))
-                row[4], row[5] = min(row[4], seen), max(row[5], seen)
-            row[6] += bool(own)
-            row[7] = max(row[7], n)
-            row[8] += under[path]
-    keys = list(sums)
-    return pa.record_batch({
-        "host": pa.array([k[0] for k in keys], pa.string()), "path": pa.array([k[1] for k in keys], pa.string()),
-        **{c: pa.array([sums[k][i] for k in keys], pa.int64()) for i, c in enumerate(_SUMS)},
-    })
-
-
-#: of each path of a host: hash of the vector, pages, length of text outside and inside links, least and largest hash of a page's text, pages with text, most times on a page, free text of all that is in it
-_SUMS = ("vector", "pages", "free", "linked", "low", "high", "filled", "most", "under")
-_PATHS = "host string, path string, " + ", ".join(f"{c} long" for c in _SUMS)
-
-
-def deduce(paths: pd.DataFrame) -> tuple[str, list[str]] | None:
-    """The path of the article in the template of one host and its slots that are no content, of the host's paths with their sums; None if there is no template."""
-    pages = int(paths.loc[paths.path == "", "pages"].max()) if (paths.path == "").any() else 0
-    if pages < 2:
-        return None
-    # equivalence classes: equal occurrence vectors; the frequent ones, outermost first
-    classes: list[list[str]] = []
-    for _, own in paths[paths.pages >= SUPPORT * pages].groupby("vector", sort=False):
-        classes.append(sorted(own.path, key=lambda p: (p.count("/"), p)))
-    template = {""}
-    for members in sorted(classes, key=lambda m: (m[0].count("/"), m[0])):
-        nested = [p for p in members if p == "" or p.rpartition("/")[0] in template or p.rpartition("/")[0] in members]
-        template.update(nested)  # members that hang in no template element make the class invalid there
-    often = paths.path.isin(template) & (paths.filled >= max(2, SUPPORT * pages))
-    title = paths.path.str.rpartition("/")[2].str.match(r"h[1-6](?:\.|$)")
-    dull = often & ((paths.low == paths.high) | ((paths.linked > paths.free) & ~title))
-    # what rare paths have is in the sums of the paths around them
-    left = {}
-    for path, under in zip(paths.path, paths.under, strict=True):
-        inside = dull & (paths.path.eq(path) | paths.path.str.startswith(path + "/"))
-        left[path] = under - paths.free[inside].sum()
-    if not left.get(""):
-        return None
-    single = set(paths.path[(paths.most == 1) & ~paths.path.str.rpartition("/")[2].str.split(".").str[0].isin(_TEXT)])
-    best = ""
-    for path in sorted(template & single, key=lambda p: (-p.count("/"), p)):
-        if left[path] >= COVER * left[""]:
+def article(slots: list[dict], single: Iterable[str], pages: int) -> tuple[str | None, list[int]]:
+    """The path of the article and the slots that are no content, of one host's slots; None if no slot has content."""
+    name = lambda path: re.split(r"[.\[]", path.rpartition("/")[2])[0]
+    dull, free = [], {}  # length of free text in elements
+    for s in slots:
+        title = re.fullmatch(r"h[1-6]", name(s["around"]))
+        if s["pages"] >= max(2, SUPPORT * pages) and (s["low"] == s["high"] or (s["linked"] > s["free"] and not title)):
+            dull.append(s["slot"])
+            continue
+        path = s["around"]
+        while True:
+            free[path] = free.get(path, 0) + s["free"]
+            if not path:
+                break
+            path = path.rpartition("/")[0]
+    if not free.get(""):
+        return None, []
+    places, best = set(single), ""
+    for path in sorted(places, key=lambda p: (-p.count("/"), p)):
+        if name(path) not in _TEXT and free.get(path, 0) >= COVER * free[""]:
             best = path
             break
     parts = best.split("/")  # a title may stand beside most of the text, in the same article
     for depth in range(len(parts) - 1, 0, -1):
-        if parts[depth].split(".")[0] in ("article", "main") and "/".join(parts[: depth + 1]) in single:
+        if name("/".join(parts[: depth + 1])) in ("article", "main") and "/".join(parts[: depth + 1]) in places:
             best = "/".join(parts[: depth + 1])
             break
-    return best, sorted(paths.path[dull & (paths.path.eq(best) | paths.path.str.startswith(best + "/"))])
-
-
-def _templates(host: pd.DataFrame) -> pd.DataFrame:
-    main, dull = deduce(host) or (None, None)
-    return pd.DataFrame({"host": host.host.iloc[:1].tolist(), "main": [main], "dull": [dull]})
-
+    return best, sorted(dull)
 
-def main_text(page: str, main: str | None, dull: Iterable[str] = (), words: frozenset[str] | None = None) -> str:
-    """The blocks of the article of a page; main is its path in the host's template, dull the slots there that are no content, words those of labels."""
-    runs, _ = read_page(page, words)
-    chosen = []
-    if main is not None:
-        below, dull = main + "/", frozenset(dull)
-        chosen = [r for r in runs if (r.path == main or r.path.startswith(below)) and r.path not in dull and not r.noise.startswith(below)]
-        if main.count("/") <= _OUTER and any(r.article and r.text.strip() for r in chosen):
-            chosen = [r for r in chosen if r.article]  # the template tells no more than the whole page
-    if not any(r.text.strip() for r in chosen):
-        own = [r for r in runs if not r.noise]
-        chosen = [r for r in own if r.article]
-        if not any(r.text.strip() for r in chosen):
-            chosen = own
-    blocks: dict[int, list[str]] = {}
-    for run in chosen:
-        blocks.setdefault(run.block, []).append(run.text)
-    return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks.values())))
 
-
-#: columns of a host's template
-_TEMPLATE = ("main", "dull", "words")
+def host_templates(pages: DataFrame) -> DataFrame:
+    """host and what is known of it, of each host with a template."""
+    pages = pages.select("page_id", "url", "html")
+    classes = host_classes(pages, host_labels(pages))
+    dealt, shared = _for_pages(pages, classes, *_TEMPLATE)
+    sums = dealt.mapInArrow(_slots(shared), "host string, slot long, around string, free long, linked long, pages long, low long, high long")
+    slots = sums.groupBy("host", "slot", "around").agg(*[F.sum(c).alias(c) for c in ("free", "linked", "pages")], F.min("low").alias("low"), F.max("high").alias("high"))
+    often = slots.join(classes.select("host", "of", "single"), "host").where(F.col("pages") >= RARE * F.col("of"))
+    columns = ("slot", "around", "free", "linked", "pages", "low", "high")
+    found = _by_host(often, (*columns, "of", "single"), lambda rows: article(rows, rows[0]["single"], rows[0]["of"]), "main string, dull array<long>")
+    found = found.where("main IS NOT NULL")
+    return staged(classes.join(found, "host"), "html-templates")
+
+
+# ---------------------------------------------------------------- extraction
+
+
+def _alone(page: Page) -> list[list[Run]]:
+    """The blocks of a page without a template, by article and main elements and by names."""
+    own = [r for r in page.runs if not r.noise]
+    within = [r for r in own if r.article]
+    blocks: dict[int, list[Run]] = {}
+    for run in within if any(r.text.strip() for r in within) else own:
+        blocks.setdefault(run.block, []).append(run)
+    return list(blocks.values())
+
+
+def main_text(html: str, known: dict | None = None) -> tuple[str, bool]:
+    """The blocks of the article of a page, and whether the template of its host, known, told them."""
+    page, chosen = _page(html, known or {}), []
+    if known and known.get("main") is not None:
+        main, dull = known["main"], frozenset(known["dull"] or ())
+        below = main + "/"
+        for slot, _, block in Slots(page, known).blocks:
+            path = block[0].path
+            if slot not in dull and (path == main or path.startswith(below)):
+                chosen.append([r for r in block if not r.noise.startswith(below)])
+        if main.count("/") <= _OUTER and any(r.article and r.text.strip() for b in chosen for r in b):
+            chosen = [[r for r in b if r.article] for b in chosen]  # the template tells no more than the whole page
+    texts = [t for t in map(_joined, chosen) if t]
+    if texts:
+        return " ".join(texts), True
+    return " ".join(filter(None, map(_joined, _alone(page)))), False
 
 
 def _extract(kind: pa.DataType, shared=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value if shared else None
         for batch in batches:
-            urls, pages = batch["url"].to_pylist(), batch["html"].to_pylist()
-            own = [known.get(host_of(u), (None, (), ())) for u in urls] if shared else zip(*[batch[c].to_pylist() for c in _TEMPLATE], strict=True)
-            texts = [main_text(p or "", m, d or (), frozenset(w or ())) for p, (m, d, w) in zip(pages, own, strict=True)]
+            found = [main_text(html or "", known) for html, known in zip(batch["html"].to_pylist(), _known(batch, shared, _DECIDED), strict=True)]
             yield pa.record_batch({
-                "page_id": batch["page_id"].cast(kind), "url": batch["url"], "text": pa.array(texts, pa.string()),
-                "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+                "page_id": batch["page_id"].cast(kind), "url": batch["url"], "text": pa.array([t for t, _ in found], pa.string()),
+                "n_chars": pa.array([len(t) for t, _ in found], pa.int64()), "by_template": pa.array([b for _, b in found], pa.bool_()),
             })
 
     return run
@@ -323,48 +545,23 @@ def _for_pages(pages: DataFrame, by_host: DataFrame, *columns: str) -> tuple[Dat
     """pages, and the columns of their hosts: broadcast, or joined to pages if large."""
     size = by_host.agg(F.sum(F.octet_length(F.to_json(F.struct("host", *columns))) + 100)).first()[0] or 0
     if size <= BROADCAST_BYTES:
-        return pages, pages.sparkSession.sparkContext.broadcast({r["host"]: tuple(r[c] for c in columns) for r in by_host.collect()})
+        return pages, pages.sparkSession.sparkContext.broadcast({r["host"]: {c: r[c] for c in columns} for r in by_host.collect()})
     joined = pages.withColumn("_host", _host("url")).join(by_host.select(F.col("host").alias("_host"), *columns), "_host", "left")
     return joined.drop("_host"), None
 
 
-def common_words(pages: DataFrame) -> DataFrame:
-    """host, words: the words of classes and ids that are on RARE of a host's pages, and on two."""
-    counts = pages.select("url", "html").mapInArrow(_words, "host string, word string, pages long")
-    counts = staged(counts.groupBy("host", "word").agg(F.sum("pages").alias("pages")).where("pages > 1"), "html-words")
-    hosts = counts.where("word = ''").select("host", F.col("pages").alias("of"))
-    often = counts.where("word <> ''").join(hosts, "host").where(F.col("pages") >= RARE * F.col("of"))
-    return staged(often.groupBy("host").agg(F.sort_array(F.collect_set("word")).alias("words")), "html-common-words")
-
-
-def host_templates(pages: DataFrame) -> DataFrame:
-    """host, main, dull, words: of each host's template, if it has one, the path of the article, its slots that are no content, and the words of labels."""
-    words = common_words(pages)
-    dealt, shared = _for_pages(pages.select("page_id", "url", "html"), words, "words")
-    sums = dealt.mapInArrow(_paths(shared), _PATHS)
-    by_path = sums.groupBy("host", "path").agg(
-        F.expr("CAST(SUM(CAST(vector AS DECIMAL(38,0))) % 9223372036854775807 AS LONG)").alias("vector"),
-        *[F.sum(c).alias(c) for c in ("pages", "free", "linked", "filled", "under")], F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most"),
-    )
-    by_path = staged(by_path, "html-paths")
-    hosts = by_path.where("path = ''").select("host", F.col("pages").alias("of"))
-    common = by_path.join(hosts, "host").where(F.col("pages") >= RARE * F.col("of")).drop("of")
-    found = common.groupBy("host").applyInPandas(_templates, "host string, main string, dull array<string>").where("main IS NOT NULL")
-    return staged(found.join(words, "host", "left"), "html-templates")
-
-
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages, which has page_id, url and html.
+    """page_id, url, text, n_chars, by_template of each row of pages, which has page_id, url and html.
 
-    Null or empty html has an empty text.  Pages without a host share one.  A
-    host with a single page has no template; its page is judged alone.  Repeated
-    rows are repeated.  An empty table gives no rows.  Other columns are left
-    alone.
+    by_template says whether the host's template told the text.  Null or empty
+    html has an empty text.  Pages without a host share one.  A host with a single
+    page has no template; its page is judged alone.  Repeated rows are repeated.
+    An empty table gives no rows.  Other columns are left alone.
     """
     kind = next(f for f in pages.schema.fields if f.name == "page_id").dataType
-    schema = f"page_id {kind.simpleString()}, url string, text string, n_chars long"
+    schema = f"page_id {kind.simpleString()}, url string, text string, n_chars long, by_template boolean"
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    dealt, shared = _for_pages(pages, host_templates(pages), *_TEMPLATE)
+    dealt, shared = _for_pages(pages, host_templates(pages), *_DECIDED)
     return dealt.mapInArrow(_extract(to_arrow_type(kind), shared), schema)
 
 

@@ -27,7 +27,7 @@ PAGES = {
 
 @pytest.mark.parametrize("page", PAGES)
 def test_pages(page):
-    assert main_text(page, None) == PAGES[page]
+    assert main_text(page) == (PAGES[page], False)
 
 
 def test_hosts():
@@ -41,7 +41,7 @@ def test_templates_and_odd_tables(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = extracted(pages)
     wanted = [(i, u, f"story {i} goes on and ends {i}" if u and "//h" in u and h else "only" if i == 100 else "") for i, u, h in rows]
-    assert [(a, b, c) for a, b, c, _ in outcome(got)] == sorted(wanted, key=lambda r: tuple((v is None, str(v)) for v in r))
+    assert [(a, b, c) for a, b, c, *_ in outcome(got)] == sorted(wanted, key=lambda r: tuple((v is None, str(v)) for v in r))
     assert all(r.n_chars == len(r.text) for r in got.collect())
     from pyspark.sql import functions as F
 
@@ -71,7 +71,7 @@ def test_template_decides_before_article_tags(spark):
     rows += [(100 + i, "http://copies.org", page.format(7)) for i in range(2)] + [(200, "http://a.org", odd)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in extracted(pages).collect()}
-    assert all(got[i] == f"title {i} story {i} goes on and on and ends {i}" for i in range(30))
+    assert [got[i] for i in range(30)] == [f"title {i} story {i} goes on and on and ends {i}" for i in range(30)]
     assert all(got[50 + i].startswith(f"t {i} lesson {i} is long enough to be an article, with some more words") for i in range(5))
     assert got[100] == got[101] and "story 7 goes on and on" in got[100]  # copies have no template
     assert got[200] == "tale"
@@ -96,3 +96,63 @@ def test_text_of_rare_paths_counts(spark):
     rows = [(i, f"http://h.org/{i}", page.format(i, f"name{i}", kinds[i % len(kinds)])) for i in range(64)]
     got = {r.page_id: r.text for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"story name{i} goes on and on for many words and ends" for i in range(64))
+
+
+PLAIN = (
+    "<body><div><div>Our site</div><div><a href=/{0}>one {0}</a> <a href=/b>two {0}</a></div></div>"
+    "<div><h2>title {0}</h2><p>story {0} goes on and on</p><p>Tell your friends</p>{1}<p>and ends with {0}</p></div><div>All rights reserved, {0}</div></body>"
+)
+FLAT = "<body><p>Welcome to all</p><h1>title {0}</h1><p>story {0} goes on and on, as long as it is</p>{1}<p>Read on</p><p><a href=/{0}>another story than {0} that can be read</a></p><p>The end</p></body>"
+
+
+@pytest.mark.parametrize("page", [PLAIN, FLAT])
+def test_hosts_without_telling_names(spark, page):
+    rows = [(i, f"http://h.org/{i}", page.format(f"n{i}", f"<p>more of n{i}</p>" * (i % 3))) for i in range(12)]
+    got = {r.page_id: r for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        more = " ".join([f"more of n{i}"] * (i % 3))
+        wanted = f"title n{i} story n{i} goes on and on {more} and ends with n{i}" if page == PLAIN else f"title n{i} story n{i} goes on and on, as long as it is {more}"
+        assert got[i].text == " ".join(wanted.split()) and got[i].by_template
+
+
+@pytest.mark.parametrize("name", ["alert", "legal-analysis", "share-price", "hidden-gems", "search-results", "commentary"])
+def test_article_text_stays(name):
+    assert main_text(f"<article><p class={name}>not lost</p><p>kept <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>")[0] == "not lost kept x=1"
+
+
+def test_given_pages_against_their_articles(spark):
+    """All given pages have one article; its text is what stands between tags."""
+    import html
+    import re
+
+    from lyrebird.staging import table
+
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    inner = {r.page_id: re.search(r"<article>(.*?)</article>", r.html, re.S).group(1) for r in pages.collect()}
+    got = extracted(pages).collect()
+    for r in got:
+        blocks = re.split(r"</?(?:p|h1|div)\b[^>]*>", inner[r.page_id])
+        assert r.text == " ".join(filter(None, (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in blocks)))
+    assert sum(r.by_template for r in got) > 100
+
+
+def test_templates_against_plain_vectors(spark):
+    """What Spark sums up against whole occurrence vectors in plain Python, for two hosts."""
+    from lyrebird.llm import extraction as X
+
+    pages = {h: [(f"http://{h}/{i}", page.format(f"n{i}", f"<p>more of n{i}</p>" * (i % 3)) + "<hr><p>Now and then</p>" * (i % 4 > 0)) for i in range(9)] for h, page in (("a.org", PLAIN), ("b.org", FLAT))}
+    rows = [(i, u, p) for i, (u, p) in enumerate(x for own in pages.values() for x in own)]
+    found = {r.host: r for r in X.host_templates(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    for host, own in pages.items():
+        known = {"words": (), "split": found[host].split}
+        vectors: dict = {}
+        for i, (_, page) in enumerate(own):
+            read = X.Page(page, frozenset(), frozenset(known["split"]))
+            for token in [p for p, _ in read.starts] + [X._token(b[0].path, X._joined(b)) for b in read.blocks()]:
+                vectors.setdefault(token, [0] * len(own))[i] += 1
+        often = {t: v for t, v in vectors.items() if sum(map(bool, v)) >= X.SUPPORT * len(own)}
+        assert found[host].single == sorted(t for t, v in often.items() if isinstance(t, str) and max(v) == 1)
+        assert found[host].texts == sorted(t for t in often if not isinstance(t, str))
+        assert found[host].cuts == sorted(t for t, v in often.items() if not isinstance(t, str) and max(v) == 1)
+        assert len(set(map(tuple, often.values()))) >= 2  # several classes
+    assert found["a.org"].split == ["/body>div", "/body/div[1]>div"]
