@@ -1,7 +1,8 @@
 """Shards of near-equal bytes by a k-d tree.
 
-A node that is to become k shards is cut at the weighted quantile
-(k // 2) / k of its widest metadata dimension, until every leaf is one shard.
+The metadata dimensions are size, source and lang, each scaled to its own range.
+A node that is to become k shards is cut at the weighted quantile (k // 2) / k of
+its widest dimension, until every leaf is one shard.
 The quantiles come from histograms that Spark sums over all rows: each pass
 looks only at the bucket that holds the cut and splits it further.  The driver
 sees one row for a node, never rows of documents.
@@ -17,38 +18,46 @@ from lyrebird.staging import staged, table
 SHARDS = 24
 #: buckets of one histogram
 FAN = 1 << 14
-#: bits of a coordinate
-BITS = 42
+#: bits of a coordinate: the value in its dimension, and below it what orders equal values, text first and then id
+VALUE_BITS, TEXT_BITS, ID_BITS = 16, 18, 28
+BITS = VALUE_BITS + TEXT_BITS + ID_BITS
 #: a cut is fine enough when its bucket holds this share of a shard
 FINE = 0.0005
 #: rows numbered together within a shard
 SLOT_ROWS = 100_000
 
-#: bits of a coordinate that break ties
-_TIE = 18
+_TIE = TEXT_BITS + ID_BITS
+_TOP = (1 << VALUE_BITS) - 1
 
 
-def _coordinates(docs: DataFrame) -> DataFrame:
-    """size, text_crc32 and three coordinates below 2**BITS for each row.
+def _metadata(docs: DataFrame) -> DataFrame:
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.select("doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), "source", "lang")
+
 
-    The upper bits are the metadata value, the lower ones order equal values: by
-    text first, so that copies stay neighbours, then by id, so that a cut can
-    pass through any number of them.
+def _coordinates(rows: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32 and three coordinates below 2**BITS for each row of metadata.
+
+    Values are the logarithm of the size and the ranks of source and lang in
+    code-point order, null last, each from 0 for the least in the table to the
+    same top for the greatest.  Equal values are ordered by text first, so that
+    copies stay neighbours, then by id, so that a cut can pass through any number
+    of them.  The windows see a row for each pair of source and lang.
     """
-    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    kept = docs.select("doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), "source", "lang")
-    tie = F.shiftleft(F.col("text_crc32").bitwiseAND(F.lit((1 << 9) - 1)), 9) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 9))
-    high = BITS - _TIE
-
-    def spread(value):  # a value below 2**24 above the tie
-        return F.shiftleft(value.cast("long"), _TIE) + tie
-
-    log_size = F.least(F.log2(F.col("size").cast("double")) * F.lit(float(1 << 18)), F.lit(float((1 << high) - 1)))
-    label = F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))), F.lit(1 << high))
-    return kept.select(
-        "doc_id", "size", "text_crc32",
-        spread(log_size).alias("x0"), spread(label).alias("x1"), spread(F.shiftright(F.col("text_crc32"), 32 - high)).alias("x2"),
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rank = lambda c: F.dense_rank().over(Window.orderBy(F.col(c).asc_nulls_last())) - 1
+    groups = rows.groupBy("source", "lang").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    groups = groups.withColumn("s", rank("source")).withColumn("l", rank("lang"))
+    groups = groups.select(
+        F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.min("low").over(whole).alias("_low"), F.max("high").over(whole).alias("_high"),
+        *[F.floor(F.col(c) * _TOP / F.greatest(F.max(c).over(whole), F.lit(1))).alias(f"_{c}") for c in ("s", "l")],
     )
+    joined = rows.join(groups, rows["source"].eqNullSafe(groups["_source"]) & rows["lang"].eqNullSafe(groups["_lang"]))
+    log = lambda c: F.log2(F.col(c).cast("double"))
+    size = F.floor((log("size") - log("_low")) * _TOP / F.greatest(log("_high") - log("_low"), F.lit(1e-9)))
+    tie = F.shiftleft(F.shiftright("text_crc32", 32 - TEXT_BITS), ID_BITS) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
+    values = {"x0": F.least(size, F.lit(_TOP)), "x1": F.col("_s"), "x2": F.col("_l")}
+    return joined.select("doc_id", "size", "text_crc32", *[(F.shiftleft(v.cast("long"), _TIE) + tie).alias(c) for c, v in values.items()])
 
 
 def _values(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
@@ -108,7 +117,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, fine: float = FINE) -> Data
     without a gap in each shard.
     An empty table gives no rows.  Other columns are left alone.
     """
-    rows = staged(_coordinates(docs), "kd-rows").withColumn("node", F.lit(0))
+    rows = staged(_coordinates(staged(_metadata(docs), "kd-metadata")), "kd-rows").withColumn("node", F.lit(0))
     total = rows.agg(F.sum("size")).first()[0] or 0
     share = total / shards
     nodes, first_shard, next_node = {0: shards}, {0: 0}, 1
