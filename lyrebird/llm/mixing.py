@@ -2,7 +2,9 @@
 
 Word counts are summed by source, every source gets a target, and each document
 is taken floor(target / size of its source) times, and once more where a number
-seeded by its id falls under the fraction.
+seeded by its id falls under the fraction.  The numbers of a source are turned by
+the one of SEEDS equal steps with which the words taken come nearest its target;
+one grouped sum finds it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ TOTAL_SHARE = 1.5
 #: most that a source is repeated
 MOST_REPEATS = 2.0
 SEED = 17
+#: turns of a source's numbers, of which the best is taken; the first of equal ones
+SEEDS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -64,12 +68,36 @@ def source_targets(
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def copies_taken(doc_id: Column, rate: Column, seed: int = SEED) -> Column:
-    """floor(rate), and one more with the probability of the fraction."""
+def seeded_number(doc_id: Column, seed: int = SEED) -> Column:
+    """A number from 0 to 1 that the seed and the id fix."""
     digest = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), "UTF-8"))
-    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def copies_taken(number: Column, rate: Column, turn: Column) -> Column:
+    """floor(rate), and one more with the probability of the fraction: where the number, turned, falls under it."""
+    turned = number + turn / F.lit(float(SEEDS))
+    turned = F.when(turned >= 1, turned - 1).otherwise(turned)
     whole = F.floor(rate)
-    return (whole + F.when(number < rate - whole, 1).otherwise(0)).cast("long")
+    return (whole + F.when(turned < rate - whole, 1).otherwise(0)).cast("long")
+
+
+def _rate() -> Column:
+    return F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+
+
+def source_turns(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets with the turn of each source with which it comes nearest its target; sizes has source, size and number."""
+    # a source is one row here: Spark broadcasts it below its own threshold and else splits the hot source's join
+    rows = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.source", "size", "number", "source_size", "target")
+    taken = [F.sum(F.col("size") * copies_taken(F.col("number"), _rate(), F.lit(k))).alias(f"taken{k}") for k in range(SEEDS)]
+    sums = rows.groupBy("source").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), *taken)
+    off = F.array(*[F.struct(F.abs(F.col(f"taken{k}") - F.col("target")).alias("off"), F.lit(k).alias("turn")) for k in range(SEEDS)])
+    return sums.select("source", "source_size", "target", F.array_min(off)["turn"].alias("turn"))
+
+
+def _sizes(docs: DataFrame, seed: int) -> DataFrame:
+    return staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), seeded_number(F.col("doc_id"), seed).alias("number")), "mix-sizes")
 
 
 def mix_plan(docs: DataFrame, **options) -> DataFrame:
@@ -78,28 +106,33 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
     docs has doc_id, text and source.  A null text has no words; documents of a
     null source form a source of their own, the last; a null doc_id is as good a
     seed as another.  A source without words has target 0 and is taken 0 times.
-    Rows that repeat share their decision.  Other columns are left alone.
+    Rows that repeat share their decision.  A source of one document is taken
+    whole or not at all for its fraction, whichever is nearer.  Other columns are
+    left alone.
     """
-    seed = options.pop("seed", SEED)
-    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    targets = source_targets(sizes, **options)
-    # a source is one row here: Spark broadcasts it below its own threshold and else splits the hot source's join
-    planned = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    return planned.select("d.doc_id", "d.source", "size", "source_size", "target", copies_taken(F.col("d.doc_id"), rate, seed).alias("copies"))
+    sizes = _sizes(docs, options.pop("seed", SEED))
+    turns = staged(source_turns(sizes, source_targets(sizes, **options)), "mix-turns")
+    planned = sizes.alias("d").join(turns.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+    return planned.select("d.doc_id", "d.source", "size", "source_size", "target", copies_taken(F.col("number"), _rate(), F.col("turn")).alias("copies"))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """name, longer where a column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each document as often as the mix takes it; the same columns."""
     seed = options.pop("seed", SEED)
-    sizes = docs.select("source", word_count(F.col("text")).alias("size"))
-    targets = staged(source_targets(sizes, **options), "mix-targets")
-    rates = targets.select(
-        F.col("source").alias("_mix_source"), F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("_mix_rate")
-    )
-    taken = docs.join(rates, docs["source"].eqNullSafe(rates["_mix_source"]))
-    repeats = F.array_repeat(F.lit(0), copies_taken(docs["doc_id"], F.col("_mix_rate"), seed).cast("int"))
-    return taken.withColumn("_mix_copy", F.explode(repeats)).select(*[docs[c] for c in docs.columns])
+    sizes = _sizes(docs, seed)
+    turns = staged(source_turns(sizes, source_targets(sizes, **options)), "mix-turns")
+    source, rate, turn, copy = (_free(f"_mix_{c}", docs.columns) for c in ("source", "rate", "turn", "copy"))
+    rates = turns.select(F.col("source").alias(source), _rate().alias(rate), F.col("turn").alias(turn))
+    taken = docs.join(rates, docs["source"].eqNullSafe(rates[source]))
+    repeats = F.array_repeat(F.lit(0), copies_taken(seeded_number(docs["doc_id"], seed), F.col(rate), F.col(turn)).cast("int"))
+    return taken.withColumn(copy, F.explode(repeats)).select(*[docs[c] for c in docs.columns])
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +148,11 @@ l AS (SELECT *, cap / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS
 k AS (SELECT *, (total - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM l
       WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, (ratio, source)) FROM k WHERE ratio >= level), 'inf'::DOUBLE) * weight) AS target FROM k),
-r AS (SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+r AS (SELECT d.doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
              CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS number
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, number + turn / {SEEDS}.0::DOUBLE AS x FROM r, (SELECT unnest(range({SEEDS})) AS turn)),
+c AS (SELECT *, CAST(floor(rate) + CASE WHEN x - CASE WHEN x >= 1 THEN 1 ELSE 0 END < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM n),
+b AS (SELECT source, arg_min(turn, (off, turn)) AS turn FROM (SELECT source, turn, abs(sum(size * copies) - max(target)) AS off FROM c GROUP BY 1, 2) GROUP BY 1)
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies
-FROM (SELECT *, CAST(floor(rate) + CASE WHEN number < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM r)"""
+FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.turn = b.turn"""

@@ -70,6 +70,26 @@ def test_taken_words_come_near(spark):
         assert abs(r.taken - r.target) < 0.05 * r.target
 
 
+def test_small_sources_come_near(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 400), "en", f"s{i % 40}", 1) for i in range(2000)]
+    plan = mixing.mix_plan(spark.createDataFrame(rows, COLUMNS)).collect()
+    for source in {r.source for r in plan}:
+        own = [r for r in plan if r.source == source]
+        assert len({r.target for r in own}) == 1 and abs(sum(r.size * r.copies for r in own) - own[0].target) < 0.05 * own[0].target
+    one = mixing.mix_plan(spark.createDataFrame([(1, "w " * 1000, "en", "a", 1), (2, "w " * 10, "en", "b", 1)], COLUMNS)).collect()
+    assert all(r.copies in (1, 2) for r in one)
+
+
+def test_columns_with_the_names_of_the_mix(docs):
+    from pyspark.sql import functions as F
+
+    odd = docs.select("*", *[F.lit(c).alias(c) for c in ("_mix_source", "_mix_rate", "_mix_turn", "_mix_copy", "number", "turn", "copies", "taken0")])
+    out = mixing.mixed_documents(odd)
+    assert out.columns == odd.columns and {r["_mix_copy"] for r in out.collect()} == {"_mix_copy"}
+    assert outcome(out.select("doc_id", "source")) == outcome(mixing.mixed_documents(docs).select("doc_id", "source"))
+
+
 def test_documents(odd_docs, no_docs):
     copies = mixing.mix_plan(odd_docs).select("doc_id", "source", "size", "copies").collect()
     out = mixing.mixed_documents(odd_docs)
