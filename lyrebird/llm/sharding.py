@@ -17,7 +17,7 @@ from lyrebird.staging import staged, table
 
 SHARDS = 24
 #: buckets of one histogram
-FAN = 1 << 14
+FAN = 1 << 16
 #: bits of a coordinate: the value in its dimension, and below it what orders equal values, text first and then id
 VALUE_BITS, TEXT_BITS, ID_BITS = 16, 18, 28
 BITS = VALUE_BITS + TEXT_BITS + ID_BITS
@@ -86,21 +86,21 @@ def _cuts(rows: DataFrame, nodes: dict[int, dict]) -> dict[int, int]:
             .where((_coordinate() >= F.col("low")) & (_coordinate() < F.col("high")))
             .select("node", "size", F.expr("(element_at(array(x0, x1, x2), dim + 1) - low) div width").alias("bucket"))
             .groupBy("node", "bucket")
-            .agg(F.sum("size").alias("mass"))
+            .agg(F.sum("size").alias("mass"), F.count(F.lit(1)).alias("n"))
         )
         running = mass.join(asked, "node").withColumn(
             "upto", F.col("start") + F.sum("mass").over(Window.partitionBy("node").orderBy("bucket"))
         )
         # of each node the bucket in which the running sum passes the goal, else the last
         hit = running.groupBy("node").agg(
-            F.min(F.when(F.col("upto") >= F.col("goal"), F.struct("bucket", "mass", "upto"))).alias("first"),
-            F.max(F.struct("bucket", "mass", "upto")).alias("last"),
+            F.min(F.when(F.col("upto") >= F.col("goal"), F.struct("bucket", "mass", "upto", "n"))).alias("first"),
+            F.max(F.struct("bucket", "mass", "upto", "n")).alias("last"),
         )
         for r in hit.collect():  # a row a node
             n, b = r["node"], r["first"] or r["last"]
             left = span[n][0] + b["bucket"] * wide[n]
             right, below = left + wide[n], b["upto"] - b["mass"]
-            if wide[n] == 1 or b["mass"] <= nodes[n]["fine"]:
+            if wide[n] == 1 or b["n"] == 1 or b["mass"] <= nodes[n]["fine"]:
                 cuts[n] = right if abs(b["upto"] - nodes[n]["goal"]) <= abs(below - nodes[n]["goal"]) else left
             else:
                 span[n], before[n] = (left, right), below
