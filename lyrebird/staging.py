@@ -40,3 +40,10 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it as long as a column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
