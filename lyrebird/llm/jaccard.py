@@ -27,7 +27,7 @@ from lyrebird.llm.components import connected_components
 from lyrebird.llm.prefilter import likely_in
 from lyrebird.llm.rtree import LEAF, CountTree
 from lyrebird.llm.words import LOWER, mix, shingle_sets, signed, word_blocks
-from lyrebird.staging import staged, table
+from lyrebird.staging import free_name, staged, table
 
 SHINGLE = 5
 #: groups of a set, a power of two that grows with the set and lies between these
@@ -36,10 +36,12 @@ GROUPS = (64, 1 << 16)
 FREQUENT = 0.0005
 #: shingles of which the frequent ones are picked together
 PICKED = 3_000_000
-#: documents that share a shingle and are not gathered in one cell, but dealt out as they are
+#: documents that share a shingle and are not gathered in one task, but dealt out as they are
 HOT_ROWS = 50_000
-#: sets of a cell that are in one tree; larger cells are taken in parts, and every two parts together
+#: sets of a cell that are in one tree; larger cells are banded by size and taken in parts
 TREE_ROWS = 4096
+#: rows of shingles that a task looks at together, and those of one shingle more
+CELL_ROWS = 500_000
 
 _FULL = np.iinfo(np.uint16).max
 
@@ -79,8 +81,8 @@ def _prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (4 * n + 4) // 5 + 1
 
 
-def _named(shared):
-    """doc_id, text -> a row for each shingle that a set names."""
+def _named(shared, most: int):
+    """doc_id, text -> a row for each shingle that a set names; those of more than most documents are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, count = shared.value
@@ -99,7 +101,7 @@ def _named(shared):
                     order = np.lexsort((sets[own], often[own]))
                     sets[own], often[own] = sets[own][order], often[own][order]
                 named = np.flatnonzero(np.arange(len(sets)) - bounds[row] < _prefix_length(sizes)[row])
-                hot = often[named] > HOT_ROWS
+                hot = often[named] > most
                 doc = batch["doc_id"].slice(block.first_row, block.rows).take(pa.array(row[named]))
                 where = np.where(hot, np.arange(len(named)).astype(np.uint64), sets[named])
                 yield pa.record_batch({
@@ -110,18 +112,57 @@ def _named(shared):
     return run
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some shingles -> cell, doc_id, n of sets that share one; cells of the same sets are given once."""
-    parts = []
-    for batch in batches:
-        hot = batch["hot"].to_numpy(zero_copy_only=False)
-        if hot.any():
-            own = batch.filter(pa.array(hot))
-            yield pa.record_batch([own["shingle"], own["doc_id"], own["n"]], ["cell", "doc_id", "n"])
-        parts.append([batch[c].to_numpy(zero_copy_only=False)[~hot] for c in ("shingle", "n", "doc_id")])
-    if not parts:
-        return
-    shingle, n, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+def _cells(most: int, together: int):
+    """Rows of shingles, in order of shingle -> cell, doc_id, n of sets that share one; cells of the same sets in a task are given once.
+
+    Rows of a hot shingle stay as they are, and so do those of one with more than most rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        count, large = 0, None
+        for batch in batches:
+            hot = batch["hot"].to_numpy(zero_copy_only=False)
+            if hot.any():
+                own = batch.filter(pa.array(hot))
+                yield pa.record_batch([own["shingle"], own["doc_id"], own["n"]], ["cell", "doc_id", "n"])
+            held.append(tuple(batch[c].to_numpy(zero_copy_only=False)[~hot] for c in ("shingle", "n", "doc_id")))
+            count += len(held[-1][0])
+            if count <= together:
+                continue
+            whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            if large is not None and whole[0][0] != large:
+                large = None
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last shingle may go on
+            if large is not None:  # a shingle that has begun to be given as it is
+                cut_large = int(np.searchsorted(whole[0], large, side="right"))
+                yield _as_they_are(*(c[:cut_large] for c in whole))
+                whole, cut = tuple(c[cut_large:] for c in whole), max(0, cut - cut_large)
+            if cut:
+                yield from _named_cells(*(c[:cut] for c in whole))
+            rest = tuple(c[cut:] for c in whole)
+            if len(rest[0]) > most:
+                large = rest[0][0]
+                yield _as_they_are(*rest)
+                rest = tuple(c[:0] for c in rest)
+            held, count = [rest], len(rest[0])
+        if count:
+            whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            if large is not None:
+                own = int(np.searchsorted(whole[0], large, side="right"))
+                yield _as_they_are(*(c[:own] for c in whole))
+                whole = tuple(c[own:] for c in whole)
+            yield from _named_cells(*whole)
+
+    return run
+
+
+def _as_they_are(shingle: np.ndarray, n: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"cell": pa.array(shingle), "doc_id": pa.array(doc), "n": pa.array(n.astype(np.int32))})
+
+
+def _named_cells(shingle: np.ndarray, n: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The cells of whole shingles."""
     _, at, often = np.unique(shingle, return_inverse=True, return_counts=True)
     kept = np.flatnonzero(often[at] > 1)
     shingle, n, doc = shingle[kept], n[kept].astype(np.int64), doc[kept]
@@ -299,18 +340,43 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["a"], batch["b"], pa.array(both, pa.int64())], ["a", "b", "shared"]).filter(pa.array(good, pa.bool_()))
 
 
-def _walked(cells: DataFrame, points: DataFrame, every: bool) -> DataFrame:
-    """Pairs of doc_ids, each once; cells has cell, doc_id and, with every, component."""
+def _banded(cells: DataFrame) -> DataFrame:
+    """cells, with those of more than TREE_ROWS sets dealt to bands of size; similar sets are in one band or in neighbouring ones, and a set is in two."""
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-    large = staged(sizes.where(F.col("rows") > TREE_ROWS).select("cell", F.ceil(F.col("rows") / TREE_ROWS).cast("int").alias("parts")), "jaccard-large")
-    rows = cells.join(large, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    if every:  # part p meets part q in the tree of (p, q)
-        others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(q, own) * F.col("parts") + F.greatest(q, own))
-        rows = rows.withColumn("part", F.explode(others))
+    large = staged(sizes.where(F.col("rows") > TREE_ROWS).select("cell", F.lit(True).alias("large")), "jaccard-wide")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26)))  # similar sizes differ by a factor of 1.25 at most
+    names = F.when(F.col("large"), F.transform(F.array(band, band + 1), lambda b: F.xxhash64("cell", b))).otherwise(F.array("cell"))
+    return cells.join(large, "cell", "left").withColumn("cell", F.explode(names)).drop("large")
+
+
+def _walked(cells: DataFrame, points: DataFrame, every: bool) -> DataFrame:
+    """Pairs of doc_ids, each once; cells has cell, doc_id, n and, with every, component.
+
+    A large cell is taken in parts of TREE_ROWS.  The first walk takes each part
+    alone.  The last one has no pairs to find within the cell's largest
+    component: the other sets, in their own parts, meet each other and the parts
+    of the largest.
+    """
+    cells = _banded(cells)
+    parts = lambda rows: F.ceil(rows / TREE_ROWS).cast("long")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(n, F.lit(1).cast("long")))
+    if every:
+        counts = cells.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("own"))
+        large = counts.groupBy("cell").agg(F.sum("own").alias("rows"), F.max(F.struct("own", "component")).alias("most")).where(F.col("rows") > TREE_ROWS)
+        large = large.select("cell", F.col("most.component").alias("most"), parts(F.col("most.own")).alias("p"), parts(F.col("rows") - F.col("most.own")).alias("q"))
+        rows = cells.join(staged(large, "jaccard-large"), "cell", "left")
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        among = F.transform(upto(F.col("q")), lambda k: F.least(k, own(F.col("q"))) * F.col("q") + F.greatest(k, own(F.col("q"))))
+        across = F.transform(upto(F.col("p")), lambda k: F.col("q") * F.col("q") + own(F.col("q")) * F.col("p") + k)
+        back = F.transform(upto(F.col("q")), lambda k: F.col("q") * F.col("q") + k * F.col("p") + own(F.col("p")))
+        where = F.when(F.col("most").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("q") == 0, F.array().cast("array<long>"))
+        where = where.when(F.col("component") == F.col("most"), back).otherwise(F.concat(among, across))
+        rows = rows.withColumn("part", F.explode(where)).drop("most", "p", "q")
     else:
-        rows = rows.withColumn("part", own)
-    rows = rows.drop("parts", "n").join(points.select("doc_id", "n", "counts"), "doc_id")
+        sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
+        large = staged(sizes.where(F.col("rows") > TREE_ROWS).select("cell", parts(F.col("rows")).alias("parts")), "jaccard-large")
+        rows = cells.join(large, "cell", "left").withColumn("part", own(F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+    rows = rows.drop("n").join(points.select("doc_id", "n", "counts"), "doc_id")
     columns = ["cell", "part", "doc_id", "n", "counts", *(["component"] if every else [])]
     dealt = rows.select(*columns).repartition("cell", "part").sortWithinPartitions("cell", "part")
     return dealt.mapInArrow(_walk(every), "a long, b long").distinct()
@@ -363,8 +429,9 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     listed = frequent["one"].to_numpy().view(np.uint64)[order], frequent["often"].to_numpy()[order]
 
     heads = docs.where("doc_id IS NOT NULL").join(idle, "doc_id", "left_anti")
-    named = heads.mapInArrow(_named(spark.sparkContext.broadcast(listed)), "route long, shingle long, doc_id long, n int, hot boolean")
-    cells = named.repartition("route").mapInArrow(_cells, "cell long, doc_id long, n int").distinct()
+    named = heads.mapInArrow(_named(spark.sparkContext.broadcast(listed), HOT_ROWS), "route long, shingle long, doc_id long, n int, hot boolean")
+    # hot shingles are dealt out; the rows of any other stand together
+    cells = named.repartition("route").sortWithinPartitions("shingle").mapInArrow(_cells(HOT_ROWS, CELL_ROWS), "cell long, doc_id long, n int").distinct()
     cells = staged(cells, "jaccard-cells")
     members = staged(cells.select("doc_id").distinct(), "jaccard-members")
     points = likely_in(docs, members, then=_points, schema="doc_id long, n int, counts binary").join(members, "doc_id")
@@ -373,7 +440,7 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = staged(_walked(cells, points, every=False), "jaccard-pairs")
     links = staged(_verified(tried, docs, several), "jaccard-links")
     joined = staged(connected_components(links), "jaccard-components")
-    tagged = cells.join(joined, cells["doc_id"] == joined["node"], "left").select("cell", cells["doc_id"], F.coalesce("component", "doc_id").alias("component"))
+    tagged = cells.join(joined, cells["doc_id"] == joined["node"], "left").select("cell", cells["doc_id"], "n", F.coalesce("component", "doc_id").alias("component"))
     tagged = staged(tagged, "jaccard-tagged")
     open_cells = tagged.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("cell")
     left = _walked(tagged.join(open_cells, "cell", "left_semi"), points, every=True)
@@ -390,16 +457,17 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with the smallest id of each class of near duplicates, and of rows that repeat an id the one whose text has the least digest; rows without an id stay."""
-    away = jaccard_classes(docs)[0].where("doc_id <> component_id").select(F.col("doc_id").alias("_away")).distinct()
-    away = staged(away, "jaccard-away")
-    kept = docs.join(away, docs["doc_id"] == away["_away"], "left_anti")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("_away"))
-    repeated = staged(repeated, "jaccard-repeated")
-    once = kept.join(repeated, kept["doc_id"] == repeated["_away"], "left_anti")
-    several = kept.join(repeated, kept["doc_id"] == repeated["_away"], "left_semi")
-    whole = F.struct(*several.columns)
-    least = several.groupBy("doc_id").agg(F.min_by(whole, F.struct(F.sha2(F.col("text").cast("binary"), 256), F.to_json(whole))).alias("_least"))
-    return once.union(least.select("_least.*"))
+    away = jaccard_classes(docs)[0].where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.lit(2).alias("_mark"))
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    marks = away.union(repeated.select("doc_id", F.lit(1))).groupBy("_id").agg(F.max("_mark").alias("_mark"))
+    marks = staged(marks, "jaccard-marks")
+    id_, mark, least = (free_name(c, docs.columns) for c in ("_id", "_mark", "_least"))
+    marked = docs.join(marks.select(F.col("_id").alias(id_), F.col("_mark").alias(mark)), docs["doc_id"] == F.col(id_), "left")
+    once = marked.where(F.col(mark).isNull()).select(*docs.columns)
+    several = marked.where(F.col(mark) == 1).select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    least_of = several.groupBy("doc_id").agg(F.min_by(whole, F.struct(F.sha2(F.col("text").cast("binary"), 256), F.to_json(whole))).alias(least))
+    return once.union(least_of.select(f"{least}.*"))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyrebird.staging import staged, table
+from lyrebird.staging import free_name, staged, table
 
 #: by rank of the source in code-point order, repeating
 WEIGHTS = (5, 2, 1)
@@ -116,19 +116,12 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
     return planned.select("d.doc_id", "d.source", "size", "source_size", "target", copies_taken(F.col("number"), _rate(), F.col("turn")).alias("copies"))
 
 
-def _free(name: str, taken: list[str]) -> str:
-    """name, longer where a column has it."""
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name
-
-
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each document as often as the mix takes it; the same columns."""
     seed = options.pop("seed", SEED)
     sizes = _sizes(docs, seed)
     turns = staged(source_turns(sizes, source_targets(sizes, **options)), "mix-turns")
-    source, rate, turn, copy = (_free(f"_mix_{c}", docs.columns) for c in ("source", "rate", "turn", "copy"))
+    source, rate, turn, copy = (free_name(f"_mix_{c}", docs.columns) for c in ("source", "rate", "turn", "copy"))
     rates = turns.select(F.col("source").alias(source), _rate().alias(rate), F.col("turn").alias(turn))
     taken = docs.join(rates, docs["source"].eqNullSafe(rates[source]))
     repeats = F.array_repeat(F.lit(0), copies_taken(seeded_number(docs["doc_id"], seed), F.col(rate), F.col(turn)).cast("int"))

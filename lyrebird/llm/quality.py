@@ -163,7 +163,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
 
 
 def score_quality(docs: DataFrame, model: dict, score: str = "score", text: str = "text") -> DataFrame:
-    """docs with a column score from 0 to 1: how likely label 1 is; one for empty and null texts too."""
+    """docs with a column score from 0 to 1: how likely label 1 is; one for empty and null texts too.
+
+    A column of docs that has the name of the score is replaced.
+    """
+    docs = docs.select(*[c for c in docs.columns if c.lower() != score.lower()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LEAF, FAN = 16, 16
+LEAF, FAN = 4, 8
 
 
 class CountTree:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from awkward import COLUMNS, corpus, outcome, words_of
 from pyspark.sql import functions as F
@@ -47,10 +49,45 @@ def test_against_all_pairs(spark, seed):
 
 def test_parts_and_hot_shingles(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "TREE_ROWS", 3)
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 3)
+    monkeypatch.setattr(jaccard, "CELL_ROWS", 5)
     got = outcome(jaccard.jaccard_classes(docs)[0])
     assert got == brute(rows)
 
 
+def test_cells_of_streamed_shingles():
+    """Whatever the batches, sets that share a shingle share a cell."""
+    rng = np.random.default_rng(3)
+    for most, together in ((2, 4), (5, 9), (1000, 1000)):
+        shingle = np.sort(np.concatenate([rng.integers(-9, 9, 60), np.full(17, 4), np.full(30, 8)]))
+        doc = np.arange(len(shingle))
+        hot = shingle == -3
+        columns = {"shingle": shingle, "doc_id": doc, "n": np.full(len(doc), 10, np.int32), "hot": hot}
+        whole = pa.record_batch({c: pa.array(v) for c, v in columns.items()})
+        cuts = [0, *sorted(rng.integers(0, len(doc), 12).tolist()), len(doc)]
+        found: dict = {}
+        for out in jaccard._cells(most, together)(whole.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)):
+            for cell, d in zip(out["cell"].to_pylist(), out["doc_id"].to_pylist(), strict=True):
+                found.setdefault(cell, set()).add(d)
+        wanted = {frozenset(doc[shingle == s].tolist()) for s in set(shingle.tolist()) if (shingle == s).sum() > 1}
+        assert {frozenset(d) for d in found.values() if len(d) > 1} == wanted
+
+
+def test_large_cells_lose_no_link(spark, monkeypatch):
+    """Copies with few changes, in several components, that all have one passage."""
+    monkeypatch.setattr(jaccard, "TREE_ROWS", 4)
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 6)
+    rng = random.Random(7)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for group in range(6):
+        base = passage + [f"g{group}w{i}" for i in range(3 + 2 * group)]
+        for k in range(9):
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = f"x{group}_{k}"
+            rows.append((len(rows) * 7 % 54 + 1, " ".join(copy), "en", "s", 1))
+    assert outcome(jaccard.jaccard_classes(spark.createDataFrame(rows, COLUMNS).repartition(3))[0]) == brute(rows)
+
+
 def test_threshold_is_exact(spark):
     base = [f"w{i}" for i in range(104)]  # 100 shingles
     rows = [(1, " ".join(base), "en", "s", 1)]
