@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,7 +43,13 @@ def wall_ms(ts: Column) -> Column:
 
 
 def _round4(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if pd.isna(v) else round(v, 4))
+    value = values.to_numpy(np.float64)
+    scaled = value * 1e4
+    out = np.rint(scaled) / 1e4
+    # the product is not exact: near ties, and where it has no decimals left, the exact value decides
+    close = np.flatnonzero((np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6) | (np.abs(scaled) > 1e9))
+    out[close] = [round(v, 4) for v in value[close].tolist()]
+    return pd.Series(out).where(values.notna().to_numpy())
 
 
 def round4(value: Column) -> Column:

@@ -17,32 +17,45 @@ def assembled(text: Column, words: Column, base: Column) -> Column:
     start after; text behind the last one has no end.  Without found words the
     whole text is one word without times.  Times are moved by base.
     """
-    nothing = F.lit(None).cast("long")
+    nothing, zero = F.lit(None).cast("long"), F.lit(0)
 
     def word(content: Column, start: Column, end: Column) -> Column:
         return F.struct(content.alias("content"), start.cast("long").alias("start"), end.cast("long").alias("end")).cast(_WORD)
 
     def step(state: Column, item: Column) -> Column:
-        cursor, out = state["cursor"], state["out"]
-        rest = F.substr(text, cursor + 1)
-        ahead = F.when(F.length(item["word"]) == 0, F.lit(0)).otherwise(F.instr(rest, item["word"]) - 1)
+        """The cursor, and of each word its place from 1, or 0; no text is built here."""
         known = item["start_ms"].isNotNull() & item["end_ms"].isNotNull() & item["word"].isNotNull()
-        before = F.when(F.size(out) > 0, F.get(out, F.size(out) - 1)["end"])
-        found = word(item["word"], item["start_ms"] + base, item["end_ms"] + base)
-        gap = F.when(ahead > 0, F.array(word(F.substr(rest, F.lit(1), ahead), before, item["start_ms"] + base))).otherwise(F.array().cast(f"array<{_WORD}>"))
-        moved = F.struct((cursor + ahead + F.length(item["word"])).cast("int").alias("cursor"), F.concat(out, gap, F.array(found)).alias("out"))
-        return F.when(known & (ahead >= 0), moved).otherwise(state)
+        cursor = state["cursor"]
+        place = F.when(known, F.when(item["word"] == "", cursor).otherwise(F.call_function("locate", item["word"], text, cursor))).otherwise(zero)
+        behind = lambda at: F.when(at > 0, at + F.length(item["word"])).otherwise(cursor)
+        return _let(place, lambda at: F.struct(behind(at).cast("int").alias("cursor"), F.concat(state["places"], F.array(at)).alias("places")))
 
-    start = F.struct(F.lit(0).cast("int").alias("cursor"), F.array().cast(f"array<{_WORD}>").alias("out"))
+    def build(found: Column) -> Column:
+        """found: word, start, end, at and behind (where the text goes on) of the words in the text, in order."""
+        before = lambda i, k: F.when(i > 0, F.get(found, i - 1)[k])
+        gap = lambda h, i: F.substr(text, F.coalesce(before(i, "behind"), F.lit(1)), h["at"] - F.coalesce(before(i, "behind"), F.lit(1)))
+        pieces = F.flatten(F.transform(found, lambda h, i: F.array(word(gap(h, i), before(i, "end"), h["start"]), word(h["word"], h["start"], h["end"]))))
+        last = F.get(found, F.size(found) - 1)
+        tail = word(F.substr(text, F.coalesce(last["behind"], F.lit(1))), last["end"], nothing)
+        # gaps stand at even places, the tail at the end; empty ones are none
+        return F.filter(F.concat(pieces, F.array(tail)), lambda w, i: (i % 2 == 1) | (w["content"] != ""))
 
     def finish(state: Column) -> Column:
-        out, tail = state["out"], F.substr(text, state["cursor"] + 1)
-        before = F.when(F.size(out) > 0, F.get(out, F.size(out) - 1)["end"])
-        return F.when(F.length(tail) > 0, F.concat(out, F.array(word(tail, before, nothing)))).otherwise(out)
+        at = lambda i: F.get(state["places"], i)
+        hit = lambda w, i: F.struct(
+            w["word"].alias("word"), (w["start_ms"] + base).alias("start"), (w["end_ms"] + base).alias("end"), at(i).alias("at"), (at(i) + F.length(w["word"])).alias("behind")
+        )
+        return _let(F.filter(F.transform(words, hit), lambda h: h["at"] > 0), build)
 
+    start = F.struct(F.lit(1).cast("int").alias("cursor"), F.array().cast("array<int>").alias("places"))
     return F.aggregate(words, start, step, finish)
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def moved_end(words: Column, line_end: Column) -> tuple[Column, Column]:
     """The words with the last one's end taken off, and that end as the line's; both as they are if it has none."""
     last = F.get(words, F.size(words) - 1)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lyrebird.schema import ALIGNED_WORD
+from lyrebird.sources.audio import planar
 
 VOCAL_STEM = "vocals"
 
@@ -63,10 +64,12 @@ def separated(audio: DataFrame, make: Callable[[], StemSeparator], stem: str = V
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                stems = model.separate(np.array(row["channels"].to_pylist()[0], np.float32))
+                stems = model.separate(planar(row["channels"][0]).astype(np.float32))
                 if stem not in stems:
                     raise ValueError(f"the separator gives no stem {stem}")
-                yield pa.record_batch([row["clip_id"], row["sample_rate"], pa.array([[c.tolist() for c in stems[stem]]], pa.list_(pa.list_(pa.float32())))], batch.schema.names)
+                samples = np.asarray(stems[stem], np.float32)
+                channels = pa.ListArray.from_arrays(np.arange(len(samples) + 1, dtype=np.int32) * samples.shape[1], samples.ravel())
+                yield pa.record_batch([row["clip_id"], row["sample_rate"], pa.ListArray.from_arrays(np.array([0, len(samples)], np.int32), channels)], batch.schema.names)
 
     return audio.select("clip_id", "sample_rate", "channels").mapInArrow(run, "clip_id string, sample_rate int, channels array<array<float>>")
 

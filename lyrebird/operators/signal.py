@@ -151,62 +151,91 @@ def gain_steps(envelope: np.ndarray, before: float, c: Compressor) -> tuple[np.n
     return k, k * c.wanted(envelope)
 
 
-def _gains(k: np.ndarray, kt: np.ndarray, gain: float, out: np.ndarray) -> float:
-    for i, (a, b) in enumerate(zip(k.tolist(), kt.tolist(), strict=True)):
-        gain += b - a * gain
-        out[i] = gain
-    return gain
+#: samples whose maps are put together at once; the product of their factors stays above 1e-120
+_TOGETHER = 256
 
 
-def compress_pieces(pieces: DataFrame, c: Compressor) -> DataFrame:
-    """clip_id, piece, samples -> the same with gains applied; pieces of a clip are numbered from 0 in order.
+def run_gains(k: np.ndarray, kt: np.ndarray, gain: float) -> np.ndarray:
+    """The gain at each sample, from the one before the first: g -> (1 - k) g + k t, in blocks of samples side by side."""
+    n = len(k)
+    rows = -(-n // _TOGETHER)
+    keep, add = (np.pad(x, (0, rows * _TOGETHER - n)).reshape(rows, _TOGETHER) for x in (k, kt))
+    factor = np.cumprod(1 - keep, axis=1)
+    sums = np.cumsum(add / factor, axis=1)
+    before = np.empty(rows)
+    for row, (f, t) in enumerate(zip(factor[:, -1].tolist(), sums[:, -1].tolist(), strict=True)):
+        before[row] = gain
+        gain = f * (gain + t)
+    return (factor * (before[:, None] + sums)).ravel()[:n]
+
+
+def gain_pieces(envelopes: DataFrame, c: Compressor) -> DataFrame:
+    """clip_id, piece, samples (of an envelope) -> clip_id, piece, gains; pieces of a clip are numbered from 0 in order.
 
     Every piece sends the linear map that takes the gain before it to the gain
     after it: two numbers.  A clip's maps, one row a piece, are run through in
     order, and each piece then starts from its own gain.  The first sample of a
     clip has gain 1.
     """
-    if c.ratio <= 1:
-        return pieces
+
+    def steps(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for x, before, number in zip(batch["samples"], batch["before"].to_pylist(), batch["piece"].to_pylist(), strict=True):
+            e = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            k, kt = gain_steps(e, e[0] if before is None and len(e) else before or 0.0, c)
+            if number == 0 and len(k):
+                k[0] = kt[0] = 0.0  # the first sample keeps the gain
+            yield k, kt
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for x, before, number in zip(batch["samples"], batch["before"].to_pylist(), batch["piece"].to_pylist(), strict=True):
-                e = np.abs(x.values.to_numpy(zero_copy_only=False).astype(np.float64))
-                k, kt = gain_steps(e, e[0] if before is None and len(e) else before or 0.0, c)
-                skip = 1 if number == 0 else 0
-                ends = np.empty(len(k) - skip if len(k) else 0)
-                b.append(_gains(k[skip:], kt[skip:], 0.0, ends))
-                a.append(float(np.prod(1 - k[skip:])))
-            yield pa.record_batch([batch["clip_id"], batch["piece"], pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["clip_id", "piece", "a", "b"])
+            found = [(float(np.prod(1 - k)), float(run_gains(k, kt, 0.0)[-1]) if len(k) else 0.0) for k, kt in steps(batch)]
+            a, b = (pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))
+            yield pa.record_batch([batch["clip_id"], batch["piece"], a, b], ["clip_id", "piece", "a", "b"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for clip, own in zip(batch["clip_id"], batch["maps"], strict=True):
+                piece, a, b = (own.values.field(i) for i in range(3))
+                gain, gains = 1.0, []
+                for factor, plus in zip(a.to_pylist(), b.to_pylist(), strict=True):
+                    gains.append(gain)
+                    gain = factor * gain + plus
+                yield pa.record_batch([pa.array([clip.as_py()] * len(gains), batch["clip_id"].type), piece, pa.array(gains, pa.float64())], ["clip_id", "piece", "gain"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, before, gain, number in zip(batch["samples"], batch["before"].to_pylist(), batch["gain"].to_pylist(), batch["piece"].to_pylist(), strict=True):
-                v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                e = np.abs(v)
-                k, kt = gain_steps(e, e[0] if before is None and len(e) else before or 0.0, c)
-                skip, gains = (1 if number == 0 else 0), np.ones(len(v))
-                _gains(k[skip:], kt[skip:], gain, gains[skip:])
-                out.append(v * gains)
-            yield pa.record_batch([batch["clip_id"], batch["piece"], pa.array(out, pa.list_(pa.float64()))], ["clip_id", "piece", "samples"])
-
-    kind = pieces.schema["clip_id"].dataType.simpleString()
+            out = [run_gains(k, kt, gain) for (k, kt), gain in zip(steps(batch), batch["gain"].to_pylist(), strict=True)]
+            yield pa.record_batch([batch["clip_id"], batch["piece"], pa.array(out, pa.list_(pa.float64()))], ["clip_id", "piece", "gains"])
+
+    kind = envelopes.schema["clip_id"].dataType.simpleString()
     order = Window.partitionBy("clip_id").orderBy("piece")
-    ends = pieces.select("clip_id", F.col("piece").cast("long").alias("piece"), F.abs(F.element_at("samples", -1)).cast("double").alias("end"))
+    pieces = envelopes.select("clip_id", F.col("piece").cast("long").alias("piece"), F.col("samples").cast("array<double>").alias("samples"))
+    ends = pieces.select("clip_id", "piece", F.element_at("samples", -1).alias("end"))
     fronts = ends.select("clip_id", "piece", F.lag("end").over(order).alias("before"))
-    rows = pieces.select("clip_id", F.col("piece").cast("long").alias("piece"), F.col("samples").cast("array<double>").alias("samples")).join(fronts, ["clip_id", "piece"])
+    rows = pieces.join(fronts, ["clip_id", "piece"])
     affine = rows.mapInArrow(maps, f"clip_id {kind}, piece long, a double, b double")
-    chain = F.array_sort(F.collect_list(F.struct("piece", "a", "b")))
     # gains in front of the pieces: as many numbers as pieces
-    chained = affine.groupBy("clip_id").agg(chain.alias("m")).select(
-        "clip_id",
-        F.explode(F.expr("aggregate(m, struct(1D AS g, CAST(array() AS array<struct<piece:bigint,gain:double>>) AS o), (s, x) -> struct(x.a * s.g + x.b AS g, concat(s.o, array(struct(x.piece AS piece, s.g AS gain))) AS o), s -> s.o)")).alias("p"),
-    )
-    gains = chained.select("clip_id", "p.piece", "p.gain")
-    return rows.join(gains, ["clip_id", "piece"]).mapInArrow(apply, f"clip_id {kind}, piece long, samples array<double>")
+    chained = affine.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("piece", "a", "b"))).alias("maps"))
+    gains = chained.mapInArrow(chain, f"clip_id {kind}, piece long, gain double")
+    return rows.join(gains, ["clip_id", "piece"]).mapInArrow(apply, f"clip_id {kind}, piece long, gains array<double>")
+
+
+def compress_pieces(pieces: DataFrame, c: Compressor) -> DataFrame:
+    """clip_id, piece, samples of one channel -> the same with gains applied."""
+    if c.ratio <= 1:
+        return pieces
+    gains = gain_pieces(pieces.withColumn("samples", F.transform("samples", lambda x: F.abs(x))), c)
+    rows = pieces.select("clip_id", F.col("piece").cast("long").alias("piece"), "samples").join(gains, ["clip_id", "piece"])
+    return rows.select("clip_id", "piece", F.zip_with("samples", "gains", lambda x, g: x.cast("double") * g).alias("samples"))
+
+
+def compress_linked(samples: DataFrame, c: Compressor, piece: int = PIECE) -> DataFrame:
+    """Rows (clip_id, channel, idx, v) with one gain for all channels, by the largest magnitude over them."""
+    if c.ratio <= 1:
+        return samples
+    gains = gain_pieces(to_pieces(linked_peak(samples), value="peak", piece=piece), c)
+    by_sample = from_pieces(gains.withColumnRenamed("gains", "samples"), value="_gain", piece=piece)
+    return samples.join(by_sample, ["clip_id", "idx"]).withColumn("v", F.col("v").cast("double") * F.col("_gain")).drop("_gain")
 
 
 def to_pieces(samples: DataFrame, clip: str = "clip_id", value: str = "v", piece: int = PIECE) -> DataFrame:

@@ -7,6 +7,7 @@ Texts get script characters and credits by their ids, since none has any.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,13 +17,13 @@ from lyrebird.functions.text import METADATA_KEYWORDS, detect_lang, is_metadata_
 from lyrebird.functions.units import db_to_linear, job_id, linear_to_db, ms_to_sample, round4, sample_to_ms, seconds_to_ms, wall_ms
 from lyrebird.operators import signal
 from lyrebird.operators.lines import clip, clip_rows, eligible, line_intervals, line_text
-from lyrebird.operators.models import even_words
-from lyrebird.plans.word_timing import with_words
+from lyrebird.operators.models import EvenAligner, WholeMixAsVocals, even_words
+from lyrebird.plans.word_timing import with_words, word_timing
 from lyrebird.schema import ALIGNED_WORD, WORD
 from lyrebird.sources.alignment import batch_request, case_words, service_words
 from lyrebird.sources.audio import decode_wav, encode_wav, quantized
-from lyrebird.sources.lrc import lines_of_json, ms_tag, parse_lrc, render_lrc, song_json, song_metadata
-from lyrebird.staging import table
+from lyrebird.sources.lrc import lines_of_json, ms_tag, parse_lrc, read_lrc, render_lrc, song_json, song_metadata
+from lyrebird.staging import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -310,6 +311,20 @@ def preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("clip_id", "idx", F.round("v", 5).alias("v"))
 
 
+_LINKED = (
+    f"p AS ({_VECTOR_SAMPLES}), s AS (SELECT clip_id, idx, max(abs(v)) AS v FROM p GROUP BY 1, 2), {_gain_sql('s')} "
+    "SELECT p.clip_id, CAST(channel AS BIGINT) AS channel, CAST(p.idx AS BIGINT) AS idx, round(p.v * gain, 6) AS v FROM p JOIN g ON p.clip_id = g.clip_id AND p.idx = g.idx"
+)
+
+
+@query(f"WITH RECURSIVE {_LINKED}")
+def compressed_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two channels under one gain."""
+    samples = _vector_samples(spark, sf_dir).withColumn("idx", F.col("idx").cast("long"))
+    out = signal.compress_linked(samples, _COMPRESSOR, piece=16)
+    return out.select("clip_id", "channel", "idx", F.round("v", 6).alias("v"))
+
+
 @query(f"""
 SELECT clip_id AS vec_id, CAST(idx AS INT) AS idx, CAST(trunc(least(greatest(v * 5, -1.0), 1.0) * 32767.0) AS SMALLINT) AS pcm FROM ({_ONE_VECTOR})""")
 def pcm_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,6 +347,23 @@ def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("clip_id").cast("long").alias("clip_id"), "channel", F.size("samples").cast("long").alias("n"), total.alias("total"))
 
 
+@query(f"""
+SELECT clip_id, CAST(channel AS INT) AS channel, count(*) AS n, CAST(sum(CAST(trunc(least(greatest(v, -1.0), 1.0) * 32767.0) AS BIGINT)) AS BIGINT) AS total
+FROM ({_VECTOR_SAMPLES}) WHERE idx < 64 - 1 - clip_id % 5 GROUP BY 1, 2""")
+def cut_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WAV files that end in the middle of a frame: the whole frames before are read."""
+    vectors = table(spark, sf_dir, "embeddings")
+    pairs = vectors.groupBy(F.expr("CAST(vec_id div 2 AS STRING)").alias("clip_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda r: r["embedding"]).alias("channels")
+    )
+    files = encode_wav(pairs.where(F.size("channels") == 2), 8000)
+    kept = F.octet_length("content") - 1 - 4 * (F.col("clip_id").cast("int") % 5)  # a frame has four bytes
+    back = decode_wav(files.select(F.col("clip_id").alias("path"), F.substring("content", F.lit(1), kept).alias("content")), 8000)
+    codes = F.transform("samples", lambda x: F.round(x.cast("double") * 32768).cast("long"))
+    total = F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + x)
+    return back.select(F.col("clip_id").cast("long").alias("clip_id"), "channel", F.size("samples").cast("long").alias("n"), total.alias("total"))
+
+
 # ---------------------------------------------------------------- alignment
 
 _WORDS_SQL = """
@@ -399,14 +431,16 @@ def _timed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("words", words)
 
 
-_FOLD = """
+_FOLD_WORDS = """
 WITH RECURSIVE l AS (
     SELECT conv_id, turn, text, CASE WHEN turn % 5 <> 4 THEN turn * 5000 END AS start_ms, CASE WHEN turn % 2 = 0 THEN turn * 5000 + 4500 END AS end_ms,
            list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM conversations),
 w AS (SELECT conv_id, turn, i, CASE WHEN (turn + i) % 5 = 1 THEN '#' ELSE ws[i + 1] END AS word,
              CASE WHEN (turn + i) % 7 <> 3 THEN i * 4000 // len(ws) + coalesce(start_ms, 0) END AS a,
              CASE WHEN (turn + i) % 7 <> 3 THEN (i + 1) * 4000 // len(ws) + coalesce(start_ms, 0) END AS b
-      FROM (SELECT *, unnest(range(len(ws))) AS i FROM l)),
+      FROM (SELECT *, unnest(range(len(ws))) AS i FROM l)),"""
+#: the fold of the words w into the lines l; what comes of it is in z
+_FOLD_LINES = """
 f AS (
     SELECT conv_id, turn, text, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS prev, CAST('' AS VARCHAR) AS out FROM l
     UNION ALL
@@ -418,11 +452,12 @@ f AS (
                  w.a IS NOT NULL AND instr(substr(f.text, pos + 1), w.word) > 0 AS hit
           FROM f JOIN w ON w.conv_id = f.conv_id AND w.turn = f.turn AND w.i = f.i) f),
 e AS (SELECT f.*, l.end_ms FROM f JOIN l ON l.conv_id = f.conv_id AND l.turn = f.turn WHERE f.i = len(l.ws)),
-t AS (SELECT *, substr(text, pos + 1) AS tail FROM e)
-SELECT conv_id, turn,
+t AS (SELECT *, substr(text, pos + 1) AS tail FROM e),
+z AS (SELECT conv_id, turn,
        CASE WHEN length(tail) > 0 THEN out || coalesce(CAST(prev AS VARCHAR), '-') || ',-,' || tail || ';'
             WHEN prev IS NULL THEN out ELSE regexp_replace(out, '^((?:.|\\n)*),' || prev || ',((?:.|\\n)*?)$', '\\1,-,\\2') END AS words,
-       CASE WHEN length(tail) > 0 OR prev IS NULL THEN end_ms ELSE prev END AS end_ms FROM t"""
+       CASE WHEN length(tail) > 0 OR prev IS NULL THEN end_ms ELSE prev END AS end_ms FROM t)"""
+_FOLD = f"{_FOLD_WORDS}{_FOLD_LINES} SELECT * FROM z"
 
 
 def _shown(content: Column) -> Column:
@@ -433,10 +468,43 @@ def _shown(content: Column) -> Column:
 
 @query(_FOLD)
 def assembled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = with_words(_timed_turns(spark, sf_dir), F.col("words"))
+    # the table is a small file, one task, and the fold is long
+    lines = with_words(_timed_turns(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism), F.col("words"))
     return lines.select("conv_id", "turn", _shown(F.col("content")).alias("words"), "end_ms")
 
 
+#: samples a second of the vectors that stand for songs
+_SONG_RATE = 4
+_SONG_LINES = "CASE WHEN turn % 6 = 5 THEN concat('作曲：', text) ELSE text END"
+
+
+@query(f"""
+WITH RECURSIVE c AS (
+    SELECT conv_id, turn, {_SONG_LINES} AS text, CASE WHEN turn % 5 <> 4 THEN turn * 4000 END AS start_ms,
+           CASE WHEN turn % 4 = 2 THEN turn * 4000 + 3000 WHEN turn % 8 = 3 THEN turn * 4000 END AS end_ms FROM conversations),
+n AS (SELECT *, lead(start_ms) OVER o AS next_ms, lead(1) OVER o IS NULL AS last FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+i AS (SELECT *, CAST(trunc(coalesce(start_ms, 0) * {_SONG_RATE} / 1000) AS BIGINT) AS p, CASE WHEN NOT last THEN CAST(trunc(coalesce(end_ms, next_ms) * {_SONG_RATE} / 1000) AS BIGINT) END AS q FROM n),
+k AS (SELECT *, conv_id IN (SELECT vec_id // 2 FROM embeddings WHERE vec_id % 2 = 0) AND turn % 6 <> 5 AND (q IS NULL OR p <= q) AS chosen FROM i),
+l AS (SELECT *, greatest(least(coalesce(q, 64), 64) - least(p, 64), 0) * 1000 // {_SONG_RATE} AS ms, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM k WHERE chosen),
+w AS (SELECT conv_id, turn, i, ws[i + 1] AS word, i * ms // len(ws) + coalesce(start_ms, 0) AS a, (i + 1) * ms // len(ws) + coalesce(start_ms, 0) AS b
+      FROM (SELECT *, unnest(range(len(ws))) AS i FROM l)),{_FOLD_LINES}
+SELECT conv_id, turn, words, end_ms FROM z UNION ALL
+SELECT conv_id, turn, coalesce(CAST(start_ms AS VARCHAR), '-') || ',' || coalesce(CAST(end_ms AS VARCHAR), '-') || ',' || text || ';', end_ms FROM k WHERE NOT chosen""")
+def word_timed_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan: conversations are songs and turns their lines, pairs of vectors their two channels; stand-ins separate and align."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_SONG_LINES).alias("text"))
+    start = F.when(F.col("turn") % 5 != 4, F.col("turn") * 4000)
+    end = F.when(F.col("turn") % 4 == 2, F.col("turn") * 4000 + 3000).when(F.col("turn") % 8 == 3, F.col("turn") * 4000)
+    word = F.struct(F.col("text").alias("content"), start.alias("start"), end.alias("end")).cast(WORD)
+    lines = turns.select(
+        F.col("conv_id").cast("string").alias("song_id"), F.col("turn").cast("int").alias("line_no"), start.cast("long").alias("start_ms"), end.cast("long").alias("end_ms"),
+        F.array(word).alias("content"), F.array().cast(f"array<array<{WORD}>>").alias("reference_lines"),
+    )
+    mix = _vector_samples(spark, sf_dir).select(F.col("clip_id").cast("string").alias("song_id"), "channel", F.col("idx").cast("long").alias("idx"), "v")
+    timed = word_timing(lines, mix, EvenAligner, config=signal.SignalConfig(compress=True), rate=_SONG_RATE, make_separator=WholeMixAsVocals)
+    return timed.select(F.col("song_id").cast("long").alias("conv_id"), F.col("line_no").cast("long").alias("turn"), _shown(F.col("content")).alias("words"), "end_ms")
+
+
 # ---------------------------------------------------------------- lyric files
 
 _PLAIN = "regexp_replace(text, '[<>:\\\\s\\\\[\\\\]]+', ' ')"
@@ -498,3 +566,35 @@ def lyrics_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written as JSON and read again."""
     songs = _files(spark, sf_dir)
     return _shown_lines(lines_of_json(song_json(parse_lrc(songs), song_metadata(songs))))
+
+
+_ODD = f"""
+WITH t AS (SELECT conv_id, turn, {_PLAIN_SQL} AS s, turn * 10000 + CAST(rpad(substr('1234567', 1, CAST(turn % 6 + 1 AS INT)), 3, '0')[1:3] AS BIGINT) AS a FROM conversations),
+o AS (SELECT *, row_number() OVER w - 1 AS line_no, lead(a) OVER w AS b FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY a))
+SELECT CAST(conv_id AS VARCHAR) AS song_id, CAST(line_no AS INT) AS line_no, a AS start_ms, b AS end_ms,
+       a || ',' || coalesce(CAST(b AS VARCHAR), '-') || ',' || CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'two  blanks   and ' || s ELSE s END || ';' AS words, '' AS refs FROM o"""
+
+
+def _odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lyric file of each conversation with fractions of one to six digits, lines without text and runs of blanks."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_PLAIN).alias("s"))
+    fraction = F.substring(F.lit("1234567"), F.lit(1), (F.col("turn") % 6 + 1).cast("int"))
+    tag = F.concat(F.substring(ms_tag(F.col("turn").cast("long") * 10_000), 1, 7), fraction, F.lit("]"))
+    body = F.when(F.col("turn") % 3 == 0, F.lit("")).when(F.col("turn") % 3 == 1, F.concat(F.lit("two  blanks   and "), "s")).otherwise(F.col("s"))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", F.concat(tag, body).alias("line"))))
+    songs = turns.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\r\n\n").alias("value"))
+    return songs.select(F.col("conv_id").cast("string").alias("song_id"), "value")
+
+
+@query(_ODD)
+def odd_lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown_lines(parse_lrc(_odd_files(spark, sf_dir)))
+
+
+@query(_ODD)
+def lyric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from text files, one a song."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/lyrics-{uuid.uuid4().hex}"
+    _odd_files(spark, sf_dir).repartition("song_id").write.partitionBy("song_id").text(folder)
+    songs = read_lrc(spark, f"{folder}/*/*.txt").withColumn("song_id", F.regexp_extract("song_id", "song_id=([^/]*)", 1))
+    return _shown_lines(parse_lrc(songs))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lyrebird.functions.units import RATE
 from lyrebird.operators.assemble import assembled, moved_end
-from lyrebird.operators.lines import clip, eligible, line_intervals, line_text
-from lyrebird.operators.models import Aligner, aligned
+from lyrebird.operators.lines import aligned_interval, clip_rows, eligible, line_intervals, line_text
+from lyrebird.operators.models import Aligner, StemSeparator, aligned, separated
 from lyrebird.operators.signal import SignalConfig, first_channel, preprocess
 from lyrebird.schema import WORD
 from lyrebird.sources.audio import tap
@@ -25,37 +25,56 @@ def with_words(lines: DataFrame, words: Column) -> DataFrame:
     return lines.withColumn("content", F.when(F.col("_made").isNotNull(), content).otherwise(F.col("content")).cast(f"array<{WORD}>")).drop("_made")
 
 
+def _stem(audio: DataFrame, make: Callable[[], StemSeparator], rate: int) -> DataFrame:
+    """Rows of the vocal stem of rows (clip_id, channel, idx, v); the model needs a clip whole."""
+    channels = audio.groupBy("clip_id", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda r: r["v"].cast("float")).alias("samples"))
+    whole = channels.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "samples"))), lambda r: r["samples"]).alias("channels"))
+    stem = separated(whole.select("clip_id", F.lit(rate).alias("sample_rate"), "channels"), make)
+    rows = stem.select("clip_id", F.posexplode("channels").alias("channel", "samples"))
+    return rows.select("clip_id", "channel", F.posexplode("samples").alias("idx", "v"))
+
+
 def word_timing(
     lines: DataFrame,
-    vocals: DataFrame,
+    audio: DataFrame,
     make_aligner: Callable[[], Aligner],
     target_lang: str | None = None,
     config: SignalConfig = SignalConfig(),
     rate: int = RATE,
     folder: str | None = None,
+    make_separator: Callable[[], StemSeparator] | None = None,
+    tap_lines: bool = False,
 ) -> DataFrame:
     """lines with word times.
 
-    vocals has song_id, channel, idx and v; its first channel goes on.  Lines that
-    are not eligible stay as they are, and the aligner sees none of them.
+    audio has song_id, channel, idx and v; with a separator it is a mix, of which
+    the vocals are taken, else it is the vocals.  Its first channel goes on.  Lines
+    that are not eligible, and those of songs without audio, stay as they are, and
+    the aligner sees none of them.  Samples meet their lines in a range join; a
+    line's own samples are the most that is gathered.  With a folder the stages are
+    written there, 00_input only with a separator, and with tap_lines each line's
+    samples under 05_line/line_no=...
     """
     dump = tap(folder)
-    samples = first_channel(dump(vocals, "01_vocal_stem")).withColumnRenamed("song_id", "clip_id")
+    samples = audio.withColumnRenamed("song_id", "clip_id")
+    if make_separator:
+        samples = _stem(dump(samples, "00_input"), make_separator, rate)
+    samples = first_channel(dump(samples, "01_vocal_stem"))
     samples = preprocess(samples, config, rate, dump if folder else None)
-    audio = samples.groupBy(F.col("clip_id").alias("song_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda r: r["v"].cast("float")).alias("samples")
-    )
     timed = line_intervals(lines, rate=rate)
     wanted = eligible(line_text(F.col("content")), F.col("start_ms"), F.col("end_ms"), target_lang)
-    inside = F.col("end_sample").isNull() | (F.col("start_sample") <= F.col("end_sample"))
-    chosen = timed.where(wanted & inside).join(audio, "song_id")
-    clips = chosen.select(
-        F.struct("song_id", "line_no").alias("id"),
-        clip(F.col("samples"), F.col("start_sample"), F.col("end_sample")).alias("samples"),
+    chosen = timed.where(wanted & aligned_interval(F.col("start_sample"), F.col("end_sample")))
+    chosen = chosen.join(samples.select(F.col("clip_id").alias("song_id")).distinct(), "song_id", "left_semi")
+    intervals = chosen.select(F.col("song_id").alias("clip_id"), "line_no", "start_sample", "end_sample")
+    rows = clip_rows(samples, intervals, rate=rate).groupBy(F.col("clip_id").alias("song_id"), "line_no")
+    heard = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda r: r["v"].cast("float")).alias("samples"))
+    heard = dump(heard, "05_line", "line_no") if tap_lines else heard
+    clips = chosen.join(heard, ["song_id", "line_no"], "left").select(
+        F.to_json(F.struct("song_id", "line_no")).alias("key"),
+        F.coalesce("samples", F.array().cast("array<float>")).alias("samples"),
         line_text(F.col("content")).alias("text"),
         F.lit(rate).alias("sample_rate"),
     )
-    clips = clips.withColumn("key", F.to_json("id"))
     words = aligned(clips, make_aligner).withColumn("id", F.from_json("key", "struct<song_id:string,line_no:int>"))
     found = words.select(F.col("id.song_id").alias("song_id"), F.col("id.line_no").alias("line_no"), "words")
     joined = timed.join(found, ["song_id", "line_no"], "left").drop("start_sample", "end_sample")

@@ -20,6 +20,11 @@ def quantized(value: Column) -> Column:
     return (F.least(F.greatest(value.cast("double"), F.lit(-1.0)), F.lit(1.0)) * F.lit(32767.0)).cast("smallint")
 
 
+def planar(channels: pa.ListScalar) -> np.ndarray:
+    """(channels, samples) of a list of lists of samples."""
+    return np.stack([c.values.to_numpy(zero_copy_only=False).astype(np.float64) for c in channels.values]) if len(channels.values) else np.empty((0, 0))
+
+
 def wav_file(channels: np.ndarray, rate: int) -> bytes:
     """A 16-bit WAV file of (channels, samples); one or two channels."""
     if channels.ndim != 2 or channels.shape[0] not in (1, 2):
@@ -70,11 +75,11 @@ def decode_wav(files: DataFrame, rate: int = RATE, skip_invalid: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                planar = wav_samples(data.as_py(), rate, skip_invalid)
-                n = len(planar)
+                samples = wav_samples(data.as_py(), rate, skip_invalid)
+                n = len(samples)
                 yield pa.record_batch({
                     "clip_id": pa.array([path] * n, pa.string()), "stem": pa.array(["input"] * n, pa.string()), "channel": pa.array(range(n), pa.int32()),
-                    "sample_rate": pa.array([rate] * n, pa.int32()), "samples": pa.array(list(planar), pa.list_(pa.float32())),
+                    "sample_rate": pa.array([rate] * n, pa.int32()), "samples": pa.array(list(samples), pa.list_(pa.float32())),
                 })
 
     return files.select("path", "content").mapInArrow(run, "clip_id string, stem string, channel int, sample_rate int, samples array<float>")
@@ -90,7 +95,7 @@ def encode_wav(audio: DataFrame, rate: int = RATE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = [wav_file(np.array(c, np.float64), rate) for c in batch["channels"].to_pylist()]
+            files = [wav_file(planar(c), rate) for c in batch["channels"]]
             yield pa.record_batch([batch["clip_id"], pa.array(files, pa.binary())], ["clip_id", "content"])
 
     return audio.select("clip_id", "channels").mapInArrow(run, f"clip_id {kind}, content binary")
@@ -99,10 +104,10 @@ def encode_wav(audio: DataFrame, rate: int = RATE) -> DataFrame:
 def tap(folder: str | None):
     """A function that writes a table under a name and hands it on; without a folder it only hands it on."""
 
-    def write(df: DataFrame, name: str) -> DataFrame:
+    def write(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         if folder is None:
             return df
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return df.sparkSession.read.parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}").select(*df.columns)
 
     return write

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lyrebird.operators.signal import Compressor, gain_steps
+from lyrebird.operators.signal import Compressor, gain_steps, run_gains
 
 _STATE = "piece long, gain double, envelope double"
 
@@ -28,15 +28,13 @@ def compress_stream(pieces: DataFrame, c: Compressor) -> DataFrame:
             if row.piece != number:
                 raise ValueError(f"clip {key[0]}: piece {row.piece} came where {number} was due")
             v = np.asarray(row.samples, np.float64)
-            e, gains = np.abs(v), np.empty(len(v))
+            e, gains = np.abs(v), np.empty(0)
             if len(v):
                 k, kt = gain_steps(e, e[0] if np.isnan(before) else before, c)
                 if np.isnan(before):
                     k[0] = kt[0] = 0.0
-                for i in range(len(v)):
-                    gain += kt[i] - k[i] * gain
-                    gains[i] = gain
-                before = float(e[-1])
+                gains = run_gains(k, kt, gain)
+                gain, before = float(gains[-1]), float(e[-1])
             number += 1
             yield pd.DataFrame({"clip_id": [key[0]], "piece": [row.piece], "samples": [(v * gains).tolist()]})
         state.update((number, gain, before))

@@ -108,3 +108,19 @@ def test_word_timing(spark, tmp_path):
     assert [(w.content, w.start, w.end) for w in out[2].content] == [("ef", 200, 245), (" ", 245, 245), ("gh", 245, None)] and out[2].end_ms == 290
     assert len(out[3].content) == 2
     assert {p.name for p in tmp_path.iterdir()} == {"01_vocal_stem", "02_normalized", "03_vibrato_suppressed", "04_compressed"}
+
+
+def test_word_timing_of_a_mix(spark, tmp_path):
+    from lyrebird.operators.models import WholeMixAsVocals
+
+    rows = [(a, n, s, e, [(t, s, e)], []) for a, n, s, e, t in (("s", 0, 0, None, "ab cd"), ("s", 1, 100, 100, "xy z"), ("s", 2, 150, None, "ef"), ("mute", 0, 0, None, "no audio"))]
+    df = spark.createDataFrame(rows, f"song_id string, line_no int, start_ms long, end_ms long, content array<{WORD}>, reference_lines array<array<{WORD}>>")
+    mix = spark.createDataFrame([("s", c, i, 0.1 + c) for c in (0, 1) for i in range(400)], "song_id string, channel int, idx long, v double")
+    found = word_timing(df, mix, EvenAligner, None, SignalConfig(), rate=1000, folder=str(tmp_path), make_separator=WholeMixAsVocals, tap_lines=True)
+    out = {(r.song_id, r.line_no): r for r in found.collect()}
+    assert [(w.content, w.start, w.end) for w in out["s", 0].content] == [("ab", 0, 50), (" ", 50, 50), ("cd", 50, None)]
+    assert [(w.content, w.start, w.end) for w in out["s", 1].content] == [("xy", 100, 100), (" ", 100, 100), ("z", 100, None)]  # an empty interval is aligned
+    assert out["s", 2].end_ms == 400 and out["mute", 0].content[0].content == "no audio"
+    assert {p.name for p in tmp_path.iterdir()} == {"00_input", "01_vocal_stem", "02_normalized", "03_vibrato_suppressed", "05_line"}
+    lines = spark.read.parquet(f"{tmp_path}/05_line")
+    assert {(r.line_no, len(r.samples)) for r in lines.collect()} == {(0, 100), (2, 250)}

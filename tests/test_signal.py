@@ -148,3 +148,32 @@ def test_wav(spark, tmp_path):
         assert wav_samples(bytes(data)[:-3], 8000).shape == (2, 3)
     assert wav_samples(bytes(data), 16000).shape == (2, 8)
     assert tap(None)(df, "x") is df
+
+
+def test_linked_compression(spark):
+    rng = np.random.default_rng(6)
+    c = signal.Compressor(-18.0, 4.0, 10.0, 100.0, 400)
+    audio = {k: rng.normal(0, 0.4, (2, n)) for k, n in ((1, 700), (2, 1), (3, 64))}
+    rows = [(k, ch, i, float(v)) for k, x in audio.items() for ch in (0, 1) for i, v in enumerate(x[ch])]
+    out = signal.compress_linked(spark.createDataFrame(rows, "clip_id int, channel int, idx long, v double"), c, piece=50).collect()
+    got = {(r.clip_id, r.channel, r.idx): r.v for r in out}
+    for k, x in audio.items():
+        e = np.abs(x).max(0)
+        gain, wanted = 1.0, c.wanted(e)
+        for i in range(x.shape[1]):
+            if i:
+                gain += (c.speed(10.0) if e[i] > e[i - 1] else c.speed(100.0)) * (wanted[i] - gain)
+            assert all(abs(got[k, ch, i] - x[ch, i] * gain) < 1e-12 for ch in (0, 1))
+    assert len(out) == len(rows)
+
+
+def test_gains_in_blocks():
+    rng = np.random.default_rng(1)
+    for n, most in ((0, 0.5), (1, 0.5), (256, 0.64), (1000, 0.64), (5000, 0.01)):
+        k = rng.uniform(0, most, n)
+        kt = k * rng.uniform(0, 1, n)
+        g, wanted = 0.7, []
+        for a, b in zip(k, kt, strict=True):
+            g += b - a * g
+            wanted.append(g)
+        assert np.allclose(signal.run_gains(k, kt, 0.7), wanted, rtol=1e-12, atol=1e-14)
