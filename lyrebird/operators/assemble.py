@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lyrebird.functions.columns import once
+
 _WORD = "struct<content:string,start:bigint,end:bigint>"
 
 
@@ -28,7 +30,7 @@ def assembled(text: Column, words: Column, base: Column) -> Column:
         cursor = state["cursor"]
         place = F.when(known, F.when(item["word"] == "", cursor).otherwise(F.call_function("locate", item["word"], text, cursor))).otherwise(zero)
         behind = lambda at: F.when(at > 0, at + F.length(item["word"])).otherwise(cursor)
-        return _let(place, lambda at: F.struct(behind(at).cast("int").alias("cursor"), F.concat(state["places"], F.array(at)).alias("places")))
+        return once(place, lambda at: F.struct(behind(at).cast("int").alias("cursor"), F.concat(state["places"], F.array(at)).alias("places")))
 
     def build(found: Column) -> Column:
         """found: word, start, end, at and behind (where the text goes on) of the words in the text, in order."""
@@ -45,17 +47,12 @@ def assembled(text: Column, words: Column, base: Column) -> Column:
         hit = lambda w, i: F.struct(
             w["word"].alias("word"), (w["start_ms"] + base).alias("start"), (w["end_ms"] + base).alias("end"), at(i).alias("at"), (at(i) + F.length(w["word"])).alias("behind")
         )
-        return _let(F.filter(F.transform(words, hit), lambda h: h["at"] > 0), build)
+        return once(F.filter(F.transform(words, hit), lambda h: h["at"] > 0), build)
 
     start = F.struct(F.lit(1).cast("int").alias("cursor"), F.array().cast("array<int>").alias("places"))
     return F.aggregate(words, start, step, finish)
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def moved_end(words: Column, line_end: Column) -> tuple[Column, Column]:
     """The words with the last one's end taken off, and that end as the line's; both as they are if it has none."""
     last = F.get(words, F.size(words) - 1)

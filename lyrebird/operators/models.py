@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lyrebird.functions.columns import once
 from lyrebird.schema import ALIGNED_WORD
 from lyrebird.sources.audio import planar
 
@@ -50,10 +51,10 @@ class EvenAligner:
 
 def even_words(text: Column, ms: Column) -> Column:
     """EvenAligner as an expression, of a clip of ms milliseconds."""
+    at = lambda i, n: F.floor(i * ms / n).cast("long")
+    timed = lambda words, n: F.transform(words, lambda w, i: F.struct(w.alias("word"), at(i, n).alias("start_ms"), at(i + 1, n).alias("end_ms")))
     words = F.filter(F.split(text, " "), lambda w: w != "")
-    n = F.size(words)
-    at = lambda i: F.floor(i * ms / n).cast("long")
-    return F.transform(words, lambda w, i: F.struct(w.alias("word"), at(i).alias("start_ms"), at(i + 1).alias("end_ms"))).cast(f"array<{ALIGNED_WORD}>")
+    return once(words, lambda found: once(F.size(found), lambda n: timed(found, n))).cast(f"array<{ALIGNED_WORD}>")
 
 
 def separated(audio: DataFrame, make: Callable[[], StemSeparator], stem: str = VOCAL_STEM) -> DataFrame:

@@ -14,6 +14,7 @@ from lyrebird.operators.models import Aligner, StemSeparator, aligned, separated
 from lyrebird.operators.signal import SignalConfig, first_channel, preprocess
 from lyrebird.schema import WORD
 from lyrebird.sources.audio import tap
+from lyrebird.staging import staged
 
 
 def with_words(lines: DataFrame, words: Column) -> DataFrame:
@@ -60,7 +61,8 @@ def word_timing(
     if make_separator:
         samples = _stem(dump(samples, "00_input"), make_separator, rate)
     samples = first_channel(dump(samples, "01_vocal_stem"))
-    samples = preprocess(samples, config, rate, dump if folder else None)
+    # written once: the lines' intervals, their samples and the songs with audio all come from it
+    samples = staged(preprocess(samples, config, rate, dump if folder else None), "word-timing")
     timed = line_intervals(lines, rate=rate)
     wanted = eligible(line_text(F.col("content")), F.col("start_ms"), F.col("end_ms"), target_lang)
     chosen = timed.where(wanted & aligned_interval(F.col("start_sample"), F.col("end_sample")))
