@@ -9,6 +9,7 @@ tree over the room left finds that row in log steps.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -97,24 +98,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 _encoders: dict = {}
 
 
-def _encoder(shared):
-    if shared.id not in _encoders:
+def _encoder(ranks: dict[bytes, int], name: str):
+    """The encoder of a vocabulary, made once in a worker; name is a digest of the ranks."""
+    if name not in _encoders:
         import tiktoken
 
         _encoders.clear()
-        _encoders[shared.id] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
-    return _encoders[shared.id]
-
-
-class _Shared:
-    """A broadcast value with a name, so that a worker builds from it once."""
-
-    def __init__(self, broadcast):
-        self._broadcast, self.id = broadcast, id(broadcast)
-
-    @property
-    def value(self):
-        return self._broadcast.value
+        _encoders[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[name]
 
 
 def packed_ids(docs: DataFrame, length: int = LENGTH, ranks: str = RANKS, end: int | None = END, pad: int = 0) -> DataFrame:
@@ -130,10 +121,12 @@ def packed_ids(docs: DataFrame, length: int = LENGTH, ranks: str = RANKS, end: i
     Blocks are runs of rows of an input partition, so the same files split the
     same way are packed the same way.
     """
-    shared = _Shared(docs.sparkSession.sparkContext.broadcast(load_ranks(ranks)))
+    known = load_ranks(ranks)
+    name = hashlib.sha256(repr(sorted(known.items())).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = _encoder(shared.value, name)
         tail = np.array([] if end is None else [end], np.int32)
         for batch in batches:
             for first, raw, offsets in text_blocks(batch["text"], BLOCK_BYTES):

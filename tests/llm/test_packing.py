@@ -57,3 +57,16 @@ def test_round_trip(docs, odd_docs, no_docs, rows, end):
     assert not any(pieces.values())
     assert packing.packed_ids(no_docs).count() == 0
     assert coder.decode(by_id[rows[0][0]][0][:-1]) in [t or "" for i, t, *_ in rows if i == rows[0][0]]
+
+
+def test_vocabularies_one_after_the_other(spark, tmp_path):
+    """A worker that has made an encoder makes another for other ranks."""
+    import base64
+
+    one, two = ({bytes([b]): (b + shift) % 256 for b in range(256)} for shift in (0, 7))
+    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string").coalesce(1)
+    for k, ranks in enumerate((one, two, one)):
+        path = tmp_path / f"{k}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(a) + b" " + str(b).encode() + b"\n" for a, b in ranks.items()))
+        row = packing.packed_ids(docs, length=8, ranks=str(path), end=None).first()
+        assert np.frombuffer(row.input_ids, "<i4")[:3].tolist() == [ranks[b"a"], ranks[b"b"], ranks[b"c"]]

@@ -38,3 +38,55 @@ def test_registered():
     names = set(entry.queries())
     assert "pipeline" in names and set(entry.oracle_sql()) <= names
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+
+
+def test_whole_against_plain_stages(spark, tmp_path):
+    """run() against the same five decisions taken in plain Python."""
+    import hashlib
+    import random
+
+    import tiktoken
+    from awkward import COLUMNS, corpus
+    from pyspark.sql import functions as F
+    from test_decontamination import brute as leaks
+    from test_jaccard import brute as components
+    from test_mixing import reshared, sizes_of
+    from test_quality import plain_features
+
+    from lyrebird.llm import mixing, packing, quality
+
+    rows = list({r[0]: r for r in corpus(5) if r[0] is not None}.values())
+    rng = random.Random(0)
+    labels = [(r[0], int(rng.random() < 0.7 if r[1] and len(r[1]) > 40 else 0)) for r in rows]
+    items = [(1, " ".join(rows[4][1].split()[:15]) if rows[4][1] else "none"), (2, "words that no document has at all, in any order of them")]
+    for name, table, columns in (("documents", rows, COLUMNS), ("labels", labels, "doc_id long, quality int"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(table, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    m = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+
+    def score(text):
+        f = plain_features(text)
+        margin = m["weights"][f].sum() / np.sqrt(max(1e-12, (m["ratio"][f] ** 2).sum())) if f else 0.0
+        return 1 / (1 + np.exp(-(m["a"] * (margin + m["bias"]) + m["b"])))
+
+    good = [r for r in rows if score(r[1]) >= P.LEAST_QUALITY]
+    heads = {c for _, _, c in components(good)}
+    distinct = [r for r in good if r[0] in heads]
+    dirty = {h[0] for h in leaks(distinct, items) if h[5]}
+    clean = [r for r in distinct if r[0] not in dirty]
+    assert len(rows) > len(good) > len(distinct) > len(clean) > 10
+    sizes, targets, taken = sizes_of(clean), reshared(sizes_of(clean)), []
+    for source in sizes:
+        own = [(r, len((r[1] or "").encode().split()), int(hashlib.md5(f"{mixing.SEED}:{r[0]}".encode()).hexdigest()[:8], 16) / 2**32) for r in clean if r[3] == source]
+        rate = targets[source] / sizes[source] if sizes[source] else 0.0
+        copies = [[int(rate) + ((u + k / mixing.SEEDS) % 1 < rate - int(rate)) for _, _, u in own] for k in range(mixing.SEEDS)]
+        best = min(copies, key=lambda c: abs(sum(n * s for n, (_, s, _) in zip(c, own, strict=True)) - targets[source]))
+        taken += [r for n, (r, _, _) in zip(best, own, strict=True) for _ in range(n)]
+    coder = tiktoken.Encoding("own", pat_str=packing.PATTERN, mergeable_ranks=packing.load_ranks(packing.RANKS), special_tokens={})
+    wanted = sorted((r[0], at, ids[at : at + packing.LENGTH]) for r in taken if (ids := [*coder.encode_ordinary(r[1] or ""), packing.END]) for at in range(0, len(ids), packing.LENGTH))
+    got = []
+    for r in P.run(spark, str(tmp_path)).collect():
+        ids = np.frombuffer(r.input_ids, "<i4")
+        got += [(d, at, ids[a:b].tolist()) for d, at, a, b in zip(r.doc_ids, r.doc_offsets, r.cu_seqlens, r.cu_seqlens[1:], strict=False)]
+    assert sorted(got) == wanted
