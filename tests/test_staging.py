@@ -24,3 +24,14 @@ def test_a_cluster_needs_the_setting(master):
     )
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session)
+
+
+def test_cleared(spark, tmp_path, monkeypatch):
+    from lyrebird import staging
+
+    monkeypatch.setattr(staging, "_own_folder", lambda spark: f"file://{tmp_path}/own")
+    assert staged(spark.range(3), "gone").count() == 3 and list((tmp_path / "own").iterdir())
+    staging.clear(spark)
+    assert not (tmp_path / "own").exists()
+    staging.clear(spark)
+    assert staging.free_name("_x", ["a", "_X", "_x_"]) == "_x__"
