@@ -5,14 +5,14 @@ shingles, and since a document must contain the whole window, one shingle of it
 is a sufficient prefix: the rarest, by how often the corpus has it.  Documents
 meet windows on that shingle; the length bound drops windows longer than the
 document, the positional bound fixes where the window would start, and the words
-there are then compared one by one.
+there are then compared one by one.  A benchmark of bounded size is broadcast;
+a larger one is joined by a shuffle, in which each document sends only the places
+of prefixes, with the words around them.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lyrebird.llm.prefilter import among, bitmap
 from lyrebird.llm.words import ALNUM, gram_ids, signed, word_blocks
-from lyrebird.staging import staged, table
+from lyrebird.staging import free_name, staged, table
 
 WINDOW = 10
 SHINGLE = 3
-#: windows that are sent to all tasks at once; more are taken in several passes
+#: windows that are sent to all tasks; more are joined by a shuffle
 BLOCK_WINDOWS = 250_000
 
 
@@ -35,22 +36,20 @@ def _item_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in word_blocks(batch["text"], ALNUM):
-                ids, at, words, key = signed(block.ids), [], [], []
+                ids, at, words = signed(block.ids), [], []
                 for row in range(block.rows):
                     a, b = block.bounds[row], block.bounds[row + 1]
                     for start in range(a, max(b - window + 1, a + (b > a))):
                         at.append(block.first_row + row)
                         words.append(ids[start : min(start + window, b)])
-                        key.append(hashlib.blake2b(words[-1].tobytes(), digest_size=8).digest())
                 items = batch["item_id"].take(pa.array(at, pa.int64())).cast(pa.string())
-                keys = np.frombuffer(b"".join(key), np.int64) if key else np.empty(0, np.int64)
-                yield pa.record_batch({"item_id": items, "key": pa.array(keys), "words": pa.array(words, pa.list_(pa.int64()))})
+                yield pa.record_batch({"item_id": items, "words": pa.array(words, pa.list_(pa.int64()))})
 
     return run
 
 
 class _Windows:
-    """Windows of one pass, with the shingles that lead to them."""
+    """Windows, with the shingles that lead to them."""
 
     def __init__(self, words: list[np.ndarray], items: list[list[str]], shingle: int):
         self.items = items
@@ -163,6 +162,115 @@ def _matches(block, windows: _Windows, k: int, prefix, bits) -> tuple[np.ndarray
     return start[same], window[same]
 
 
+def _window_shingles(shingle: int):
+    """words, items -> words, items, and each shingle with its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [gram_ids(np.array(w, np.int64).view(np.uint64), min(shingle, len(w))) for w in batch["words"].to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
+            yield pa.record_batch(
+                {
+                    "words": batch["words"].take(at),
+                    "items": batch["items"].take(at),
+                    "gram": pa.array(signed(np.concatenate(grams)) if grams else np.empty(0, np.int64)),
+                    "place": pa.array(np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)),
+                }
+            )
+
+    return run
+
+
+def _marked_counts(shared, sizes: list[int]):
+    """How often each block has the shingles whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            for block in word_blocks(batch["text"], ALNUM):
+                for k in sizes:
+                    grams = gram_ids(block.ids, k)
+                    found, n = np.unique(grams[among(grams, bits)], return_counts=True)
+                    yield pa.record_batch({"gram": pa.array(signed(found)), "n": pa.array(n)})
+
+    return run
+
+
+_PLACES = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int64()), ("lead", pa.int64()), ("around", pa.list_(pa.int64()))]))
+
+
+def _prefix_places(shared, sizes: list[int], window: int, schema: pa.Schema):
+    """Rows with their words and the places whose shingle's bit is set, each with the words that a window there can have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            for block in word_blocks(batch["text"], ALNUM):
+                found = []
+                for k in sizes:
+                    grams = gram_ids(block.ids, k)
+                    at = np.flatnonzero(among(grams, bits))
+                    row = np.searchsorted(block.bounds, at, side="right") - 1
+                    inside = at + k <= block.bounds[row + 1]
+                    at, row = at[inside], row[inside]
+                    low = np.maximum(block.bounds[row], at - (window - k))
+                    found.append((row, at, low, np.minimum(block.bounds[row + 1], at + window), grams[at]))
+                row, at, low, high, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(row, kind="stable")
+                row, at, low, high, gram = (x[order] for x in (row, at, low, high, gram))
+                ends = np.concatenate([[0], np.cumsum(high - low)])
+                word = np.arange(ends[-1]) + np.repeat(low - ends[:-1], high - low)
+                around = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(block.ids[word])))
+                places = [pa.array(signed(gram)), pa.array(at - block.bounds[row]), pa.array(at - low), around]
+                cuts = pa.array(np.searchsorted(row, np.arange(block.rows + 1)), pa.int32())
+                lists = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(places, fields=list(_PLACES.value_type)))
+                kept = [batch[c].slice(block.first_row, block.rows) for c in schema.names[:-2]]
+                yield pa.record_batch([*kept, pa.array(block.counts), lists], schema=schema)
+
+    return run
+
+
+def _joined(docs: DataFrame, found: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs by number, with n_words, and the hits by number of row; neither side of the join is broadcast here.
+
+    The documents are read twice, however many windows there are: to count the
+    windows' shingles, and to find the places of the rarest.
+    """
+    spark = docs.sparkSession
+    sizes = sorted(r[0] for r in found.select(F.least(F.size("words"), F.lit(shingle))).distinct().collect())  # one to shingle
+    shingles = found.select("words", "items").mapInArrow(
+        _window_shingles(shingle), "words array<long>, items array<string>, gram long, place long"
+    )
+    shingles = staged(shingles, "benchmark-shingles")
+    marks = spark.sparkContext.broadcast(np.packbits(bitmap(shingles.select("gram"))))
+    counts = docs.select("text").mapInArrow(_marked_counts(marks, sizes), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    prefixes = (
+        shingles.join(counts, "gram")
+        .groupBy("words")
+        .agg(F.min(F.struct("n", "gram", "place")).alias("least"), F.first("items").alias("items"))
+        .select("least.gram", "least.place", "words", "items")
+    )
+    prefixes = staged(prefixes, "benchmark-prefixes")
+    marks = spark.sparkContext.broadcast(np.packbits(bitmap(prefixes.select("gram"), 64)))
+    own = [f for f in docs.schema.fields if f.name != "text"]
+    schema = pa.schema(
+        [("row", pa.int64()), *((f.name, to_arrow_type(f.dataType)) for f in own), ("n_words", pa.int64()), ("places", _PLACES)]
+    )
+    ddl = ", ".join(["row long", *(f"{f.name} {f.dataType.simpleString()}" for f in own), "n_words long"])
+    numbered = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        _prefix_places(marks, sizes, window, schema), f"{ddl}, places array<struct<gram: long, at: long, lead: long, around: array<long>>>"
+    )
+    numbered = staged(numbered, "benchmark-places")
+    hits = (
+        numbered.select("row", F.explode("places").alias("p"))
+        .select("row", "p.*")
+        .join(prefixes, "gram")
+        .where("lead >= place AND slice(around, int(lead - place) + 1, size(words)) = words")
+        .select("row", (F.col("at") - F.col("place")).alias("start"), F.size("words").cast("long").alias("length"), "items")
+    )
+    return numbered.drop("places"), hits
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, spans, items: one row for each of docs.
 
@@ -171,56 +279,50 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     null or empty text has no words and no hits; items without words have no
     window; of repeated items each id counts.  Rows without an item_id are passed
     over.  Windows that several items share are looked for once.  Ids may repeat or
-    be null.  The windows go to the tasks in passes of about block_windows; where
-    there is more than one pass the rows are numbered and written once, and the
-    hits of a row are put together by its number.
+    be null.  Up to block_windows windows go to all tasks; more are joined on
+    their prefixes by a shuffle, with the same rows.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = next(f for f in docs.schema.fields if f.name == "doc_id").dataType
-    found, passes = _benchmark_windows(benchmark, window, block_windows)
-    keep, ddl = [("doc_id", to_arrow_type(kind))], f"doc_id {kind.simpleString()}"
-    if passes > 1:
-        docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "benchmark-rows").select("row", "doc_id", "text")
-        keep, ddl = [("row", pa.int64()), *keep], f"row long, {ddl}"
-    schema = pa.schema([*keep, ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-    parts = []
-    for part, shared in enumerate(_passes(docs, found, passes, shingle)):
-        hits = docs.mapInArrow(_find(shared, schema), f"{ddl}, n_words long, spans array<long>, items array<string>")
-        if passes == 1:
-            return hits
-        # the first pass has every row, the others those with hits; written, so that a task holds the windows of one pass
-        hits = hits if part == 0 else hits.where(F.size("items") > 0)
-        parts.append(staged(hits.withColumn("part", F.lit(part)), "benchmark-hits"))
-    whole = reduce(DataFrame.union, parts).groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("part", "spans", "items"))).alias("hits")
+    found, n = _benchmark_windows(benchmark, window)
+    if n <= block_windows:
+        schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+        ddl = f"doc_id {kind.simpleString()}, n_words long, spans array<long>, items array<string>"
+        return docs.mapInArrow(_find(_shared_windows(docs, found, shingle), schema), ddl)
+    rows, hits = _joined(docs, found, window, shingle)
+    hits = hits.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    return rows.join(hits, "row", "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce(F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))), F.array().cast("array<long>")).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
-    return whole.select(
-        "doc_id", "n_words", F.flatten("hits.spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten("hits.items"))).alias("items")
-    )
 
 
-def _benchmark_windows(benchmark: DataFrame, window: int, block_windows: int) -> tuple[DataFrame, int]:
-    """The windows with their items, and in how many passes they are taken; one for a benchmark without words."""
+def _benchmark_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, int]:
+    """The windows with their items, and how many there are."""
     found = (
         benchmark.where(F.col("item_id").isNotNull())
         .select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(_item_windows(window), "item_id string, key long, words array<long>")
+        .mapInArrow(_item_windows(window), "item_id string, words array<long>")
         .groupBy("words")
-        .agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.first("key").alias("key"))
+        .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
     found = staged(found, "benchmark-windows")
-    return found, max(1, -(-found.count() // block_windows))
+    return found, found.count()
 
 
-def _passes(docs: DataFrame, found: DataFrame, passes: int, shingle: int) -> Iterator:
-    """Of each pass the windows and their prefixes, broadcast."""
+def _shared_windows(docs: DataFrame, found: DataFrame, shingle: int):
+    """The windows, a bounded number, and their prefixes, broadcast."""
     spark = docs.sparkSession
-    for part in range(passes):
-        rows = found.where(F.pmod("key", F.lit(passes)) == part).sort("key").collect()
-        windows = _Windows([np.array(r["words"], np.int64) for r in rows], [r["items"] for r in rows], shingle)
-        counts = docs.select("text").mapInArrow(_shingle_counts(spark.sparkContext.broadcast(windows)), "shingle long, n long")
-        often = {r["shingle"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in counts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
-        yield spark.sparkContext.broadcast((windows, {k: windows.prefixes(k, often) for k in windows.sizes}))
+    rows = found.sort("words").collect()
+    windows = _Windows([np.array(r["words"], np.int64) for r in rows], [r["items"] for r in rows], shingle)
+    counts = docs.select("text").mapInArrow(_shingle_counts(spark.sparkContext.broadcast(windows)), "shingle long, n long")
+    often = {r["shingle"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in counts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
+    return spark.sparkContext.broadcast((windows, {k: windows.prefixes(k, often) for k in windows.sizes}))
 
 
 def hit_words() -> Column:
@@ -249,10 +351,18 @@ def _without_hits(shared):
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The rows of docs, with all their columns, in whose text no window of the benchmark occurs."""
-    for shared in _passes(docs, *_benchmark_windows(benchmark, window, block_windows), shingle):
-        docs = docs.mapInArrow(_without_hits(shared), docs.schema)
-    return docs
+    """The rows of docs, with all their columns, in whose text no window of the benchmark occurs.
+
+    Beyond block_windows windows, rows are told by the digest of their text.
+    """
+    found, n = _benchmark_windows(benchmark, window)
+    if n <= block_windows:
+        return docs.mapInArrow(_without_hits(_shared_windows(docs, found, shingle)), docs.schema)
+    digest = free_name("_digest", docs.columns)
+    marked = docs.withColumn(digest, F.sha2(F.col("text").cast("string"), 256))
+    rows, hits = _joined(marked.select(F.col(digest).alias("digest"), F.col("text").cast("string").alias("text")), found, window, shingle)
+    texts = rows.join(hits.select("row").distinct(), "row", "left_semi").select(F.col("digest").alias(digest)).distinct()
+    return marked.join(texts, digest, "left_anti").drop(digest)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lyrebird.llm.words import mix
 
-#: a bitmap has from 2**20 to 2**27 bits (16 MB), eight for each id
+#: a bitmap has from 2**20 to 2**27 bits (16 MB), eight for each id where none is named
 BITS = 20, 27
 
 
@@ -37,9 +37,14 @@ def _places(ids: pa.Array, width: int) -> np.ndarray:
     return mix(known.view(np.uint64)) >> np.uint64(64 - width)
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
+def among(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the bit of each id, 64 bits, is set."""
+    return bits[mix(ids) >> np.uint64(64 - (len(bits).bit_length() - 1))]
+
+
+def bitmap(ids: DataFrame, bits_an_id: int = 8) -> np.ndarray:
     """The bitmap of the first column of ids, a long; its length is a power of two."""
-    width = min(max((8 * ids.count()).bit_length(), BITS[0]), BITS[1])
+    width = min(max((bits_an_id * ids.count()).bit_length(), BITS[0]), BITS[1])
     parts = ids.select(F.col(ids.columns[0]).cast("long")).mapInArrow(_words(width), "at int, bits long")
     rows = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # 2**width / 64 rows at most
     out = np.zeros((1 << width) // 64, np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -82,3 +83,23 @@ def test_clean_rows(odd_docs, no_docs, benchmark, rows, items, block_windows):
     assert kept.columns == odd_docs.columns
     assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str((i, t)) for i, t, *_ in rows if not brute([(i, t)], items)[0][5])
     assert D.decontaminated(no_docs, benchmark).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shuffled_windows_of_few_words(spark, seed):
+    """Few different words, so that shingles are frequent and places many; texts of null, one word and many."""
+    draw = random.Random(seed)
+    text = lambda n: " ".join(draw.choice(["a", "b", "c", "Ü"]) for _ in range(n))
+    rows = [(draw.choice([None, draw.randrange(40)]), draw.choice([None, "", text(1), text(draw.randrange(400))])) for _ in range(150)]
+    rows += [(7, "a " * 3000), (8, "a " * 3000)]
+    items = [(i, text(draw.choice([1, 2, 5, 9, 10, 11, 14]))) for i in range(60)] + [(None, "a"), (61, None), (62, "a " * 30)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert outcome(digest(D.benchmark_hits(docs, benchmark, block_windows=0))) == brute(rows, items)
+    shared, shuffled = (D.benchmark_hits(docs, benchmark, block_windows=n) for n in (1000, 0))
+    pairs = [(s.doc_id, s.n_words, sorted(zip(s.spans[::2], s.spans[1::2], strict=True)), s.items) for s in shared.collect()]
+    assert sorted(pairs, key=str) == sorted(
+        [(s.doc_id, s.n_words, list(zip(s.spans[::2], s.spans[1::2], strict=True)), s.items) for s in shuffled.collect()], key=str
+    )
+    long_items = benchmark.where("item_id is null or length(text) > 19")
+    clean = [str(r) for r in rows if not brute([r], [i for i in items if i[0] is None or len(i[1] or "") > 19])[0][5]]
+    assert sorted(str((r.doc_id, r.text)) for r in D.decontaminated(docs, long_items, block_windows=0).collect()) == sorted(clean)
