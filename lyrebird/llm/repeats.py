@@ -1,8 +1,8 @@
 """Removal of repeated passages with automata of repeated phrases.
 
-Every window of 50 words is represented by one phrase of 8 words in it: the one
+Every window of 50 words is represented by one phrase of half its words: the one
 with the least hash.  Equal windows have equal phrases, so a window can recur
-only where its phrase does.
+only where its phrase does; and so long a phrase seldom recurs by chance.
 
 1. Confirm: phrases that represent windows of two documents or more recur.
 2. Compile: the recurring phrases are dealt to shards, a phrase to the shard of
@@ -36,9 +36,8 @@ from lyrebird.llm.words import PLAIN, Block, gram_ids, mix, signed, word_blocks
 from lyrebird.staging import staged, table
 
 WINDOW = 50
-PHRASE = 8
 #: phrases of a shard's automaton, about; those of one document are together
-SHARD_PHRASES = 20_000
+SHARD_PHRASES = 10_000
 #: bytes of text that one task streams through a shard's automaton; it compiles its own
 PART_BYTES = 16 << 20
 
@@ -221,15 +220,19 @@ def _removal(window: int, spans: bool):
     return run
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, kept: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int | None = None, kept: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs; with kept also the kept text where words went.
 
+    phrase is the number of words that stand for a window, from one to all of
+    them; half of them if none is named.  It changes the cost, not the result.
+
     docs has doc_id (a whole number) and text.  A null or empty text has no words.
     Rows of a null doc_id lose nothing and cost no other row anything.  Rows that
     repeat a doc_id are each judged by their own text; equal ids are not smaller
     ones.  Texts shorter than a window lose nothing.  An empty table gives no
     rows.  Other columns are left alone.
     """
+    phrase = phrase or max(1, window // 2)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = docs.mapInArrow(_survey(window, phrase), "phrase long, doc_id long, key long, n_words long, sha256 string")
     survey = staged(survey, "repeats-survey")

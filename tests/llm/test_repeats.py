@@ -39,6 +39,11 @@ def test_other_windows(docs, rows):
     assert outcome(repeated_passages(docs, window=10, phrase=3)) == [r[:4] for r in brute(rows, 10)]
 
 
+@pytest.mark.parametrize("phrase", [1, 8, 50])
+def test_phrase_changes_no_result(docs, rows, phrase):
+    assert outcome(repeated_passages(docs, phrase=phrase)) == [r[:4] for r in brute(rows)]
+
+
 def test_kept_text(docs, rows):
     wanted = {(r[0], r[3]): r for r in brute(rows)}
     for r in repeated_passages(docs, kept=True).collect():
