@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lyrebird.llm import decontamination, jaccard, mixing, repeats
+from lyrebird.llm import decontamination, jaccard, mixing, periodic, repeats
 from lyrebird.llm.decontamination import op2_decontamination
 from lyrebird.llm.extraction import op7_extraction
 from lyrebird.llm.jaccard import op1_jaccard
 from lyrebird.llm.mixing import op3_source_mix
 from lyrebird.llm.packing import op9_packed_ids
+from lyrebird.llm.periodic import op11_runs
 from lyrebird.llm.quality import op4_quality
 from lyrebird.llm.repeats import op8_repeated_passages
 from lyrebird.llm.sharding import op6_kd_shards
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_repeated_passages": op8_repeated_passages,
         "op9_packed_ids": op9_packed_ids,
         "op10_telephony": op10_telephony,
+        "op11_runs": op11_runs,
     }
 
 
@@ -36,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": decontamination.SQL,
         "op3_source_mix": mixing.SQL,
         "op8_repeated_passages": repeats.SQL,
+        "op11_runs": periodic.SQL,
     }
