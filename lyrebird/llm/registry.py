@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lyrebird.llm import decontamination, jaccard, mixing, periodic, repeats
+from lyrebird.llm import decontamination, jaccard, merkle, mixing, periodic, repeats
 from lyrebird.llm.decontamination import op2_decontamination
 from lyrebird.llm.extraction import op7_extraction
 from lyrebird.llm.jaccard import op1_jaccard
+from lyrebird.llm.merkle import op13_merkle
 from lyrebird.llm.mixing import op3_source_mix
 from lyrebird.llm.packing import op9_packed_ids
 from lyrebird.llm.periodic import op11_runs
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op9_packed_ids": op9_packed_ids,
         "op10_telephony": op10_telephony,
         "op11_runs": op11_runs,
+        "op13_merkle": op13_merkle,
     }
 
 
@@ -39,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_source_mix": mixing.SQL,
         "op8_repeated_passages": repeats.SQL,
         "op11_runs": periodic.SQL,
+        "op13_merkle": merkle.SQL,
     }

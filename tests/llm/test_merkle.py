@@ -1,0 +1,107 @@
+"""Merkle manifests against a plain tree."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import pytest
+from awkward import outcome
+
+from lyrebird.llm.merkle import folded, manifest, siblings_digest, verified
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def sha(*parts: str) -> str:
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def plain_leaf(doc_id, text, lang, source, n_chars) -> str:
+    values = [None if v is None else str(v) for v in (doc_id, source, lang, n_chars, text)]
+    return sha(*["-" if v is None else f"{len(v.encode())}:{v}" for v in values])
+
+
+def plain_tree(level: list[str]) -> tuple[str, list[list[tuple[str, str]]]]:
+    """The root, and of each leaf the siblings to its left and right, level by level."""
+    places = list(range(len(level)))
+    paths: list[list[tuple[str, str]]] = [[] for _ in level]
+    while len(level) > 1:
+        for leaf, at in enumerate(places):
+            run = at - at % 8
+            paths[leaf].append(("".join(level[run:at]), "".join(level[at + 1 : run + 8])))
+            places[leaf] = at // 8
+        level = [sha(*level[i : i + 8]) for i in range(0, len(level), 8)]
+    return level[0], paths
+
+
+def plain_rows(rows: list[tuple]) -> list[tuple]:
+    """doc_id, leaf, subroot, root, path and root as folded from the tampered row."""
+    langs: dict = {}
+    for row in rows:
+        langs.setdefault(row[2], []).append((row[0] is not None, row[0] or 0, plain_leaf(*row), row))
+    order = sorted(langs, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {lang: plain_tree([x[2] for x in sorted(langs[lang], key=lambda x: x[:3])]) for lang in order}
+    root, tops = plain_tree([trees[lang][0] for lang in order])
+    out = []
+    for lang, top in zip(order, tops, strict=True):
+        for (_, _, leaf, row), path in zip(sorted(langs[lang], key=lambda x: x[:3]), trees[lang][1], strict=True):
+            path = path + top
+            doc_id, text = row[:2]
+            if doc_id is not None and text is not None and zlib.crc32(str(doc_id).encode()) % 3 == 0:
+                text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+            now = plain_leaf(doc_id, text, *row[2:])
+            for left, right in path:
+                now = sha(left, now, right)
+            out.append((doc_id, leaf, trees[lang][0], root, path, now))
+    return out
+
+
+def expected(rows: list[tuple]) -> list[tuple]:
+    out = [(i, leaf, sub, root, sha(*[x for p in path for x in p]), now, now == root) for i, leaf, sub, root, path, now in plain_rows(rows)]
+    return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def some_rows(n: int, langs: list, seed: int = 3) -> list[tuple]:
+    rng = random.Random(seed)
+    texts = ["Abc", "abc", "", None, "É Ü", "漢字 X"]
+    return [(i, rng.choice(texts), rng.choice(langs), rng.choice(["s", None, ""]), rng.choice([None, 3])) for i in range(n)]
+
+
+def test_awkward_rows(rows, odd_docs):
+    got = outcome(verified(odd_docs))
+    assert got == expected(rows)
+    assert {r[-1] for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("n", [1, 8, 9, 65, 513, 1200])
+def test_sizes_of_one_tree(spark, n):
+    rows = some_rows(n, ["en"])
+    assert outcome(verified(spark.createDataFrame(rows, COLUMNS))) == expected(rows)
+
+
+def test_many_trees(spark):
+    langs = [None, "", "a", "b", "é", "Z", "漢", *[f"l{i}" for i in range(60)]]
+    rows = some_rows(900, langs) + [(5000 + i, "One", f"lone{i}", None, 1) for i in range(3)]
+    assert outcome(verified(spark.createDataFrame(rows, COLUMNS).repartition(5))) == expected(rows)
+
+
+def test_ties_and_repeated_rows(spark):
+    rows = [(7, "A", "en", "s", 1)] * 30 + [(7, t, "en", "s", 1) for t in ("B", "C", None)] + [(None, None, None, None, None)] * 9
+    assert outcome(verified(spark.createDataFrame(rows, COLUMNS))) == expected(rows)
+
+
+def test_empty_table(no_docs):
+    assert verified(no_docs).collect() == [] and manifest(no_docs).collect() == []
+
+
+def test_paths_prove_their_rows(spark, docs):
+    from pyspark.sql import functions as F
+
+    out = manifest(docs)
+    assert out.columns == ["doc_id", "lang", "leaf", "path", "subroot", "root"]
+    rows = out.select("root", folded(F.col("leaf"), F.col("path")).alias("again"), siblings_digest(F.col("path")).alias("proof")).collect()
+    assert rows and all(r["root"] == r["again"] for r in rows) and len({r["root"] for r in rows}) == 1
+    moved = docs.withColumn("n_chars", F.col("n_chars") + 1)
+    assert manifest(moved).first()["root"] != rows[0]["root"]
