@@ -10,6 +10,7 @@ from lyrebird.llm.merkle import op13_merkle
 from lyrebird.llm.mixing import op3_source_mix
 from lyrebird.llm.packing import op9_packed_ids
 from lyrebird.llm.periodic import op11_runs
+from lyrebird.llm.personal import op12_personal
 from lyrebird.llm.quality import op4_quality
 from lyrebird.llm.repeats import op8_repeated_passages
 from lyrebird.llm.sharding import op6_kd_shards
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op9_packed_ids": op9_packed_ids,
         "op10_telephony": op10_telephony,
         "op11_runs": op11_runs,
+        "op12_personal": op12_personal,
         "op13_merkle": op13_merkle,
     }
 
