@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lyrebird.functions.resample import Resampler
+
 RATE = 44100
 
 
@@ -39,6 +41,18 @@ def wav_file(channels: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
+def pcm_values(raw: np.ndarray, floats: bool = False) -> np.ndarray:
+    """Values of little-endian samples, a row of bytes each: PCM of one to four bytes, or floats of four or eight."""
+    width = raw.shape[1]
+    if floats:
+        return np.ascontiguousarray(raw).view(f"<f{width}")[:, 0].astype(np.float64)
+    if width == 1:
+        return (raw[:, 0].astype(np.float64) - 128) / 128
+    wide = np.zeros((len(raw), 4), np.uint8)
+    wide[:, 4 - width :] = raw
+    return wide.view("<i4")[:, 0] / float(1 << 31)
+
+
 def wav_samples(data: bytes, rate: int, skip_invalid: bool = True) -> np.ndarray:
     """(channels, samples) as 32-bit floats at the wanted rate; 8, 16, 24 and 32-bit PCM.
 
@@ -56,17 +70,7 @@ def wav_samples(data: bytes, rate: int, skip_invalid: bool = True) -> np.ndarray
     raw = np.frombuffer(raw[: whole * width * n], np.uint8).reshape(-1, width)
     if not len(raw):
         raise ValueError("no samples")
-    if width == 1:
-        value = (raw[:, 0].astype(np.float64) - 128) / 128
-    else:
-        wide = np.zeros((len(raw), 4), np.uint8)
-        wide[:, 4 - width :] = raw
-        value = wide.view("<i4")[:, 0] / float(1 << 31)
-    planar = value.reshape(-1, n).T
-    if own != rate:
-        to = planar.shape[1] * rate // own
-        planar = np.stack([np.interp(np.arange(to) * (own / rate), np.arange(planar.shape[1]), c) for c in planar])
-    return planar.astype(np.float32)
+    return Resampler(own, rate)(pcm_values(raw).reshape(-1, n).T).astype(np.float32)
 
 
 def decode_wav(files: DataFrame, rate: int = RATE, skip_invalid: bool = True) -> DataFrame:
