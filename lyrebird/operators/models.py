@@ -10,10 +10,12 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lyrebird.functions.columns import once
+from lyrebird.operators.signal import whole_groups
 from lyrebird.schema import ALIGNED_WORD
 from lyrebird.sources.audio import planar
 
@@ -32,6 +34,11 @@ class Aligner(Protocol):
         """Words with start and end in milliseconds from the start of the clip; null times where not found."""
 
 
+class BatchAligner(Protocol):
+    def align_batch(self, audios: list[np.ndarray], texts: list[str], languages: list[str | None], sample_rate: int) -> list[list[tuple[str, float | None, float | None]]]:
+        """Of each clip its words with start and end in seconds from its start; null times where not found."""
+
+
 class WholeMixAsVocals:
     """Stand-in separator: the mix is the vocals, and there is nothing else."""
 
@@ -48,6 +55,11 @@ class EvenAligner:
         words, ms = [w for w in text.split(" ") if w], len(audio) * 1000 // sample_rate
         return [(w, i * ms // len(words), (i + 1) * ms // len(words)) for i, w in enumerate(words)]
 
+    def align_batch(self, audios: list[np.ndarray], texts: list[str], languages: list[str | None], sample_rate: int) -> list[list[tuple[str, float | None, float | None]]]:
+        # half a millisecond on, so that cutting to milliseconds gives the same whatever the rounding
+        words = [self.align(a, t, sample_rate) for a, t in zip(audios, texts, strict=True)]
+        return [[(w, (a + 0.5) / 1000, (b + 0.5) / 1000) for w, a, b in own] for own in words]
+
 
 def even_words(text: Column, ms: Column) -> Column:
     """EvenAligner as an expression, of a clip of ms milliseconds."""
@@ -75,6 +87,103 @@ def separated(audio: DataFrame, make: Callable[[], StemSeparator], stem: str = V
     return audio.select("clip_id", "sample_rate", "channels").mapInArrow(run, "clip_id string, sample_rate int, channels array<array<float>>")
 
 
+def chunk_weights(at: np.ndarray, chunk: int) -> np.ndarray:
+    """A triangle over the places of a chunk, above zero at both ends."""
+    return np.minimum(at + 1, chunk - at) / (chunk // 2 + 1)
+
+
+def separated_rows(samples: DataFrame, make: Callable[[], StemSeparator], chunk: int, overlap: int, stem: str = VOCAL_STEM) -> DataFrame:
+    """Rows (clip_id, channel, idx, v) of one stem of a mix, a chunk of samples at a time.
+
+    Chunks of a clip overlap; each is one call of the model, and where several cover
+    a sample their values are averaged by triangular weights.  A chunk, with all its
+    channels, is the most that a task holds.  Channels of a clip have the same
+    samples, idx from 0 without gaps; anything else is an error, and so is a stem of
+    another shape.  The stem may have other channels than the mix.
+    """
+    hop = chunk - overlap
+    if chunk < 1 or not 0 <= overlap <= chunk // 2:
+        raise ValueError("chunks overlap by half of their length at most")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for table, bounds in whole_groups(batches, ["clip_id", "chunk"]):
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = table.slice(a, b - a)
+                channel, idx, value = (own[c].to_numpy() for c in ("channel", "idx", "v"))
+                n = int(np.count_nonzero(channel == channel[0]))
+                if len(idx) % n or (np.diff(idx.reshape(-1, n), axis=1) != 1).any() or (idx.reshape(-1, n) != idx[:n]).any():
+                    raise ValueError("channels of a clip differ in their samples")
+                stems = model.separate(value.reshape(-1, n).astype(np.float32))
+                if stem not in stems:
+                    raise ValueError(f"the separator gives no stem {stem}")
+                out = np.asarray(stems[stem], np.float64)
+                if out.ndim != 2 or out.shape[1] != n:
+                    raise ValueError("a stem has as many samples as its mix")
+                start = own["chunk"][0].as_py() * hop
+                weight = np.tile(chunk_weights(idx[:n] - start, chunk), len(out))
+                yield pa.record_batch({
+                    "clip_id": pa.array([own["clip_id"][0].as_py()] * out.size, pa.string()), "channel": pa.array(np.repeat(np.arange(len(out), dtype=np.int32), n)),
+                    "idx": pa.array(np.tile(idx[:n], len(out))), "v": pa.array(out.ravel() * weight), "weight": pa.array(weight),
+                })
+
+    first = F.greatest(F.floor((F.col("idx") - chunk) / hop) + 1, F.lit(0))
+    rows = samples.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("channel").cast("int").alias("channel"), F.col("idx").cast("long").alias("idx"), F.col("v").cast("double").alias("v"))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(first, F.floor(F.col("idx") / hop))))
+    dealt = rows.repartition("clip_id", "chunk").sortWithinPartitions("clip_id", "chunk", "channel", "idx")
+    parts = dealt.mapInArrow(run, "clip_id string, channel int, idx long, v double, weight double")
+    return parts.groupBy("clip_id", "channel", "idx").agg((F.sum("v") / F.sum("weight")).cast("float").alias("v"))
+
+
+def batches_of(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of lengths, in rising order, whose number times the longest is most at most; a longer one is alone."""
+    begin = 0
+    for end in range(1, len(lengths) + 1):
+        if end == len(lengths) or (end + 1 - begin) * lengths[end] > most:
+            yield begin, end
+            begin = end
+
+
+def aligned_batches(clips: DataFrame, make: Callable[[], BatchAligner], batch_samples: int, rate: int, held_samples: int | None = None) -> DataFrame:
+    """key, samples, text, language -> key, words: the model gets clips of like length together.
+
+    A batch padded to its longest clip has batch_samples at most, but for a single
+    longer clip.  Clips are in order of length within a task, so no row is sent
+    elsewhere, and a task holds the clips of held_samples (by default four batches)
+    and one input batch at a time.  Times are rounded to four decimals, then cut to
+    milliseconds; words of null times have none.
+    """
+    kind = clips.schema["key"].dataType.simpleString()
+    most_held = held_samples or 4 * batch_samples
+    words_type = pa.list_(pa.struct([("word", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64())]))
+    ms = lambda t: None if t is None else int(round(t, 4) * 1e3)
+
+    def judged(model: BatchAligner, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        lengths = table["n"].to_pylist()
+        for a, b in batches_of(lengths, batch_samples):
+            own = table.slice(a, b - a)
+            audios = [x.values.to_numpy(zero_copy_only=False) for x in own["samples"]]
+            found = model.align_batch(audios, own["text"].to_pylist(), own["language"].to_pylist(), rate)
+            if len(found) != b - a:
+                raise ValueError("the aligner gives a list of words for each clip")
+            words = [[{"word": w, "start_ms": ms(s), "end_ms": ms(e)} for w, s, e in one] for one in found]
+            yield pa.record_batch([own["key"].combine_chunks(), pa.array(words, words_type)], ["key", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held, total = make(), [], 0
+        for batch in batches:
+            held.append(batch)
+            total += pc.sum(batch["n"]).as_py() or 0
+            if total >= most_held:
+                yield from judged(model, pa.Table.from_batches(held))
+                held, total = [], 0
+        if held:
+            yield from judged(model, pa.Table.from_batches(held))
+
+    rows = clips.select("key", F.coalesce("samples", F.array().cast("array<float>")).alias("samples"), "text", "language").withColumn("n", F.size("samples"))
+    return rows.sortWithinPartitions("n").mapInArrow(run, f"key {kind}, words array<{ALIGNED_WORD}>")
+
+
 def aligned(clips: DataFrame, make: Callable[[], Aligner]) -> DataFrame:
     """key, samples, text, sample_rate -> key, words; give it only the rows that are to be aligned."""
     kind = clips.schema["key"].dataType.simpleString()

@@ -8,15 +8,18 @@ need, and the gain recurrence is put together from the pieces' linear maps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from lyrebird.functions.units import RATE, db_to_linear
+from lyrebird.staging import staged
 
 TINY = 1e-10
 #: samples of a piece of a clip
@@ -95,13 +98,77 @@ def vibrato_window(threshold_hz: float, smooth_ms: float, rate: int) -> int:
     return window_samples(max(smooth_ms, 2 * period), rate)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of whole groups of equal keys, and where the groups start and the last one ends."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for key in keys:
+            code = table[key].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        at = starts(table)
+        if len(at) > 1:
+            yield table.slice(0, at[-1]), at
+            held = table.slice(at[-1]).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, np.append(starts(table), table.num_rows)
+
+
+def _segment_rms(x: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
+    """Root mean square of the window around each value, of values in segments; low and high are the bounds of each one's segment.
+
+    Beyond a segment its first and last value are repeated.
+    """
+    left, right = window // 2, window - window // 2 - 1
+    square, at = x * x, np.arange(len(x))
+    sums = np.concatenate([[0.0], np.cumsum(square)])
+    inside = sums[np.minimum(at + right + 1, high)] - sums[np.maximum(at - left, low)]
+    before, after = np.maximum(low - (at - left), 0), np.maximum(at + right + 1 - high, 0)
+    return np.sqrt(np.maximum(inside + before * square[low] + after * square[high - 1], 0.0) / window)
+
+
 def suppress_vibrato(
     samples: DataFrame, window: int, keys: tuple[str, ...] = ("clip_id", "channel"), value: str = "v", piece: int = PIECE
 ) -> DataFrame:
-    """Each sample over its envelope, times the smoothed envelope; both with the same window."""
-    out = sliding_rms(samples, window, keys, value, "_env", piece)
-    out = sliding_rms(out, window, keys, "_env", "_smooth", piece)
-    return out.withColumn(value, F.col(value) / (F.col("_env") + TINY) * F.col("_smooth")).drop("_env", "_smooth")
+    """Each sample over its envelope, times the smoothed envelope; both with the same window.
+
+    A piece of a clip gets the samples around it that two windows reach, so that one
+    shuffle does for both.  Indices of a clip's channel that repeat or have gaps are
+    an error.
+    """
+    left, right = window // 2, window - window // 2 - 1
+    size = max(piece, 4 * window)
+    fields = [f for f in samples.schema.fields if f.name != value] + [StructField(value, DoubleType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, [*keys, "_piece"]):
+            idx, x = table["idx"].to_numpy().astype(np.int64), table[value].to_numpy().astype(np.float64)
+            length = np.diff(bounds)
+            low, high = np.repeat(bounds[:-1], length), np.repeat(bounds[1:], length)
+            if (np.diff(idx)[low[1:] == low[:-1]] != 1).any():
+                raise ValueError("indices of a channel repeat or have gaps")
+            # beyond a margin's own edge values are of no piece, so only ends of clips count
+            envelope = _segment_rms(x, low, high, window)
+            smooth = _segment_rms(envelope, low, high, window)
+            home = table["_piece"].to_numpy() == idx // size
+            out = x / (envelope + TINY) * smooth
+            own = table.filter(pa.array(home))
+            yield from pa.table([own[f.name] if f.name != value else pa.array(out[home]) for f in fields], [f.name for f in fields]).to_batches()
+
+    first = F.greatest(F.expr(f"(idx - {2 * right}) div {size}"), F.lit(0).cast("long"))
+    reach = F.array_distinct(F.array(first, F.expr(f"idx div {size}"), F.expr(f"(idx + {2 * left}) div {size}")))
+    rows = samples.withColumn("_piece", F.explode(reach))
+    return rows.repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", "idx").mapInArrow(run, StructType(fields))
 
 
 @dataclass(frozen=True)
@@ -169,73 +236,108 @@ def run_gains(k: np.ndarray, kt: np.ndarray, gain: float) -> np.ndarray:
     return (factor * (before[:, None] + sums)).ravel()[:n]
 
 
-def gain_pieces(envelopes: DataFrame, c: Compressor) -> DataFrame:
-    """clip_id, piece, samples (of an envelope) -> clip_id, piece, gains; pieces of a clip are numbered from 0 in order.
+def _with_gains(pieces: DataFrame, c: Compressor, envelope: Callable[[pa.RecordBatch, int], np.ndarray]) -> DataFrame:
+    """pieces with the gain and the envelope in front of each; pieces of a clip are in order of their numbers.
 
-    Every piece sends the linear map that takes the gain before it to the gain
-    after it: two numbers.  A clip's maps, one row a piece, are run through in
-    order, and each piece then starts from its own gain.  The first sample of a
-    clip has gain 1.
+    Every piece sends six numbers: its first and last envelope and the linear map of
+    its other samples.  A clip's pieces, one row each, are run through in order.
+    The first sample of a clip has gain 1, and null in front of it.
     """
 
-    def steps(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for x, before, number in zip(batch["samples"], batch["before"].to_pylist(), batch["piece"].to_pylist(), strict=True):
-            e = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            k, kt = gain_steps(e, e[0] if before is None and len(e) else before or 0.0, c)
-            if number == 0 and len(k):
-                k[0] = kt[0] = 0.0  # the first sample keeps the gain
-            yield k, kt
-
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(float(np.prod(1 - k)), float(run_gains(k, kt, 0.0)[-1]) if len(k) else 0.0) for k, kt in steps(batch)]
-            a, b = (pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))
-            yield pa.record_batch([batch["clip_id"], batch["piece"], a, b], ["clip_id", "piece", "a", "b"])
+            found = []
+            for row in range(batch.num_rows):
+                e = envelope(batch, row)
+                k, kt = gain_steps(e[1:], e[0], c) if len(e) else (e, e)
+                found.append((e[0] if len(e) else None, e[-1] if len(e) else None, float(np.prod(1 - k)), float(run_gains(k, kt, 0.0)[-1]) if len(k) else 0.0))
+            columns = [pa.array([f[i] for f in found], pa.float64()) for i in range(4)]
+            yield pa.record_batch([batch["clip_id"], batch["piece"], *columns], ["clip_id", "piece", "first", "last", "a", "b"])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attack, release = c.speed(c.attack_ms), c.speed(c.release_ms)
         for batch in batches:
             for clip, own in zip(batch["clip_id"], batch["maps"], strict=True):
-                piece, a, b = (own.values.field(i) for i in range(3))
-                gain, gains = 1.0, []
-                for factor, plus in zip(a.to_pylist(), b.to_pylist(), strict=True):
-                    gains.append(gain)
-                    gain = factor * gain + plus
-                yield pa.record_batch([pa.array([clip.as_py()] * len(gains), batch["clip_id"].type), piece, pa.array(gains, pa.float64())], ["clip_id", "piece", "gain"])
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [run_gains(k, kt, gain) for (k, kt), gain in zip(steps(batch), batch["gain"].to_pylist(), strict=True)]
-            yield pa.record_batch([batch["clip_id"], batch["piece"], pa.array(out, pa.list_(pa.float64()))], ["clip_id", "piece", "gains"])
-
-    kind = envelopes.schema["clip_id"].dataType.simpleString()
-    order = Window.partitionBy("clip_id").orderBy("piece")
-    pieces = envelopes.select("clip_id", F.col("piece").cast("long").alias("piece"), F.col("samples").cast("array<double>").alias("samples"))
-    ends = pieces.select("clip_id", "piece", F.element_at("samples", -1).alias("end"))
-    fronts = ends.select("clip_id", "piece", F.lag("end").over(order).alias("before"))
-    rows = pieces.join(fronts, ["clip_id", "piece"])
-    affine = rows.mapInArrow(maps, f"clip_id {kind}, piece long, a double, b double")
-    # gains in front of the pieces: as many numbers as pieces
-    chained = affine.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("piece", "a", "b"))).alias("maps"))
-    gains = chained.mapInArrow(chain, f"clip_id {kind}, piece long, gain double")
-    return rows.join(gains, ["clip_id", "piece"]).mapInArrow(apply, f"clip_id {kind}, piece long, gains array<double>")
+                piece, *rest = (own.values.field(i) for i in range(5))
+                gain, before, fronts = 1.0, None, []
+                for first, last, a, b in zip(*(x.to_pylist() for x in rest), strict=True):
+                    fronts.append((gain, before))
+                    if first is None:
+                        continue
+                    if before is not None:
+                        gain += (attack if first > before else release) * (float(c.wanted(np.array([first]))[0]) - gain)
+                    gain, before = a * gain + b, last
+                columns = [pa.array([f[i] for f in fronts], pa.float64()) for i in (0, 1)]
+                yield pa.record_batch([pa.array([clip.as_py()] * len(fronts), batch["clip_id"].type), piece, *columns], ["clip_id", "piece", "_gain", "_before"])
+
+    kind = pieces.schema["clip_id"].dataType.simpleString()
+    maps = pieces.mapInArrow(numbers, f"clip_id {kind}, piece long, first double, last double, a double, b double")
+    ordered = maps.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("piece", "first", "last", "a", "b"))).alias("maps"))
+    return pieces.join(ordered.mapInArrow(chain, f"clip_id {kind}, piece long, _gain double, _before double"), ["clip_id", "piece"])
+
+
+def _gains(envelope: np.ndarray, gain: float, before: float | None, c: Compressor) -> np.ndarray:
+    k, kt = gain_steps(envelope, envelope[0] if before is None and len(envelope) else before or 0.0, c)
+    if before is None and len(k):
+        k[0] = kt[0] = 0.0  # the first sample of a clip keeps the gain
+    return run_gains(k, kt, gain)
 
 
 def compress_pieces(pieces: DataFrame, c: Compressor) -> DataFrame:
     """clip_id, piece, samples of one channel -> the same with gains applied."""
     if c.ratio <= 1:
         return pieces
-    gains = gain_pieces(pieces.withColumn("samples", F.transform("samples", lambda x: F.abs(x))), c)
-    rows = pieces.select("clip_id", F.col("piece").cast("long").alias("piece"), "samples").join(gains, ["clip_id", "piece"])
-    return rows.select("clip_id", "piece", F.zip_with("samples", "gains", lambda x, g: x.cast("double") * g).alias("samples"))
+    values = lambda batch, row: batch["samples"][row].values.to_numpy(zero_copy_only=False).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fronts = zip(batch["_gain"].to_pylist(), batch["_before"].to_pylist(), strict=True)
+            out = [(x := values(batch, row)) * _gains(np.abs(x), gain, before, c) for row, (gain, before) in enumerate(fronts)]
+            yield pa.record_batch([batch["clip_id"], batch["piece"], pa.array(out, pa.list_(pa.float64()))], ["clip_id", "piece", "samples"])
+
+    kind = pieces.schema["clip_id"].dataType.simpleString()
+    rows = staged(pieces.select("clip_id", F.col("piece").cast("long").alias("piece"), F.col("samples").cast("array<double>").alias("samples")), "pieces")
+    return _with_gains(rows, c, lambda batch, row: np.abs(values(batch, row))).mapInArrow(run, f"clip_id {kind}, piece long, samples array<double>")
 
 
 def compress_linked(samples: DataFrame, c: Compressor, piece: int = PIECE) -> DataFrame:
-    """Rows (clip_id, channel, idx, v) with one gain for all channels, by the largest magnitude over them."""
+    """Rows (clip_id, channel, idx, v) with one gain for all channels, by the largest magnitude over them.
+
+    Rows are dealt to pieces once, which are written, and each piece is worked on
+    twice.  Channels may have samples that others lack.
+    """
     if c.ratio <= 1:
         return samples
-    gains = gain_pieces(to_pieces(linked_peak(samples), value="peak", piece=piece), c)
-    by_sample = from_pieces(gains.withColumnRenamed("gains", "samples"), value="_gain", piece=piece)
-    return samples.join(by_sample, ["clip_id", "idx"]).withColumn("v", F.col("v").cast("double") * F.col("_gain")).drop("_gain")
+    lists = [("channel", samples.schema["channel"].dataType), ("idx", LongType()), ("v", DoubleType())]
+    types = {f.name: to_arrow_type(f.dataType) for f in samples.schema.fields}
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, ["clip_id", "piece"]):
+            heads = table.take(pa.array(bounds[:-1]))
+            offsets = pa.array(bounds.astype(np.int32))
+            columns = [pa.ListArray.from_arrays(offsets, table[name].combine_chunks()) for name, _ in lists]
+            yield pa.record_batch([heads["clip_id"].combine_chunks(), heads["piece"].combine_chunks(), *columns], ["clip_id", "piece", "channel", "idx", "v"])
+
+    def envelope(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+        idx, x = (batch[name][row].values.to_numpy(zero_copy_only=False) for name in ("idx", "v"))
+        heads = np.flatnonzero(np.concatenate([[True], idx[1:] != idx[:-1]]))
+        return np.maximum.reduceat(np.abs(x), heads), np.diff(np.append(heads, len(x)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, (gain, before) in enumerate(zip(batch["_gain"].to_pylist(), batch["_before"].to_pylist(), strict=True)):
+                peaks, repeats = envelope(batch, row)
+                gains = np.repeat(_gains(peaks, gain, before, c), repeats)
+                channel, idx, x = (batch[name][row].values for name, _ in lists)
+                clip = pa.array([batch["clip_id"][row].as_py()] * len(idx), types["clip_id"])
+                yield pa.record_batch([clip, channel, idx, pa.array(x.to_numpy(zero_copy_only=False) * gains)], ["clip_id", "channel", "idx", "v"])
+
+    kind = samples.schema["clip_id"].dataType
+    rows = samples.select("clip_id", F.expr(f"idx div {piece}").cast("long").alias("piece"), "channel", F.col("idx").cast("long").alias("idx"), F.col("v").cast("double").alias("v"))
+    sort = rows.repartition("clip_id", "piece").sortWithinPartitions("clip_id", "piece", "idx", "channel")
+    pieces = StructType([StructField("clip_id", kind), StructField("piece", LongType()), *[StructField(name, ArrayType(t)) for name, t in lists]])
+    made = _with_gains(staged(sort.mapInArrow(build, pieces), "pieces"), c, lambda batch, row: envelope(batch, row)[0])
+    return made.mapInArrow(run, StructType([StructField("clip_id", kind), *[StructField(name, t) for name, t in lists]]))
 
 
 def to_pieces(samples: DataFrame, clip: str = "clip_id", value: str = "v", piece: int = PIECE) -> DataFrame:
@@ -251,15 +353,23 @@ def from_pieces(pieces: DataFrame, clip: str = "clip_id", value: str = "v", piec
 
 
 def preprocess(samples: DataFrame, config: SignalConfig, rate: int = RATE, tap=None, piece: int = PIECE) -> DataFrame:
-    """Loudness, vibrato, dynamic range, each if the config has it; rows (clip_id, idx, v) of one channel."""
+    """Loudness, vibrato, dynamic range, each if the config has it; rows (clip_id, channel, idx, v).
+
+    Loudness is of a clip's channels together, vibrato of each channel, and the
+    compressor has one gain for all.  Without a column channel a clip is one channel,
+    and the rows that come out have none either.  An index that a channel has twice,
+    or a gap, is an error where vibrato is suppressed.
+    """
     tap = tap or (lambda df, name: df)
-    out = samples.select("clip_id", F.col("idx").cast("long").alias("idx"), F.col("v").cast("double").alias("v"))
+    channels = ["channel"] if "channel" in samples.columns else []
+    out = samples.select("clip_id", *channels, F.col("idx").cast("long").alias("idx"), F.col("v").cast("double").alias("v"))
     if config.normalize:
         out = tap(normalize_loudness(out, config.target_dbfs), "02_normalized")
     if config.suppress_vibrato:
         window = vibrato_window(config.vibrato_threshold_hz, config.vibrato_smooth_window_ms, rate)
-        out = tap(suppress_vibrato(out, window, ("clip_id",), piece=piece), "03_vibrato_suppressed")
+        out = tap(suppress_vibrato(out, window, ("clip_id", *channels), piece=piece), "03_vibrato_suppressed")
     if config.compress:
         c = Compressor(config.comp_threshold_dbfs, config.comp_ratio, config.comp_attack_ms, config.comp_release_ms, rate)
-        out = tap(from_pieces(compress_pieces(to_pieces(out, piece=piece), c), piece=piece), "04_compressed")
+        linked = compress_linked(out if channels else out.withColumn("channel", F.lit(0)), c, piece)
+        out = tap(linked.select("clip_id", *channels, "idx", "v"), "04_compressed")
     return out

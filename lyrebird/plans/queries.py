@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,12 +18,13 @@ from lyrebird.functions.text import METADATA_KEYWORDS, detect_lang, is_metadata_
 from lyrebird.functions.units import db_to_linear, job_id, linear_to_db, ms_to_sample, round4, sample_to_ms, seconds_to_ms, wall_ms
 from lyrebird.operators import signal
 from lyrebird.operators.lines import clip, clip_rows, eligible, line_intervals, line_text
-from lyrebird.operators.models import EvenAligner, WholeMixAsVocals, even_words
+from lyrebird.operators.models import EvenAligner, WholeMixAsVocals, aligned_batches, even_words
 from lyrebird.plans.word_timing import with_words, word_timing
 from lyrebird.schema import ALIGNED_WORD, WORD
 from lyrebird.sources.alignment import batch_request, case_words, service_words
 from lyrebird.sources.audio import decode_wav, encode_wav, quantized
-from lyrebird.sources.lrc import lines_of_json, ms_tag, parse_lrc, read_lrc, render_lrc, song_json, song_metadata
+from lyrebird.sources.files import read_wav, write_lyrics, write_wav
+from lyrebird.sources.lrc import lines_of_json, ms_tag, parse_lrc, read_lrc, read_lrc_any, render_lrc, song_json, song_metadata
 from lyrebird.staging import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,6 +327,22 @@ def compressed_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("clip_id", "channel", "idx", F.round("v", 6).alias("v"))
 
 
+_LOUD_VECTORS = (
+    "SELECT clip_id * 2 + channel AS clip_id, idx AS event_id, idx, CASE WHEN r < 1e-10 THEN v ELSE v * pow(10.0, (-20.0 - 20 * log10(greatest(r, 1e-10))) / 20.0) END AS v "
+    f"FROM (SELECT *, sqrt(avg(v * v) OVER (PARTITION BY clip_id)) AS r FROM ({_VECTOR_SAMPLES}))"
+)
+
+
+@query(f"""
+WITH RECURSIVE n AS ({_LOUD_VECTORS}), {_VIBRATO.format('n', 'z')}, s AS (SELECT clip_id // 2 AS clip_id, idx, max(abs(v)) AS v FROM z GROUP BY 1, 2), {_gain_sql('s')}
+SELECT z.clip_id // 2 AS clip_id, z.clip_id % 2 AS channel, CAST(z.idx AS BIGINT) AS idx, round(z.v * gain, 5) AS v FROM z JOIN g ON z.clip_id // 2 = g.clip_id AND z.idx = g.idx""")
+def preprocessed_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain over two channels: loudness together, vibrato of each, one gain."""
+    config = signal.SignalConfig(vibrato_smooth_window_ms=450.0, compress=True, comp_attack_ms=200.0, comp_release_ms=2000.0)
+    out = signal.preprocess(_vector_samples(spark, sf_dir), config, rate=20, piece=32)
+    return out.select("clip_id", "channel", "idx", F.round("v", 5).alias("v"))
+
+
 @query(f"""
 SELECT clip_id AS vec_id, CAST(idx AS INT) AS idx, CAST(trunc(least(greatest(v * 5, -1.0), 1.0) * 32767.0) AS SMALLINT) AS pcm FROM ({_ONE_VECTOR})""")
 def pcm_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,6 +382,68 @@ def cut_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("clip_id").cast("long").alias("clip_id"), "channel", F.size("samples").cast("long").alias("n"), total.alias("total"))
 
 
+def _own_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+_FILE_CODES = f"""
+SELECT clip_id, CAST(channel AS INT) AS channel, CAST(idx AS BIGINT) AS idx, CAST(trunc(least(greatest(v * 3, -1.0), 1.0) * 32767.0) AS BIGINT) AS code
+FROM ({_VECTOR_SAMPLES}) WHERE clip_id * 2 + 1 IN (SELECT vec_id FROM embeddings)"""
+
+
+@query(_FILE_CODES)
+def ranged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WAV file of each pair of vectors, written piece by piece and read in ranges of 100 bytes."""
+    folder = _own_folder(spark, "clips")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id")
+    whole = vectors.where("vec_id % 2 = 1").select(F.expr("vec_id div 2").alias("clip_id"))
+    samples = _vector_samples(spark, sf_dir).join(whole, "clip_id", "left_semi").withColumn("v", F.col("v") * 3)
+    write_wav(samples, folder, 8000, piece=16)
+    back = read_wav(spark, folder, 8000, range_bytes=100)
+    clip_id = F.regexp_extract("clip_id", r"([0-9]+)\.wav$", 1).cast("long")
+    return back.select(clip_id.alias("clip_id"), "channel", "idx", F.round(F.col("v").cast("double") * 32768).cast("long").alias("code"))
+
+
+@query("""
+WITH w AS (SELECT conv_id, turn, generate_subscripts(p, 1) - 1 AS i, unnest(p) AS word, len(p) AS n
+           FROM (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda w: w <> '') AS p FROM conversations))
+SELECT conv_id, turn, CAST(i AS INT) AS word_no, word, i * (1000 + turn % 7 * 100) // n AS start_ms, (i + 1) * (1000 + turn % 7 * 100) // n AS end_ms FROM w""")
+def batched_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of seven lengths, aligned in batches of like length."""
+    turns = table(spark, sf_dir, "conversations")
+    samples = F.transform(F.sequence(F.lit(1), (10 + F.col("turn") % 7).cast("int")), lambda x: x.cast("float"))
+    clips = turns.select(F.struct("conv_id", "turn").alias("key"), samples.alias("samples"), "text", detect_lang(F.col("text")).alias("language"))
+    found = aligned_batches(clips.withColumn("key", F.to_json("key")), EvenAligner, 100, 10)
+    key = F.from_json("key", "struct<conv_id:bigint,turn:bigint>")
+    rows = found.select(key.alias("k"), F.posexplode("words").alias("word_no", "w"))
+    return rows.select("k.conv_id", "k.turn", "word_no", "w.word", "w.start_ms", "w.end_ms")
+
+
+_TAPS = ("00_input", "01_vocal_stem", "02_normalized", "03_vibrato_suppressed", "04_compressed")
+
+
+@query(f"""
+WITH p AS (SELECT clip_id, channel, count(*) AS n, CAST(sum(CAST(trunc(least(greatest(v, -1.0), 1.0) * 32767.0) AS BIGINT)) AS BIGINT) AS total FROM ({_VECTOR_SAMPLES}) GROUP BY 1, 2)
+SELECT stage, clip_id, CAST(channel AS INT) AS channel, n, CASE stage WHEN '00_input' THEN total END AS total
+FROM p, (SELECT unnest(['00_input', '01_vocal_stem', '02_normalized', '03_vibrato_suppressed', '04_compressed']) AS stage) WHERE channel = 0 OR stage IN ('00_input', '01_vocal_stem')""")
+def tapped_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of word timing as WAV files, read back: how long each channel of each clip is, and the sum of the input's codes."""
+    folder = _own_folder(spark, "taps")
+    turns = table(spark, sf_dir, "conversations").where("turn = 0")
+    word = F.struct(F.col("text").alias("content"), F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end")).cast(WORD)
+    lines = turns.select(
+        F.col("conv_id").cast("string").alias("song_id"), F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"),
+        F.array(word).alias("content"), F.array().cast(f"array<array<{WORD}>>").alias("reference_lines"),
+    )
+    mix = _vector_samples(spark, sf_dir).select(F.col("clip_id").cast("string").alias("song_id"), "channel", F.col("idx").cast("long").alias("idx"), "v")
+    word_timing(lines, mix, EvenAligner, config=signal.SignalConfig(compress=True), rate=_SONG_RATE, make_separator=WholeMixAsVocals, audio_folder=folder)
+    stages = [read_wav(spark, f"{folder}/{name}", _SONG_RATE).withColumn("stage", F.lit(name)) for name in _TAPS]
+    back = reduce(DataFrame.unionByName, stages)
+    clip_id = F.regexp_extract("clip_id", r"([0-9]+)\.wav$", 1).cast("long")
+    code = F.when(F.col("stage") == _TAPS[0], F.round(F.col("v").cast("double") * 32768).cast("long"))
+    return back.groupBy("stage", clip_id.alias("clip_id"), "channel").agg(F.count(F.lit(1)).alias("n"), F.sum(code).alias("total"))
+
+
 # ---------------------------------------------------------------- alignment
 
 _WORDS_SQL = """
@@ -594,7 +674,38 @@ def odd_lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ODD)
 def lyric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from text files, one a song."""
-    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/lyrics-{uuid.uuid4().hex}"
-    _odd_files(spark, sf_dir).repartition("song_id").write.partitionBy("song_id").text(folder)
-    songs = read_lrc(spark, f"{folder}/*/*.txt").withColumn("song_id", F.regexp_extract("song_id", "song_id=([^/]*)", 1))
+    folder = _own_folder(spark, "lyrics")
+    write_lyrics(_odd_files(spark, sf_dir), folder, ".lrc")
+    songs = read_lrc(spark, f"{folder}/*.lrc").withColumn("song_id", F.regexp_extract("song_id", r"([0-9]+)\.lrc$", 1))
+    return _shown_lines(parse_lrc(songs))
+
+
+@query(_PARSED)
+def written_lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Songs parsed, written as one .kara.lrc file each, and read again."""
+    folder = _own_folder(spark, "kara")
+    write_lyrics(render_lrc(parse_lrc(_files(spark, sf_dir))), folder)
+    songs = read_lrc(spark, f"{folder}/*.kara.lrc").withColumn("song_id", F.regexp_extract("song_id", r"([0-9]+)\.kara\.lrc$", 1))
     return _shown_lines(parse_lrc(songs))
+
+
+#: a phrase in front of each line, whose characters an encoding has, and the encoding
+_SCRIPTS = (("これは日本語の歌です", "shift_jis"), ("这是一首中文的歌", "gb18030"), ("ünï cödé 漢字", "utf-8"), ("ünï かな", "utf-16"))
+_SCRIPT = "CASE conv_id % 4 " + " ".join(f"WHEN {i} THEN '{text}'" for i, (text, _) in enumerate(_SCRIPTS)) + " END"
+_ASCII = "regexp_replace({0}, '[^ -~]+', ''{1})"
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn * 1000 AS a, {_SCRIPT} || ' ' || {_ASCII.format(_PLAIN_SQL, ", 'g'")} AS s FROM conversations),
+o AS (SELECT *, row_number() OVER w - 1 AS line_no, lead(a) OVER w AS b FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY a))
+SELECT CAST(conv_id AS VARCHAR) AS song_id, CAST(line_no AS INT) AS line_no, a AS start_ms, b AS end_ms, a || ',' || coalesce(CAST(b AS VARCHAR), '-') || ',' || s || ';' AS words, '' AS refs FROM o""")
+def encoded_lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lyric files in four encodings, told apart file by file."""
+    folder = _own_folder(spark, "encoded")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(f"{_SCRIPT} || ' ' || {_ASCII.format(_PLAIN, '')}").alias("s"))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", F.concat(ms_tag(F.col("turn").cast("long") * 1000), "s").alias("line"))))
+    songs = turns.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("value"))
+    for i, (_, encoding) in enumerate(_SCRIPTS):
+        write_lyrics(songs.where(F.col("conv_id") % 4 == i).select(F.col("conv_id").alias("song_id"), "value"), f"{folder}/{i}", ".lrc", encoding=encoding)
+    read = read_lrc_any(spark, f"{folder}/*/*.lrc").withColumn("song_id", F.regexp_extract("song_id", r"([0-9]+)\.lrc$", 1))
+    return _shown_lines(parse_lrc(read))

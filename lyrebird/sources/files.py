@@ -30,7 +30,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from lyrebird.functions.resample import Resampler
+from lyrebird.sources import audio
 from lyrebird.sources.audio import RATE, pcm_values
+from lyrebird.staging import staged
 
 #: bytes of a range, samples of a batch of rows, and frames of a piece that is written
 RANGE_BYTES, BATCH_ROWS, WRITE_FRAMES = 8 << 20, 1 << 16, 1 << 16
@@ -362,3 +364,25 @@ def write_lyrics(songs: DataFrame, path: str, suffix: str = ".kara.lrc", mode: s
     register(songs.sparkSession)
     rows = songs.select(F.col("song_id").cast("string").alias("song_id"), "value").sortWithinPartitions("song_id")
     rows.write.format("lyrics").mode(mode).option("suffix", suffix).option("encoding", encoding).save(path)
+
+
+def tap(folder: str | None, audio_folder: str | None = None, rate: int = RATE):
+    """A function that writes a table of samples under a name and hands it on.
+
+    In folder it is Parquet; in audio_folder a WAV file a clip, and of lines (song_id,
+    line_no, samples) one a line.  What goes on is the table as it was, not its 16
+    bits.
+    """
+    write = audio.tap(folder)
+
+    def dump(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        if audio_folder is None:
+            return write(df, name, *partition_by)
+        df = write(df, name, *partition_by) if folder else staged(df, "tap")
+        rows = df
+        if "samples" in df.columns:
+            rows = df.select(F.concat_ws("/", "song_id", F.col("line_no").cast("string")).alias("clip_id"), F.posexplode("samples").alias("idx", "v"))
+        write_wav(rows if "channel" in rows.columns else rows.withColumn("channel", F.lit(0)), f"{audio_folder}/{name}", rate)
+        return df
+
+    return dump

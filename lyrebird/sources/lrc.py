@@ -9,6 +9,9 @@ the next one starts; the last one is open.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,72 @@ def read_lrc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("song_id"), "value")
 
 
+#: encodings that texts without a mark are tried in, besides UTF-8
+ENCODINGS = ("gb18030", "shift_jis")
+_MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+
+
+def _likeliness(text: str, encoding: str) -> float:
+    """How common the characters beyond ASCII are for an encoding, from -1 to 1."""
+    table, total, n = ("gb2312", (0xB0, 0xD7)) if encoding == "gb18030" else ("shift_jis", (0x88, 0x97)), 0.0, 0
+    for c in text:
+        if c < "\x80":
+            continue
+        n += 1
+        try:
+            code = c.encode(table[0])
+        except UnicodeEncodeError:
+            total -= 1
+            continue
+        if len(code) == 1:  # half-width kana, rare in Japanese and frequent in other texts read as such
+            total -= 0.5
+        elif code[0] < table[1][0] or code[0] <= table[1][1]:
+            total += 1  # marks, kana, and the more frequent half of the ideographs
+        else:
+            total += 0.2
+    return total / n if n else 0.0
+
+
+def decoded(data: bytes) -> str:
+    """The text of a lyric file of unknown encoding.
+
+    A byte-order mark decides, and goes; else UTF-8 where it is valid; else UTF-16
+    where bytes of one parity are often zero; else the one of ENCODINGS that can read
+    it and whose characters are likelier, the first of equal ones.  What none can read
+    is UTF-8 with replacement characters.
+    """
+    for mark, encoding in _MARKS:
+        if data.startswith(mark):
+            return data[len(mark) :].decode(encoding, "replace")
+    zeros = [data[k::2].count(0) * 4 > len(data) for k in (0, 1)]
+    if len(data) % 2 == 0 and zeros[0] != zeros[1]:
+        return data.decode("utf-16-le" if zeros[1] else "utf-16-be", "replace")
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        pass
+    read = []
+    for encoding in ENCODINGS:
+        try:
+            text = data.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        read.append((_likeliness(text, encoding), text))
+    return max(read, key=lambda r: r[0])[1] if read else data.decode("utf-8", "replace")
+
+
+def read_lrc_any(spark: SparkSession, path: str) -> DataFrame:
+    """song_id (the file's path) and value (its text) of files each in an encoding of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [decoded(x.as_buffer().to_pybytes()) for x in batch["content"]]
+            yield pa.record_batch([batch["path"], pa.array(texts, pa.string())], ["song_id", "value"])
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "content").mapInArrow(run, "song_id string, value string")
+
+
 def tag_ms(tag: Column) -> Column:
     """Milliseconds of a tag with or without its brackets."""
     part = lambda i: F.regexp_extract(tag, r"(\d+):(\d{1,2})(?:[.:](\d{1,6}))?", i)
@@ -61,34 +130,27 @@ def parse_lrc(songs: DataFrame) -> DataFrame:
     raw = raw.withColumn("own_end", F.when(closed, F.element_at("tags", -1)))
     raw = raw.withColumn("texts", F.when(closed, F.slice("texts", 1, F.size("texts") - 1)).otherwise(F.col("texts")))
 
-    tagged = raw.where("tagged").withColumn("starts", F.array_distinct(F.transform(F.regexp_extract_all("leading", F.lit(rf"(\[{_TIME}\])")), tag_ms)))
-    timed = tagged.select("song_id", "raw_no", F.explode("starts").alias("start_ms"), "own_end", "texts", "tags")
-    same = Window.partitionBy("song_id", "start_ms").orderBy("raw_no")
-    timed = timed.withColumn("rank", F.row_number().over(same))
-
-    before = Window.partitionBy("song_id").orderBy("raw_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    untagged = raw.withColumn("main_no", F.last(F.when(F.col("tagged"), F.col("raw_no")), ignorenulls=True).over(before)).where("NOT tagged")
-    starts = timed.select("song_id", F.col("raw_no").alias("main_no"), "start_ms")
-    loose = untagged.join(starts, ["song_id", "main_no"]).select("song_id", "start_ms", "raw_no", "texts")
-    others = timed.where("rank > 1").select("song_id", "start_ms", "raw_no", "texts")
-    none = F.lit(None).cast("long")
-    plain = F.transform("texts", lambda t: F.struct(t.alias("content"), none.alias("start"), none.alias("end")))
-    refs = loose.union(others).select("song_id", "start_ms", "raw_no", plain.cast(f"array<{WORD}>").alias("words"))
-    refs = refs.groupBy("song_id", "start_ms").agg(F.array_sort(F.collect_list(F.struct("raw_no", "words"))).alias("refs"))
-    refs = refs.select("song_id", "start_ms", F.transform("refs", lambda r: r["words"]).alias("reference_lines"))
-
-    order = Window.partitionBy("song_id").orderBy("start_ms", "raw_no")
-    main = timed.where("rank = 1").withColumn("line_no", F.row_number().over(order) - 1)
-    main = main.withColumn("end_ms", F.coalesce("own_end", F.lead("start_ms").over(order)))
-    begin = F.concat(F.array("start_ms"), F.col("tags"))
+    own = F.array_distinct(F.transform(F.regexp_extract_all("leading", F.lit(rf"(\[{_TIME}\])")), tag_ms))
+    # a line without tags goes where the last tagged one before it goes; all is dealt out by song once
+    so_far = Window.partitionBy("song_id").orderBy("raw_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = F.last(F.when(F.col("tagged"), own), ignorenulls=True).over(so_far)
+    timed = raw.select("song_id", "raw_no", "own_end", "texts", "tags", starts.alias("starts")).withColumn("start_ms", F.explode("starts"))
+    found = F.array_sort(F.collect_list(F.struct("raw_no", "own_end", "texts", "tags")))
+    lines = timed.groupBy("song_id", "start_ms").agg(found.alias("found"))
+
+    order = Window.partitionBy("song_id").orderBy("start_ms")
+    lines = lines.withColumn("main", F.col("found")[0]).withColumn("line_no", F.row_number().over(order) - 1)
+    lines = lines.withColumn("end_ms", F.coalesce("main.own_end", F.lead("start_ms").over(order)))
+    texts, tags, none = F.col("main.texts"), F.col("main.tags"), F.lit(None).cast("long")
+    begin = F.concat(F.array("start_ms"), tags)
     words = F.transform(
-        "texts", lambda t, i: F.struct(t.alias("content"), F.get(begin, i).alias("start"), F.when(i + 1 < F.size("texts"), F.get(begin, i + 1)).otherwise(F.col("end_ms")).alias("end"))
+        texts, lambda t, i: F.struct(t.alias("content"), F.get(begin, i).alias("start"), F.when(i + 1 < F.size(texts), F.get(begin, i + 1)).otherwise(F.col("end_ms")).alias("end"))
     ).cast(f"array<{WORD}>")
     # an empty piece in front of the first inner tag is no word
-    words = F.when(F.size("texts") > 1, F.filter(words, lambda w, i: (i > 0) | (w["content"] != ""))).otherwise(words)
-    out = main.withColumn("content", words).join(refs, ["song_id", "start_ms"], "left")
-    no_refs = F.array().cast(f"array<array<{WORD}>>")
-    return out.select("song_id", F.col("line_no").cast("int").alias("line_no"), "start_ms", "end_ms", "content", F.coalesce("reference_lines", no_refs).alias("reference_lines"))
+    words = F.when(F.size(texts) > 1, F.filter(words, lambda w, i: (i > 0) | (w["content"] != ""))).otherwise(words)
+    plain = lambda ref: F.transform(ref["texts"], lambda t: F.struct(t.alias("content"), none.alias("start"), none.alias("end")))
+    refs = F.transform(F.slice("found", 2, F.size("found")), plain).cast(f"array<array<{WORD}>>")
+    return lines.select("song_id", F.col("line_no").cast("int").alias("line_no"), "start_ms", "end_ms", words.alias("content"), refs.alias("reference_lines"))
 
 
 def ms_tag(ms: Column, left: str = "[", right: str = "]") -> Column:

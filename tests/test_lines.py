@@ -5,14 +5,16 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lyrebird.operators.assemble import assembled, moved_end
 from lyrebird.operators.lines import aligned_interval, clip, clip_rows, eligible, line_intervals, line_text
-from lyrebird.operators.models import EvenAligner, WholeMixAsVocals, even_words, separated
+from lyrebird.operators.models import EvenAligner, WholeMixAsVocals, aligned_batches, batches_of, even_words, separated, separated_rows
 from lyrebird.operators.signal import SignalConfig
 from lyrebird.plans.word_timing import word_timing
 from lyrebird.schema import ALIGNED_WORD, WORD
+from lyrebird.sources.audio import wav_samples
 
 
 def fold(text, words, base):
@@ -124,3 +126,66 @@ def test_word_timing_of_a_mix(spark, tmp_path):
     assert {p.name for p in tmp_path.iterdir()} == {"00_input", "01_vocal_stem", "02_normalized", "03_vibrato_suppressed", "05_line"}
     lines = spark.read.parquet(f"{tmp_path}/05_line")
     assert {(r.line_no, len(r.samples)) for r in lines.collect()} == {(0, 100), (2, 250)}
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(12, 3), (12, 6), (12, 0), (1, 0), (2, 1), (5, 2)])
+def test_separation_in_chunks(spark, chunk, overlap):
+    class Halves:
+        """A separator that doubles a mono mix to two channels and counts what it gets."""
+
+        sample_rate = 8
+
+        def separate(self, audio):
+            assert audio.shape[1] <= 12
+            return {"vocals": np.concatenate([audio * 0.5, audio * 2]) if len(audio) == 1 else audio}
+
+    rng = np.random.default_rng(1)
+    audio = {"one": rng.normal(size=(1, 50)), "two": rng.normal(size=(2, 12)), "short": rng.normal(size=(2, 1))}
+    rows = [(k, c, i, float(v)) for k, x in audio.items() for c, own in enumerate(x) for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "clip_id string, channel int, idx long, v double").repartition(5)
+    got = {(r.clip_id, r.channel, r.idx): r.v for r in separated_rows(df, Halves, chunk, overlap).collect()}
+    audio["one"] = np.concatenate([audio["one"] * 0.5, audio["one"] * 2])
+    wanted = {(k, c, i): v for k, x in audio.items() for c, own in enumerate(x) for i, v in enumerate(own)}
+    assert set(got) == set(wanted) and all(abs(got[k] - wanted[k]) < 1e-5 for k in wanted)
+
+
+def test_wrong_chunks(spark):
+    df = spark.createDataFrame([("x", 0, 0, 0.0), ("x", 0, 1, 0.0), ("x", 1, 1, 0.0)], "clip_id string, channel int, idx long, v double")
+    with pytest.raises(Exception, match="differ in their samples"):
+        separated_rows(df, WholeMixAsVocals, 8, 2).collect()
+    with pytest.raises(ValueError, match="half of their length"):
+        separated_rows(df, WholeMixAsVocals, 8, 5)
+
+
+@pytest.mark.parametrize("held", [None, 1, 10_000])
+def test_alignment_in_batches(spark, held):
+    class Bounded(EvenAligner):
+        def align_batch(self, audios, texts, languages, sample_rate):
+            sizes = [len(a) for a in audios]
+            assert sizes == sorted(sizes) and (len(sizes) == 1 or len(sizes) * max(sizes) <= 100)
+            assert languages == [None if t == "" else t[:2] for t in texts]
+            return [[(t, None, None)] if not t else [(t, len(a) / sample_rate + 0.00004, 1.00001)] for a, t in zip(audios, texts, strict=True)]
+
+    rng = np.random.default_rng(4)
+    data = [(i, [0.0] * int(n), f"w{i}") for i, n in enumerate(rng.integers(0, 60, 150))] + [(200, [0.0] * 500, "long"), (201, None, "no"), (202, [0.0], "")]
+    df = spark.createDataFrame([(k, x, t, t[:2] or None) for k, x, t in data], "key int, samples array<float>, text string, language string").repartition(3)
+    got = {r.key: [tuple(w) for w in r.words] for r in aligned_batches(df, Bounded, 100, 10, held).collect()}
+    assert got == {k: [(t, int(round(len(x or []) / 10 + 0.00004, 4) * 1e3), 1000)] if t else [("", None, None)] for k, x, t in data}
+
+
+def test_batches_are_bounded():
+    assert list(batches_of([], 10)) == []
+    assert list(batches_of([1, 2, 3, 5, 11], 10)) == [(0, 3), (3, 4), (4, 5)]
+    assert list(batches_of([0, 0, 0], 10)) == [(0, 3)]
+
+
+def test_batched_word_timing_and_audio_taps(spark, tmp_path):
+    rows = [(a, n, s, e, [(t, s, e)], []) for a, n, s, e, t in (("s", 0, 0, None, "ab cd"), ("s", 1, 100, 100, "xy z"), ("s", 2, 150, None, "ef"), ("mute", 0, 0, None, "no audio"))]
+    df = spark.createDataFrame(rows, f"song_id string, line_no int, start_ms long, end_ms long, content array<{WORD}>, reference_lines array<array<{WORD}>>")
+    mix = spark.createDataFrame([("s", c, i, 0.1 + c / 2) for c in (0, 1) for i in range(400)], "song_id string, channel int, idx long, v double")
+    one = word_timing(df, mix, EvenAligner, rate=1000, make_separator=WholeMixAsVocals)
+    two = word_timing(df, mix, EvenAligner, rate=1000, make_separator=WholeMixAsVocals, batch_seconds=0.3, chunk_seconds=0.1, tap_lines=True, audio_folder=str(tmp_path))
+    as_rows = lambda d: sorted(map(str, d.collect()))
+    assert as_rows(one) == as_rows(two)
+    files = {str(p.relative_to(tmp_path)): wav_samples(p.read_bytes(), 1000).shape for p in tmp_path.rglob("*.wav")}
+    assert files == {"00_input/s.wav": (2, 400), "01_vocal_stem/s.wav": (2, 400), "02_normalized/s.wav": (1, 400), "03_vibrato_suppressed/s.wav": (1, 400), "05_line/s%2F0.wav": (1, 100), "05_line/s%2F2.wav": (1, 250)}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lyrebird.sources.alignment import batch_request, case_words, service_words
-from lyrebird.sources.lrc import lines_of_json, ms_tag, parse_lrc, read_lrc, render_lrc, song_json, song_metadata, tag_ms
+from lyrebird.sources.lrc import decoded, lines_of_json, ms_tag, parse_lrc, read_lrc, read_lrc_any, render_lrc, song_json, song_metadata, tag_ms
 
 FILE = """[ti:Name of it]
 [by: me ]
@@ -104,3 +104,32 @@ def test_batch_request(spark):
     wrong = spark.createDataFrame([(["x"], ["1", "2"], ["en"])], "a array<string>, t array<string>, l array<string>")
     with pytest.raises(Exception, match="differ"):
         wrong.select(batch_request(F.col("a"), F.col("t"), F.col("l")).alias("r")).collect()
+
+
+JAPANESE, CHINESE = "これは日本語の歌です。夢の中で会いましょう", "这是一首中文的歌，我们在梦里见面"
+
+
+@pytest.mark.parametrize(("text", "encoding"), [
+    (JAPANESE, "shift_jis"), (JAPANESE, "utf-8"), (JAPANESE, "utf-8-sig"), (JAPANESE, "utf-16"), (CHINESE, "gb18030"), (CHINESE, "gbk"), (CHINESE, "utf-16"),
+    ("plain words", "ascii"), ("plain words", "utf-16-le"), ("plain words", "utf-16-be"), ("", "utf-8"), ("", "utf-16"), ("カタカナだけ", "shift_jis"), ("😀 é", "utf-8"),
+])
+def test_encodings(text, encoding):
+    body = "\n".join(f"[00:0{i}.00]{text}" for i in range(3))
+    assert decoded(body.encode(encoding)) == body
+
+
+def test_unreadable_bytes():
+    assert decoded(b"ab\xff\x00\x80") == "ab�\x00�"
+    assert decoded(b"\xff\xfea\x00\xd8") != ""
+
+
+def test_files_of_many_encodings(spark, tmp_path):
+    for i, (text, encoding) in enumerate([(JAPANESE, "shift_jis"), (CHINESE, "gb18030"), (CHINESE, "utf-8"), (JAPANESE, "utf-16")]):
+        (tmp_path / f"{i}.lrc").write_bytes(f"[00:01.00]{text}\n[00:02.00]{text}".encode(encoding))
+    lines = parse_lrc(read_lrc_any(spark, str(tmp_path))).collect()
+    assert len(lines) == 8 and {r.content[0].content for r in lines} == {JAPANESE, CHINESE}
+
+
+def test_one_shuffle_for_parsing(spark):
+    plan = parse_lrc(spark.createDataFrame([("s", "[00:01.00]x")], "song_id string, value string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -177,3 +177,35 @@ def test_gains_in_blocks():
             g += b - a * g
             wanted.append(g)
         assert np.allclose(signal.run_gains(k, kt, 0.7), wanted, rtol=1e-12, atol=1e-14)
+
+
+def test_chain_over_channels(spark):
+    """Joint loudness, vibrato by channel, one gain; against the steps in NumPy."""
+    rng = np.random.default_rng(8)
+    audio = {"a": rng.normal(0, 0.4, (2, 150)), "b": rng.normal(0, 0.2, (1, 7)), "c": np.zeros((2, 3))}
+    config = signal.SignalConfig(vibrato_smooth_window_ms=450.0, compress=True, comp_attack_ms=200.0, comp_release_ms=2000.0)
+    c = signal.Compressor(config.comp_threshold_dbfs, config.comp_ratio, 200.0, 2000.0, 20)
+    got = values(signal.preprocess(spark.createDataFrame(rows(audio), SCHEMA).repartition(4), config, rate=20, piece=16))
+    for name, x in audio.items():
+        level = np.sqrt((x**2).mean())
+        x = x * (0.1 / level) if level > 1e-10 else x
+        for k, own in enumerate(x):
+            e = envelope(own, 9)
+            x[k] = own / (e + 1e-10) * envelope(e, 9)
+        gains = compress(np.abs(x).max(0), c) / np.where(np.abs(x).max(0) > 0, np.abs(x).max(0), 1)
+        for k, own in enumerate(x):
+            assert np.allclose(got[name, k], own * gains), (name, k)
+    assert len(got) == 5
+
+
+def test_repeated_indices_are_an_error(spark):
+    for bad in ([0, 0, 1], [0, 2]):
+        df = spark.createDataFrame([("a", i, 0.5) for i in bad], "clip_id string, idx long, v double")
+        with pytest.raises(Exception, match="repeat or have gaps"):
+            signal.preprocess(df, signal.SignalConfig()).collect()
+
+
+def test_vibrato_keeps_other_columns(spark):
+    df = spark.createDataFrame([("a", None, i, 0.5, f"x{i}") for i in range(30)], "clip_id string, channel int, idx long, v float, note string")
+    out = signal.suppress_vibrato(df, 3, piece=4).orderBy("idx").collect()
+    assert [r.note for r in out] == [f"x{i}" for i in range(30)] and np.allclose([r.v for r in out], 0.5)
