@@ -386,20 +386,20 @@ def _own_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-_FILE_CODES = f"""
-SELECT clip_id, CAST(channel AS INT) AS channel, CAST(idx AS BIGINT) AS idx, CAST(trunc(least(greatest(v * 3, -1.0), 1.0) * 32767.0) AS BIGINT) AS code
-FROM ({_VECTOR_SAMPLES}) WHERE clip_id * 2 + 1 IN (SELECT vec_id FROM embeddings)"""
+#: pairs of vectors, one behind the other, as the channels of eight files
+_FILE_SAMPLES = f"SELECT clip_id % 8 AS clip_id, channel, clip_id // 8 * 64 + idx AS idx, v * 3 AS v FROM ({_VECTOR_SAMPLES}) WHERE clip_id * 2 + 1 IN (SELECT vec_id FROM embeddings)"
 
 
-@query(_FILE_CODES)
+@query(f"""
+SELECT clip_id, CAST(channel AS INT) AS channel, CAST(idx AS BIGINT) AS idx, CAST(trunc(least(greatest(v, -1.0), 1.0) * 32767.0) AS BIGINT) AS code FROM ({_FILE_SAMPLES})""")
 def ranged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A WAV file of each pair of vectors, written piece by piece and read in ranges of 100 bytes."""
+    """Eight WAV files of pairs of vectors, written piece by piece and read in ranges of 4,096 bytes."""
     folder = _own_folder(spark, "clips")
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id")
-    whole = vectors.where("vec_id % 2 = 1").select(F.expr("vec_id div 2").alias("clip_id"))
-    samples = _vector_samples(spark, sf_dir).join(whole, "clip_id", "left_semi").withColumn("v", F.col("v") * 3)
-    write_wav(samples, folder, 8000, piece=16)
-    back = read_wav(spark, folder, 8000, range_bytes=100)
+    whole = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 1").select(F.expr("vec_id div 2").alias("clip_id"))
+    pairs = _vector_samples(spark, sf_dir).join(whole, "clip_id", "left_semi")
+    samples = pairs.select((F.col("clip_id") % 8).alias("clip_id"), "channel", (F.expr("clip_id div 8") * 64 + F.col("idx")).alias("idx"), (F.col("v") * 3).alias("v"))
+    write_wav(samples, folder, 8000, piece=1000)
+    back = read_wav(spark, folder, 8000, range_bytes=4096)
     clip_id = F.regexp_extract("clip_id", r"([0-9]+)\.wav$", 1).cast("long")
     return back.select(clip_id.alias("clip_id"), "channel", "idx", F.round(F.col("v").cast("double") * 32768).cast("long").alias("code"))
 
