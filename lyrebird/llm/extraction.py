@@ -11,10 +11,14 @@ elements of one name tell their roles apart without telling classes.
 2. Classes that most pages have are the host's template.  They nest: a token's
    place is made of tokens of its own class or of classes around it.  The tokens
    that a page has once, in order, part it into slots; text that is a token of the
-   template is no content.
-3. Slots whose text is the same on all pages, or is mostly links, are no content.
-   The article is the innermost single template element with most of the text of
-   the other slots, and the text of those slots in it is what is extracted.
+   template has no weight.
+3. Slots whose text is the same on all pages, or is mostly links, do not tell where
+   the article is.  The article is the innermost single template element with most
+   of the text of the other slots.
+4. What stands in it is extracted.  Text there that recurs is the article's own,
+   unless nearly all of several pages have it (FIXED, FIXED_PAGES): a notice.
+
+Pages of one host that are equal byte for byte count as one.
 
 Names and roles of elements only trim what varies inside the article: adverts,
 comments, forms.  Pages without a template (of a host with one page, say), or
@@ -42,8 +46,8 @@ from lyrebird.staging import staged, table
 
 #: a class of the template is on this share of a host's pages
 SUPPORT = 0.5
-#: and, if it is of text, on so many pages
-TEXT_PAGES = 3
+#: text within the article is the template's if it is on this share of a host's pages, and on so many
+FIXED, FIXED_PAGES = 0.9, 8
 #: paths rarer than this on a host are no template elements, words rarer no part of labels; their text counts for the elements around them
 RARE = 0.05
 #: the article holds this share of the text that may be content
@@ -59,6 +63,7 @@ _RAW = frozenset("script style noscript iframe template svg object video audio c
 _DROPPED = frozenset("head nav footer aside form menu button dialog fieldset datalist".split())
 #: these hold parts of an article, not all of it
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote".split())
+_PARAGRAPHS = frozenset("p blockquote pre".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _NOISE = re.compile(
     r"^(?:ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|masthead|topbar|toolbar"
@@ -133,6 +138,7 @@ class Page:
         self.starts: list[tuple[str, int]] = []
         self.inner: list[tuple[str, dict[str, int]]] = []
         self.words: set[str] = set()
+        self.articles = 0  # elements that are told to be the article, outermost ones
         self._read(page, words, split)
 
     def _read(self, page: str, words: frozenset[str] | None, split: frozenset[str] | None) -> None:
@@ -192,6 +198,7 @@ class Page:
                 path = "/".join([path, ".".join([step, *[w for w in own_words if words is None or w in words][:4]])])
                 self.starts.append((path, block))
                 self.inner.append((place, inner))
+            self.articles += main and not top.article and not noise
             at_noise = f"{path}/~" if noise and inline else path if noise else top.noise
             stack.append(_Open(name, path, place, inline, top.linked or name == "a", at_noise, top.article or main, inner))
         text(page[at:] if not re.match(r"<[a-zA-Z/!?]", page[at : at + 2]) else "")
@@ -280,6 +287,21 @@ def numbered_children(shapes: list[dict]) -> list[str]:
     return found
 
 
+def fixed(pages: int, of: int) -> bool:
+    """Whether what recurs on so many of a host's distinct pages is certainly the template's."""
+    return pages >= FIXED_PAGES and pages >= FIXED * of
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """_key, url and html of one of each group of pages of a host whose html is the same; a page crawled again adds nothing to a template."""
+    keyed = pages.select("url", "html", _host("url").alias("_home"), F.xxhash64("html").alias("_key"))
+    copies = staged(keyed.groupBy("_home", "_key").count().where("count > 1").drop("count"), "html-copies")
+    if copies.isEmpty():
+        return keyed.drop("_home")
+    once = keyed.join(copies, ["_home", "_key"], "left_semi").dropDuplicates(["_home", "_key"])
+    return keyed.join(copies, ["_home", "_key"], "left_anti").unionByName(once).drop("_home")
+
+
 def _by_host(rows: DataFrame, columns: tuple[str, ...], decide: Callable, schema: str) -> DataFrame:
     """host, and what decide says of the rows of each host (dictionaries of columns, as few as RARE allows)."""
     fields = types.StructType.fromDDL(schema).fields
@@ -308,9 +330,9 @@ def host_labels(pages: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- tokens and classes
 
-#: columns of a host: words, split, of as above; single: elements of the template that a page has once; texts: tokens of text; cuts: those of them that a page has once
+#: columns of a host: words, split, of as above; single: elements of the template that a page has once; texts: tokens of text; cuts: those of them that a page has once; fixed: those that nearly all pages have
 _LABELS = ("words", "split", "of")
-_TEMPLATE = (*_LABELS, "single", "texts", "cuts")
+_TEMPLATE = (*_LABELS, "single", "texts", "cuts", "fixed")
 #: and main: the path of the article; dull: slots that are no content
 _DECIDED = (*_TEMPLATE, "main", "dull")
 
@@ -331,25 +353,25 @@ def _page(html: str | None, known: dict) -> Page:
 
 
 def _tokens(shared=None):
-    """page_id, url, html -> host, path, text (0 for elements), a hash of the occurrence vector, pages and most times on a page."""
+    """_key, url, html -> host, path, text (0 for elements), a hash of the occurrence vector, pages and most times on a page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[tuple, list] = {}
-            rows = zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), _known(batch, shared, _LABELS), strict=True)
-            for page_id, url, html, known in rows:
+            rows = zip(batch["_key"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), _known(batch, shared, _LABELS), strict=True)
+            for key, url, html, known in rows:
                 if (known.get("of") or 0) < 2:
                     continue
                 page, host = _page(html, known), host_of(url)
                 counts: dict[tuple, int] = {("", 0): 1}
                 for path, _ in page.starts:
                     counts[path, 0] = counts.get((path, 0), 0) + 1
-                for block in page.blocks() if known["of"] >= TEXT_PAGES else ():
+                for block in page.blocks():
                     token = block[0].path, _token(block[0].path, _joined(block))
                     counts[token] = counts.get(token, 0) + 1
                 for (path, text), n in counts.items():
                     row = sums.setdefault((host, path, text), [0, 0, 0])
-                    row[0] = (row[0] + _hash(f"{page_id}\x00{url}\x00{n}")) & ((1 << 62) - 1)
+                    row[0] = (row[0] + _hash(f"{key}\x00{n}")) & ((1 << 62) - 1)
                     row[1] += 1
                     row[2] = max(row[2], n)
             yield pa.record_batch({
@@ -360,8 +382,8 @@ def _tokens(shared=None):
     return run
 
 
-def template(tokens: list[dict]) -> tuple[list[str], list[int], list[int]]:
-    """single, texts and cuts of one host's frequent tokens.
+def template(tokens: list[dict]) -> tuple[list[str], list[int], list[int], list[int]]:
+    """single, texts, cuts and fixed of one host's frequent tokens.
 
     Classes are taken from the outside in.  A class is valid if its elements
     stand in elements of valid classes or of its own; of texts it takes those that
@@ -379,20 +401,21 @@ def template(tokens: list[dict]) -> tuple[list[str], list[int], list[int]]:
             single += [t["path"] for t in own if t["most"] == 1 and t["path"]]
     texts = [t for members in classes.values() for t in members if t["text"] and t["path"] in valid]
     cuts = [t["text"] for t in texts if t["most"] == 1]
+    always = [t["text"] for t in texts if fixed(t["pages"], t["of"])]
     texts = [t["text"] for t in texts]
-    return sorted(single), sorted(texts), sorted(cuts)
+    return sorted(single), sorted(texts), sorted(cuts), sorted(always)
 
 
 def host_classes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels with single, texts and cuts, for hosts of two pages or more."""
+    """labels with single, texts, cuts and fixed, for hosts of two pages or more."""
     dealt, shared = _for_pages(pages, labels, *_LABELS)
     sums = dealt.mapInArrow(_tokens(shared), "host string, path string, text long, vector long, pages long, most long")
     tokens = sums.groupBy("host", "path", "text").agg(
         F.expr("CAST(SUM(CAST(vector AS DECIMAL(38,0))) % 9223372036854775807 AS LONG)").alias("vector"), F.sum("pages").alias("pages"), F.max("most").alias("most")
     )
     often = tokens.where("pages > 1").join(labels.select("host", "of"), "host")
-    often = often.where((F.col("pages") >= SUPPORT * F.col("of")) & ((F.col("text") == 0) | (F.col("pages") >= TEXT_PAGES)))
-    classes = _by_host(often, ("path", "text", "vector", "most"), template, "single array<string>, texts array<long>, cuts array<long>")
+    often = often.where(F.col("pages") >= SUPPORT * F.col("of"))
+    classes = _by_host(often, ("path", "text", "vector", "most", "pages", "of"), template, "single array<string>, texts array<long>, cuts array<long>, fixed array<long>")
     return staged(labels.join(classes, "host"), "html-classes")
 
 
@@ -400,11 +423,12 @@ def host_classes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class Slots:
-    """The blocks of a page that are no tokens of the template, each with its slot and the innermost template element around it."""
+    """The blocks of a page but those that nearly all pages have, each with its slot, the innermost template element around it, and whether it is a token of the template."""
 
     def __init__(self, page: Page, known: dict):
         single, texts, cuts = frozenset(known["single"] or ()), frozenset(known["texts"] or ()), frozenset(known["cuts"] or ())
-        self.blocks: list[tuple[int, str, list[Run]]] = []
+        always = frozenset(known["fixed"] or ())
+        self.blocks: list[tuple[int, str, list[Run], bool]] = []
         last, at, around = "", 0, {"": ""}
         for block in page.blocks():
             path = block[0].path
@@ -412,19 +436,21 @@ class Slots:
                 if page.starts[at][0] in single:
                     last = page.starts[at][0]
                 at += 1
-            if texts and (token := _token(path, _joined(block))) in texts:
+            common = bool(texts) and (token := _token(path, _joined(block))) in texts
+            if common:
                 last = str(token) if token in cuts else last
-                continue
+                if token in always:
+                    continue
             if path not in around:
                 up = path
                 while up and up not in single:
                     up = up.rpartition("/")[0]
                 around[path] = up
-            self.blocks.append((_hash(f"{last}\x00{around[path]}"), around[path], block))
+            self.blocks.append((_hash(f"{last}\x00{around[path]}"), around[path], block, common))
 
 
 def _slots(shared=None):
-    """page_id, url, html -> host, slot, the element around it, lengths of text outside and inside links, pages, least and greatest hash of a page's text."""
+    """url, html -> host, slot, the element around it, lengths of text outside and inside links, pages, least and greatest hash of a page's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,13 +459,13 @@ def _slots(shared=None):
                 if not known.get("single"):
                     continue
                 host, own = host_of(url), {}
-                for slot, around, block in Slots(_page(html, known), known).blocks:
-                    own.setdefault((host, slot, around), []).append(block)
+                for slot, around, block, common in Slots(_page(html, known), known).blocks:
+                    own.setdefault((host, slot, around), []).append((block, common))
                 for key, blocks in own.items():
                     row = sums.setdefault(key, [0, 0, 0, (1 << 63) - 1, -1])
-                    for run in (r for b in blocks for r in b):
+                    for run in (r for b, common in blocks for r in b if not common or r.linked):
                         row[run.linked] += len(run.text)
-                    seen = _hash(" ".join(map(_joined, blocks)))
+                    seen = _hash(" ".join(_joined(b) for b, _ in blocks))
                     row[2], row[3], row[4] = row[2] + 1, min(row[3], seen), max(row[4], seen)
             yield pa.record_batch({
                 "host": pa.array([k[0] for k in sums], pa.string()), "slot": pa.array([k[1] for k in sums], pa.int64()), "around": pa.array([k[2] for k in sums], pa.string()),
@@ -450,14 +476,24 @@ def _slots(shared=None):
 
 
 def article(slots: list[dict], single: Iterable[str], pages: int) -> tuple[str | None, list[int]]:
-    """The path of the article and the slots that are no content, of one host's slots; None if no slot has content."""
+    """The path of the article and the slots that are no content, of one host's slots; None if no slot has content.
+
+    Slots that are mostly links are none, and slots of one text on nearly all pages.
+    Slots of one text on fewer pages are none only where no article stands out of
+    the whole page, unless they are paragraphs.
+    """
     name = lambda path: re.split(r"[.\[]", path.rpartition("/")[2])[0]
-    dull, free = [], {}  # length of free text in elements
+    dull, same, free = [], [], {}  # length of free text in elements
     for s in slots:
         title = re.fullmatch(r"h[1-6]", name(s["around"]))
-        if s["pages"] >= max(2, SUPPORT * pages) and (s["low"] == s["high"] or (s["linked"] > s["free"] and not title)):
-            dull.append(s["slot"])
-            continue
+        if s["pages"] >= max(2, SUPPORT * pages):
+            constant, linked = s["low"] == s["high"], s["linked"] > s["free"] and not title
+            if (linked and not constant) or (constant and (s["linked"] or fixed(s["pages"], pages))):
+                dull.append(s["slot"])
+            elif constant:
+                same.append(s)
+            if constant or linked:
+                continue
         path = s["around"]
         while True:
             free[path] = free.get(path, 0) + s["free"]
@@ -476,12 +512,14 @@ def article(slots: list[dict], single: Iterable[str], pages: int) -> tuple[str |
         if name("/".join(parts[: depth + 1])) in ("article", "main") and "/".join(parts[: depth + 1]) in places:
             best = "/".join(parts[: depth + 1])
             break
+    if best.count("/") <= _OUTER:
+        dull += [s["slot"] for s in same if s["around"] != best and name(s["around"]) not in _PARAGRAPHS]
     return best, sorted(dull)
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
     """host and what is known of it, of each host with a template."""
-    pages = pages.select("page_id", "url", "html")
+    pages = distinct_pages(pages)
     classes = host_classes(pages, host_labels(pages))
     dealt, shared = _for_pages(pages, classes, *_TEMPLATE)
     sums = dealt.mapInArrow(_slots(shared), "host string, slot long, around string, free long, linked long, pages long, low long, high long")
@@ -512,16 +550,16 @@ def main_text(html: str, known: dict | None = None) -> tuple[str, bool]:
     if known and known.get("main") is not None:
         main, dull = known["main"], frozenset(known["dull"] or ())
         below = main + "/"
-        for slot, _, block in Slots(page, known).blocks:
+        for slot, _, block, _ in Slots(page, known).blocks:
             path = block[0].path
             if slot not in dull and (path == main or path.startswith(below)):
                 chosen.append([r for r in block if not r.noise.startswith(below)])
         if main.count("/") <= _OUTER and any(r.article and r.text.strip() for b in chosen for r in b):
             chosen = [[r for r in b if r.article] for b in chosen]  # the template tells no more than the whole page
-    texts = [t for t in map(_joined, chosen) if t]
-    if texts:
-        return " ".join(texts), True
-    return " ".join(filter(None, map(_joined, _alone(page)))), False
+    texts, alone = [t for t in map(_joined, chosen) if t], [t for t in map(_joined, _alone(page)) if t]
+    if page.articles == 1 and alone and not any(r.article for b in chosen for r in b) and sum(map(len, alone)) > sum(map(len, texts)):
+        return " ".join(alone), False  # pages of one article tell the template nothing about it
+    return (" ".join(texts), True) if texts else (" ".join(alone), False)
 
 
 def _extract(kind: pa.DataType, shared=None):
@@ -555,8 +593,10 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     by_template says whether the host's template told the text.  Null or empty
     html has an empty text.  Pages without a host share one.  A host with a single
-    page has no template; its page is judged alone.  Repeated rows are repeated.
-    An empty table gives no rows.  Other columns are left alone.
+    page has no template; its page is judged alone.  Pages of equal html count once
+    in their host's template and have equal texts, so repeated rows change no other
+    page.  Texts of any length are kept whole; an empty table gives no rows.  Other
+    columns are left alone.
     """
     kind = next(f for f in pages.schema.fields if f.name == "page_id").dataType
     schema = f"page_id {kind.simpleString()}, url string, text string, n_chars long, by_template boolean"

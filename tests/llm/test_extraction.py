@@ -156,3 +156,92 @@ def test_templates_against_plain_vectors(spark):
         assert found[host].cuts == sorted(t for t, v in often.items() if not isinstance(t, str) and max(v) == 1)
         assert len(set(map(tuple, often.values()))) >= 2  # several classes
     assert found["a.org"].split == ["/body>div", "/body/div[1]>div"]
+
+
+SITE = "<body><div{0}>Our site <a href=/>home</a> <a href=/b>news</a></div><{5}{1}><h1>{2}</h1>{3}</{5}><div>Buy our things today</div><div{4}>All rights reserved</div></body>"
+
+
+def site_page(title: str, paragraphs: list[str], named: bool) -> str:
+    names = (' class="nav"', ' class="story"', ' class="footer"') if named else ("", "", "")
+    return SITE.format(names[0], names[1], title, "".join(f"<p>{p}</p>" for p in paragraphs), names[2], "article" if named else "div")
+
+
+def long_text(seed: int, n: int = 30) -> str:
+    import random
+
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def check_hosts(spark, hosts: list[list[tuple[str, list[str]]]], named: bool) -> None:
+    """Every page's text is its title and paragraphs, whatever the others of its host are."""
+    rows, wanted = [], {}
+    for h, own in enumerate(hosts):
+        for title, paragraphs in own:
+            wanted[len(rows)] = " ".join([title, *paragraphs])
+            rows.append((len(rows), f"http://h{h}.org/{len(rows)}", site_page(title, paragraphs, named)))
+    got = {r.page_id: r.text for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == wanted
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_text_that_recurs_on_a_host_stays(spark, named):
+    shared = [long_text(1000), long_text(1001)]
+    hosts = []
+    for share, of in ((2, 2), (3, 3), (3, 5), (2, 4), (5, 5), (7, 7)):
+        # an opening paragraph, a closing one, and both
+        for before, after in ((shared[:1], []), ([], shared[:1]), (shared[:1], shared[1:])):
+            pages = [(f"title {len(hosts)} {i}", [*(before if i < share else []), long_text(i + 50 * len(hosts)), long_text(i + 20 + 50 * len(hosts)), *(after if i < share else [])]) for i in range(of)]
+            hosts.append(pages)
+    check_hosts(spark, hosts, named)
+
+
+def test_one_article_on_many_pages_of_a_host(spark):
+    """The paragraphs are the same on three pages of four, under titles of their own."""
+    hosts = [[(f"title {of} {i}", [long_text(1), long_text(2)] if i < share else [long_text(60 + i), long_text(70 + i)]) for i in range(of)] for share, of in ((3, 4), (2, 3), (2, 2), (4, 5), (3, 3))]
+    check_hosts(spark, hosts, True)
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_pages_that_are_crawled_again(spark, named):
+    """Copies on hosts of two to five pages; their menu stays out, and other pages are as without them."""
+    hosts = []
+    for copies, others in ((3, 2), (2, 2), (2, 3), (4, 1), (2, 1)):
+        again = (f"again {len(hosts)}", [long_text(len(hosts)), long_text(100 + len(hosts))])
+        hosts.append([again] * copies + [(f"other {len(hosts)} {i}", [long_text(200 + i), long_text(300 + i)]) for i in range(others)])
+    check_hosts(spark, hosts, named)
+    if named:
+        check_hosts(spark, [[("only", [long_text(5)])] * 3], named)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_made_up_hosts_against_what_they_were_made_of(spark, seed):
+    """Hosts of two to thirty pages without a telling name, whose templates and articles are drawn at random."""
+    import random
+
+    rng, rows, wanted = random.Random(seed), [], {}
+    for h in range(14):
+        of = rng.choice([2, 3, 4, 5, 8, 30])
+        tag, depth = rng.choice(["div", "section", "center"]), rng.randrange(1, 4)
+        menu = "".join(f"<li><a href=/{k}>item {k}</a></li>" for k in range(rng.randrange(2, 6)))
+        before = [f"<div><ul>{menu}</ul></div>", f"<div>{long_text(900 + h, 6)}</div>"][: rng.randrange(1, 3)]
+        after = [f"<div>{long_text(950 + h, 12)}</div>", "<div><a href=/x>imprint</a></div>"][: rng.randrange(1, 3)]
+        common = [long_text(5000 + 10 * h + k, 12) for k in range(3)]
+        for i in range(of):
+            paragraphs = [long_text(10_000 * h + 10 * i + k, rng.randrange(20, 60)) for k in range(rng.randrange(2, 6))]
+            if rng.random() < 0.5 and of < 8:
+                paragraphs.insert(rng.randrange(len(paragraphs) + 1), rng.choice(common))
+            body = f"<{tag}>" * depth + f"<h2>title {h} {i}</h2>" + "".join(f"<p>{p}</p>" for p in paragraphs) + f"</{tag}>" * depth
+            wanted[len(rows)] = " ".join([f"title {h} {i}", *paragraphs])
+            rows.append((len(rows), f"http://h{h}.org/{i}", f"<html><body>{''.join(before)}{body}{''.join(after)}</body></html>"))
+    got = {r.page_id: r.text for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == wanted
+
+
+def test_copies_change_no_page(spark):
+    body = lambda i: site_page(f"title {i}", [long_text(i), long_text(40 + i)], False)
+    rows = [(i, f"http://h.org/{i}", body(i)) for i in range(5)]
+    frame = lambda r: spark.createDataFrame(r, "page_id long, url string, html string")
+    once = {r.page_id: r.text for r in extracted(frame(rows)).collect()}
+    again = extracted(frame(rows + [rows[0]] * 4 + [(90 + k, f"http://h.org/copy{k}", rows[1][2]) for k in range(6)])).collect()
+    assert {r.page_id: r.text for r in again if r.page_id < 90} == once and {r.text for r in again if r.page_id >= 90} == {once[1]}
