@@ -456,18 +456,38 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with the smallest id of each class of near duplicates, and of rows that repeat an id the one whose text has the least digest; rows without an id stay."""
-    away = jaccard_classes(docs)[0].where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.lit(2).alias("_mark"))
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    marks = away.union(repeated.select("doc_id", F.lit(1))).groupBy("_id").agg(F.max("_mark").alias("_mark"))
-    marks = staged(marks, "jaccard-marks")
-    id_, mark, least = (free_name(c, docs.columns) for c in ("_id", "_mark", "_least"))
-    marked = docs.join(marks.select(F.col("_id").alias(id_), F.col("_mark").alias(mark)), docs["doc_id"] == F.col(id_), "left")
-    once = marked.where(F.col(mark).isNull()).select(*docs.columns)
-    several = marked.where(F.col(mark) == 1).select(*docs.columns)
+    """docs with one row of each class of near duplicates: the one of least id, and of that id the one whose text has the least SHA-256.
+
+    Rows are judged one by one: rows of one id whose texts are not linked all stay,
+    and of rows of one id and one text one does, the least as JSON.  Rows without an
+    id stay, and so do rows without words, but for repeats of one id and text.  An
+    empty table gives no rows.
+    """
+    counts = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = staged(counts.where("_rows > 1").select(F.col("doc_id").alias("_id")), "jaccard-repeated")
+    if repeated.isEmpty():
+        away = jaccard_classes(docs)[0].where("doc_id <> component_id").select("doc_id")
+        return docs.join(staged(away, "jaccard-away"), "doc_id", "left_anti").select(*docs.columns)
+    id_, node, digest, least = (free_name(c, docs.columns) for c in ("_id", "_node", "_digest", "_least"))
+    repeated = repeated.withColumnRenamed("_id", id_)
+    plain = docs.join(repeated, docs["doc_id"] == F.col(id_), "left_anti")
+    # rows of one id and text are one; each stands for itself under a number that is no id
     whole = F.struct(*docs.columns)
-    least_of = several.groupBy("doc_id").agg(F.min_by(whole, F.struct(F.sha2(F.col("text").cast("binary"), 256), F.to_json(whole))).alias(least))
-    return once.union(least_of.select(f"{least}.*"))
+    several = docs.join(repeated, docs["doc_id"] == F.col(id_), "left_semi").withColumn(digest, F.coalesce(F.sha2(F.col("text").cast("string").cast("binary"), 256), F.lit("")))
+    several = several.groupBy("doc_id", digest).agg(F.min_by(whole, F.to_json(whole)).alias(least))
+    below_zero = (docs.agg(F.min("doc_id")).first()[0] or 0) < 0
+    number = F.xxhash64("doc_id", digest)
+    several = staged(several.select(digest, (number if below_zero else -F.pmod(number, F.lit((1 << 63) - 1)) - 1).alias(node), f"{least}.*"), "jaccard-several-rows")
+
+    nodes = plain.select("doc_id", "text").unionByName(several.select(F.col(node).alias("doc_id"), "text"))
+    known = several.select(F.col(node).alias("_at"), F.struct(F.col("doc_id").cast("long").alias("id"), F.col(digest).alias("digest")).alias("_known"))
+    classes = jaccard_classes(nodes)[0].where("component_id IS NOT NULL").select(F.col("doc_id").alias("_at"), F.col("component_id").alias("_class"))
+    ranked = classes.join(known, "_at", "left").withColumn("_known", F.coalesce("_known", F.struct(F.col("_at").alias("id"), F.lit("").alias("digest"))))
+    ranked = staged(ranked, "jaccard-ranked")
+    heads = ranked.groupBy("_class").agg(F.min("_known").alias("_head"))
+    away = staged(ranked.join(heads, "_class").where("_known <> _head").select("_at"), "jaccard-away").withColumnRenamed("_at", id_)
+    kept = plain.join(away, plain["doc_id"] == F.col(id_), "left_anti")
+    return kept.unionByName(several.join(away, F.col(node) == F.col(id_), "left_anti").select(*docs.columns))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

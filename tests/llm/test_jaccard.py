@@ -112,21 +112,41 @@ def test_empty_and_odd_tables(docs, odd_docs, no_docs):
     assert outcome(jaccard.jaccard_classes(odd_docs)[0]) == outcome(jaccard.jaccard_classes(docs)[0])
 
 
+def plain_kept(rows):
+    """The rows that stay, each judged by itself: one of each class of linked texts, by id and then by digest."""
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest() if t is not None else ""
+    known = sorted({(r[0], digest(r[1]), r[1]) for r in rows if r[0] is not None}, key=lambda r: r[:2])
+    numbered = [(k, t, "en", "s", 1) for k, (_, _, t) in enumerate(known)]
+    heads = {k for k, _, c in brute(numbered) if k == c}
+    return sorted((known[k][0], known[k][1]) for k in heads)
+
+
+def kept_rows(df):
+    return sorted((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest() if r.text is not None else "") for r in df.collect() if r.doc_id is not None)
+
+
 def test_deduplicated(docs, odd_docs, rows, no_docs):
-    component = {(i, n): c for i, n, c in brute(rows)}
-    kept = jaccard.deduplicated(docs).collect()
-    ids = [r.doc_id for r in kept if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and set(ids) == {c for c in component.values() if c is not None}
-    assert sum(r.doc_id is None for r in kept) == 2
-    assert jaccard.deduplicated(odd_docs).columns == odd_docs.columns and jaccard.deduplicated(odd_docs).count() == len(kept)
+    kept = jaccard.deduplicated(docs)
+    assert kept_rows(kept) == plain_kept(rows)
+    assert kept.where("doc_id IS NULL").count() == 2
+    assert jaccard.deduplicated(odd_docs).columns == odd_docs.columns and jaccard.deduplicated(odd_docs).count() == kept.count()
     assert jaccard.deduplicated(no_docs).count() == 0
 
 
-def test_deduplicated_keeps_the_same_row_in_any_order(spark):
-    texts = {i: [" ".join(f"t{i}x{j}w{k}" for k in range(9)) for j in range(4)] for i in range(12)}
+def test_unlinked_texts_of_one_id_stay(spark):
+    texts = {i: [" ".join(f"t{i}x{j}w{k}" for k in range(9)) for j in range(4)] for i in range(-2, 12)}
     rows = [(i, t, "en", "s", 1) for i, own in texts.items() for t in own]
-    least = {i: min(own, key=lambda t: hashlib.sha256(t.encode()).hexdigest()) for i, own in texts.items()}
-    assert {r.doc_id: r.text for r in jaccard.deduplicated(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()} == least
+    rows += [(100, texts[3][0], "en", "s", 1), (100, None, "en", "s", 1), (100, "", "en", "s", 1), (100, " ", "en", "s", 1), (3, texts[0][1], "en", "s", 1), rows[5], rows[5]]
+    for own in (rows, [r for r in rows if r[0] >= 0]):
+        assert kept_rows(jaccard.deduplicated(spark.createDataFrame(own, COLUMNS).repartition(3))) == plain_kept(own)
+    three = [(1, texts[1][0], "en", "s", 1), (1, texts[1][1], "en", "s", 1), (2, texts[2][0], "en", "s", 1)]
+    assert jaccard.deduplicated(spark.createDataFrame(three, COLUMNS)).count() == 3
+
+
+def test_rows_equal_but_for_other_columns(spark):
+    rows = [(1, "a b c", "en", "s2", 1), (1, "a b c", "en", "s1", 2), (1, "a b c", "de", "s0", 3), (2, "other words here", "en", "s", 1)]
+    kept = [jaccard.deduplicated(spark.createDataFrame(r, COLUMNS)).orderBy("doc_id").collect() for r in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and [r.doc_id for r in kept[0]] == [1, 2] and kept[0][0].source == "s0"
 
 
 def test_tree_finds_all_that_the_bound_allows():

@@ -22,6 +22,25 @@ def test_stages_keep_the_columns(spark, odd_docs, no_docs, name, stage):
     assert empty.columns == no_docs.columns and empty.count() == 0
 
 
+def test_clashing_ids(spark, tmp_path):
+    """Unlinked rows of one id go through all stages that keep rows."""
+    words = lambda k: " ".join(f"word{k}x{j}" for j in range(60))
+    rows = [(1, words(1), "en", "s", 1), (1, words(2), "en", "s", 1), (2, words(3), "en", "s", 1), (2, words(3), "en", "s", 1), (3, words(1) + " more", "en", "s", 1), (None, words(4), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    distinct = P.distinct_documents(spark, docs, DATA)
+    assert sorted(r.text for r in distinct.collect()) == sorted([words(1), words(2), words(3), words(4)])
+    assert sorted(r.text for r in P.clean_documents(spark, distinct, DATA).collect()) == sorted(r.text for r in distinct.collect())
+    packed = P.packed_documents(spark, docs, DATA).collect()
+    assert sorted((d is None, d or 0) for r in packed for d, at in zip(r.doc_ids, r.doc_offsets, strict=True) if at == 0) == sorted((r[0] is None, r[0] or 0) for r in rows)
+
+
+def test_packing_of_awkward_tables(spark, odd_docs, no_docs):
+    rows = P.packed_documents(spark, odd_docs, DATA).collect()
+    begun = [d for r in rows for d, at in zip(r.doc_ids, r.doc_offsets, strict=True) if at == 0]
+    assert sorted((d is None, d or 0) for d in begun) == sorted((r.doc_id is None, r.doc_id or 0) for r in odd_docs.select("doc_id").collect())
+    assert P.packed_documents(spark, no_docs, DATA).count() == 0
+
+
 def test_whole(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for _, stage in P.STAGES[:-1]:
@@ -37,7 +56,7 @@ def test_registered():
 
     names = set(entry.queries())
     assert "pipeline" in names and set(entry.oracle_sql()) <= names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
 
 
 def test_whole_against_plain_stages(spark, tmp_path):
