@@ -353,7 +353,11 @@ def _without_hits(shared):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of docs, with all their columns, in whose text no window of the benchmark occurs.
 
-    Beyond block_windows windows, rows are told by the digest of their text.
+    Null and empty texts have no windows and stay; texts of any length are judged
+    whole.  Each row is judged by itself, so rows that repeat an id or a text share a
+    text's fate and null ids change nothing.  Null items have no windows; without
+    windows all rows stay; an empty table gives no rows.  Beyond block_windows
+    windows, rows are told by the digest of their text.
     """
     found, n = _benchmark_windows(benchmark, window)
     if n <= block_windows:

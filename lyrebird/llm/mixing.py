@@ -117,7 +117,13 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each document as often as the mix takes it; the same columns."""
+    """docs with each document as often as the mix takes it; the same columns.
+
+    A null text is a document of size 0, and sources without words are taken at no
+    rate, so their rows go; a null source is a source of its own.  The number of
+    copies hangs on doc_id, so rows that repeat an id are taken equally often, and
+    null ids share one draw.  An empty table gives no rows.
+    """
     seed = options.pop("seed", SEED)
     sizes = _sizes(docs, seed)
     turns = staged(source_turns(sizes, source_targets(sizes, **options)), "mix-turns")

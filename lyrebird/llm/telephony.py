@@ -206,7 +206,13 @@ def media_columns(docs: DataFrame, blobs: bool = True, to: int = OUT_RATE, codec
 
 
 def decode_media(rows: DataFrame, media: str = "media", to: int = OUT_RATE) -> DataFrame:
-    """rows with pcm (16-bit samples at rate to) and codec of its WAV column; null media stay null."""
+    """rows with pcm (16-bit samples at rate to) and codec of its WAV column.
+
+    Null media have null pcm and codec; bytes that are no mono telephony WAV are an
+    error.  Each row is read by itself, 256 at a time, so repeated rows have equal
+    results; media without samples have empty pcm; an empty table gives no rows.
+    Columns named pcm and codec are replaced.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
