@@ -2,6 +2,9 @@
 
 Each stage takes what the one before has kept, written as Parquet and read
 again, and returns the columns of documents; the last returns packed rows.
+
+Every stage judges rows one by one, repeated ids and null ids among them, and texts
+whole, however long; an empty table gives no rows, and extra columns go through.
 """
 
 from __future__ import annotations
@@ -21,7 +24,12 @@ LEAST_QUALITY = 0.5
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier takes; it learns from the labels of those it may learn from."""
+    """Documents that the quality classifier takes; it learns from the labels of those it may learn from.
+
+    Null and empty texts have a score too, that of no features, and stay or go by it;
+    equal texts have equal scores.  Without labels of both classes all texts have the
+    same score.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     score = "_score"
     while score in docs.columns:
@@ -30,22 +38,30 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates.
+
+    The least id stays, and of one id the least digest of a text.  Unlinked texts stay
+    though they share an id; of rows of one id and text one stays; null ids all do.
+    """
     return deduplicated(docs)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of the benchmark occurs."""
+    """Documents in which no window of the benchmark occurs; null and empty texts, and all where the benchmark has no words."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def weighted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is one of its own.  A document without words is taken as often as
+    its source's rate asks; a source without words is not taken.
+    """
     return mixed_documents(docs)
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in rows of fixed length."""
+    """Token ids in rows of fixed length; a null or empty text is its end mark alone, and repeated rows are packed each."""
     return packed_ids(docs)
 
 
