@@ -1,4 +1,4 @@
-"""WAV files as rows of samples, and samples as WAV files."""
+"""WAV and FLAC files as rows of samples, and samples as WAV files."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyrebird.functions.resample import Resampler
+from lyrebird.sources.flac import flac_values
 
 RATE = 44100
 
@@ -57,8 +58,12 @@ def wav_samples(data: bytes, rate: int, skip_invalid: bool = True) -> np.ndarray
     """(channels, samples) as 32-bit floats at the wanted rate; 8, 16, 24 and 32-bit PCM.
 
     Frames cut off at the end of a file are left out with a warning, or are an
-    error without skip_invalid; a file without any sample is an error.
+    error without skip_invalid; a file without any sample is an error.  A FLAC file
+    is read likewise, without the frames whose check sums are wrong.
     """
+    if data[:4] == b"fLaC":
+        values, own = flac_values(data, skip_invalid)
+        return Resampler(own, rate)(values).astype(np.float32)
     with wave.open(io.BytesIO(data)) as w:
         width, n, own = w.getsampwidth(), w.getnchannels(), w.getframerate()
         raw, told = w.readframes(w.getnframes()), w.getnframes()
