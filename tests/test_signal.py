@@ -113,6 +113,26 @@ def test_stream_equals_batch(spark, clips, tmp_path):
         assert np.allclose(got[k, 0], compress(np.array(channels[0]), c)), k
 
 
+def test_late_pieces_wait(spark, clips, tmp_path):
+    """Pieces in falling order, one file and one batch each, of two clips."""
+    c = signal.Compressor(attack_ms=5, release_ms=20, rate=1000)
+    df = spark.createDataFrame(rows(clips), SCHEMA).where("channel = 0 AND clip_id IN ('a', 'flat')")
+    pieces = signal.to_pieces(df, piece=20).select("clip_id", F.col("piece").cast("long").alias("piece"), "samples")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(pieces.schema).parquet(str(tmp_path / "in"))
+    run = compress_stream(stream, c).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    seen = []
+    for number in (3, 1, 0, 2, 4):
+        pieces.where(F.col("piece") == number).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run.processAllAvailable()
+        seen.append(spark.table("late").where("clip_id = 'a'").count())
+    run.stop()
+    assert seen == [0, 0, 2, 4, 5]
+    got = values(signal.from_pieces(spark.table("late"), piece=20))
+    for k in ("a", "flat"):
+        assert np.allclose(got[k, 0], compress(np.array(clips[k][0]), c)), k
+
+
 def test_config_gates(spark):
     df = spark.createDataFrame([("a", i, 0.5) for i in range(20)], "clip_id string, idx long, v double")
     off = signal.SignalConfig(normalize=False, suppress_vibrato=False)
