@@ -6,13 +6,14 @@ only where its phrase does; and so long a phrase seldom recurs by chance.
 
 1. Confirm: phrases that represent windows of two documents or more recur.
 2. Compile: the recurring phrases are dealt to shards, a phrase to the shard of
-   its first document; that document gives its words, and each shard is one
-   Aho-Corasick automaton of bounded size.
-3. Locate: every document is streamed through the automata of all shards that
-   have a phrase of one of its windows, in as many tasks for a shard as its
-   documents ask for.  The automata find where the phrases stand, word for word.
-   A window comes forth from the one shard that has its phrase, so none is lost
-   and none comes twice.
+   the first piece of text that has it; that document gives its words, and each
+   shard is one Aho-Corasick automaton of bounded size.
+3. Locate: a document is cut into pieces of some thousand windows, and every piece
+   is streamed through the automata of all shards that have a phrase of one of its
+   windows, in as many tasks for a shard as its pieces ask for.  The automata find
+   where the phrases stand, word for word.  A window starts in one piece, which
+   has all its words, and comes forth from the one shard that has its phrase, so
+   none is lost and none comes twice.
 4. The windows around the places found are compared by 128-bit hashes, and a
    word goes if a window over it also starts in a document with a smaller id.
 
@@ -36,8 +37,10 @@ from lyrebird.llm.words import PLAIN, Block, gram_ids, mix, signed, word_blocks
 from lyrebird.staging import staged, table
 
 WINDOW = 50
-#: phrases of a shard's automaton, about; those of one document are together
+#: phrases of a shard's automaton, about; those of one piece of a document are together
 SHARD_PHRASES = 10_000
+#: windows that start in a piece
+PIECE_WINDOWS = 8192
 #: bytes of text that one task streams through a shard's automaton; it compiles its own
 PART_BYTES = 16 << 20
 
@@ -69,15 +72,15 @@ def least_phrases(ids: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, key, text."""
+    """doc_id, text -> doc_id, key, n_words, text."""
     for batch in batches:
-        keys = [_digest(t.split())[:8] for t in pc.fill_null(batch["text"].cast(pa.binary()), b"").to_pylist()]
-        keys = pa.array(np.frombuffer(b"".join(keys), np.int64))
-        yield pa.record_batch([batch["doc_id"], keys, batch["text"]], ["doc_id", "key", "text"])
+        words = [t.split() for t in pc.fill_null(batch["text"].cast(pa.binary()), b"").to_pylist()]
+        keys = pa.array(np.frombuffer(b"".join(_digest(w)[:8] for w in words), np.int64))
+        yield pa.record_batch([batch["doc_id"], keys, pa.array([len(w) for w in words], pa.int64()), batch["text"]], ["doc_id", "key", "n_words", "text"])
 
 
-def _survey(window: int, phrase: int):
-    """doc_id, text -> a row for the document, and one for each of its windows' phrases."""
+def _survey(window: int, phrase: int, size: int):
+    """doc_id, text -> a row for the document, and one for each phrase of the windows of a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,21 +89,23 @@ def _survey(window: int, phrase: int):
                 digests = [_digest(_row_words(block, row)) for row in range(block.rows)]
                 keys = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
                 yield pa.record_batch({
-                    "phrase": pa.nulls(block.rows, pa.int64()), "doc_id": doc, "key": pa.array(keys), "n_words": pa.array(block.counts),
+                    "phrase": pa.nulls(block.rows, pa.int64()), "piece": pa.nulls(block.rows, pa.int32()), "doc_id": doc, "key": pa.array(keys), "n_words": pa.array(block.counts),
                     "sha256": pa.array([d.hex() for d in digests], pa.string()),
                 })
                 least = least_phrases(block.ids, window, phrase)[1]
-                row = np.searchsorted(block.bounds, np.arange(len(least)), side="right") - 1
-                inside = np.arange(len(least)) + window <= block.bounds[row + 1]
-                row, least = row[inside], least[inside]
+                at = np.arange(len(least))
+                row = np.searchsorted(block.bounds, at, side="right") - 1
+                inside = at + window <= block.bounds[row + 1]
+                row, at, least = row[inside], at[inside], least[inside]
                 if not len(row):
                     continue
-                order = np.lexsort((least, row))
-                row, least = row[order], least[order]
-                first = np.concatenate([[True], (row[1:] != row[:-1]) | (least[1:] != least[:-1])])
-                row, least = row[first], least[first]
+                piece = (at - block.bounds[row]) // size
+                order = np.lexsort((least, piece, row))
+                row, piece, least = row[order], piece[order], least[order]
+                first = np.concatenate([[True], (row[1:] != row[:-1]) | (piece[1:] != piece[:-1]) | (least[1:] != least[:-1])])
+                row, piece, least = row[first], piece[first], least[first]
                 yield pa.record_batch({
-                    "phrase": pa.array(signed(least)), "doc_id": doc.take(pa.array(row)), "key": pa.array(keys[row]),
+                    "phrase": pa.array(signed(least)), "piece": pa.array(piece.astype(np.int32)), "doc_id": doc.take(pa.array(row)), "key": pa.array(keys[row]),
                     "n_words": pa.nulls(len(row), pa.int64()), "sha256": pa.nulls(len(row), pa.string()),
                 })
 
@@ -108,24 +113,50 @@ def _survey(window: int, phrase: int):
 
 
 def _phrase_words(phrase: int):
-    """Documents with the recurring phrases that they are the first to have -> shard and the words of each."""
+    """Documents with the recurring phrases that they are the first to have, and their shards -> shard and words of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in word_blocks(batch["text"], PLAIN):
                 own = batch.slice(block.first_row, block.rows)
                 shards, texts = [], []
-                for row, (known, shard) in enumerate(zip(own["phrases"], own["shard"].to_pylist(), strict=True)):
+                for row, known in enumerate(own["phrases"]):
+                    named, shard = (known.values.field(c).to_numpy() for c in ("phrase", "shard"))
+                    order = np.argsort(named.view(np.uint64))
+                    named, shard = named.view(np.uint64)[order], shard[order]
                     words, grams = _row_words(block, row), gram_ids(block.ids[block.bounds[row] : block.bounds[row + 1]], phrase)
-                    wanted = np.flatnonzero(np.isin(grams, known.values.to_numpy().view(np.uint64)))
-                    once = wanted[np.unique(grams[wanted], return_index=True)[1]].tolist()
-                    texts += [b" ".join(words[p : p + phrase]) for p in once]
-                    shards += [shard] * len(once)
+                    wanted = np.flatnonzero(np.isin(grams, named))
+                    once = wanted[np.unique(grams[wanted], return_index=True)[1]]
+                    texts += [b" ".join(words[p : p + phrase]) for p in once.tolist()]
+                    shards += shard[np.searchsorted(named, grams[once])].tolist()
                 yield pa.record_batch({"shard": pa.array(shards, pa.int32()), "phrase": pa.array(texts, pa.binary())})
 
     return run
 
 
+def _pieces(window: int, size: int):
+    """Documents with the pieces asked for -> doc_id, key, shard, piece and the piece's words, with those of its last window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch["text"].cast(pa.binary())):
+                asked = batch["asked"][row].values
+                shard, piece = asked.field("shard"), asked.field("piece")
+                numbers = np.unique(piece.to_numpy())
+                words = text.as_py().split()
+                texts = pa.array([b" ".join(words[p * size : (p + 1) * size + window - 1]) for p in numbers.tolist()], pa.binary())
+                own = np.searchsorted(numbers, piece.to_numpy())
+                for a in range(0, len(own), 64):
+                    part = own[a : a + 64]
+                    same = pa.array(np.full(len(part), row))
+                    yield pa.record_batch(
+                        [batch["doc_id"].take(same), batch["key"].take(same), shard.slice(a, 64), piece.slice(a, 64), texts.take(pa.array(part))],
+                        ["doc_id", "key", "shard", "piece", "text"],
+                    )
+
+    return run
+
+
 def _automaton(phrases: Iterable[bytes]):
     """Finds the phrases in words with one space between them and at both ends."""
     out = ahocorasick.Automaton()
@@ -153,8 +184,8 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], pa.RecordBat
         yield (int(shard[a]), int(part[a])), own.filter(phrases), own.filter(pc.invert(phrases))
 
 
-def _windows(window: int, phrase: int):
-    """Phrases and documents of each shard and part, phrases first -> doc_id, key, start and 128-bit hash of each window to compare."""
+def _windows(window: int, phrase: int, size: int):
+    """Phrases and pieces of documents of each shard and part, phrases first -> doc_id, key, start and 128-bit hash of each window to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, phrases, automaton = None, set(), None
@@ -167,12 +198,14 @@ def _windows(window: int, phrase: int):
                     continue
                 automaton = automaton or _automaton(phrases)
                 for block in word_blocks(documents["text"], PLAIN):
-                    yield from _block_windows(documents.slice(block.first_row, block.rows), block, automaton, window, phrase)
+                    yield from _block_windows(documents.slice(block.first_row, block.rows), block, automaton, window, phrase, size)
 
     return run
 
 
-def _block_windows(documents: pa.RecordBatch, block: Block, automaton, window: int, phrase: int) -> Iterator[pa.RecordBatch]:
+def _block_windows(documents: pa.RecordBatch, block: Block, automaton, window: int, phrase: int, size: int = 0) -> Iterator[pa.RecordBatch]:
+    """Windows of documents, or of their pieces of so many windows."""
+    before = documents["piece"].to_numpy().astype(np.int64) * size if size else np.zeros(block.rows, np.int64)
     at, start, one, two = [], [], [], []
     for row in range(block.rows):
         places = _located(automaton, _row_words(block, row))
@@ -188,7 +221,7 @@ def _block_windows(documents: pa.RecordBatch, block: Block, automaton, window: i
             one.append(gram_ids(ids, window)[here])
             two.append(gram_ids(mix(ids + np.uint64(0x5851F42D4C957F2D)), window)[here])
             at.append(np.full(len(here), row))
-            start.append(here)
+            start.append(before[row] + here)
     if at:
         where = pa.array(np.concatenate(at))
         yield pa.record_batch({
@@ -234,7 +267,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int | None
     """
     phrase = phrase or max(1, window // 2)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = docs.mapInArrow(_survey(window, phrase), "phrase long, doc_id long, key long, n_words long, sha256 string")
+    size = PIECE_WINDOWS
+    survey = docs.mapInArrow(_survey(window, phrase, size), "phrase long, piece int, doc_id long, key long, n_words long, sha256 string")
     survey = staged(survey, "repeats-survey")
     base = survey.where(F.col("n_words").isNotNull()).select("doc_id", "key", "n_words", "sha256")
     owners = staged(
@@ -243,33 +277,38 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int | None
     )
     copies = staged(base.join(owners, "sha256").where("doc_id > owner").select("doc_id", "key").distinct(), "repeats-copies")
 
-    places = survey.where(F.col("phrase").isNotNull() & F.col("doc_id").isNotNull()).select("phrase", "doc_id", "key")
+    places = survey.where(F.col("phrase").isNotNull() & F.col("doc_id").isNotNull()).select("phrase", "doc_id", "key", "piece")
     places = staged(places.join(copies, ["doc_id", "key"], "left_anti"), "repeats-phrases")
-    recurring = places.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    recurring = places.groupBy("phrase").agg(F.min(F.struct("doc_id", "piece")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
     recurring = staged(recurring.select("phrase", "first"), "repeats-recurring")
     shards = max(1, -(-recurring.count() // SHARD_PHRASES))
     recurring = recurring.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int"))
     placed = places.join(recurring, "phrase")
-    routes = staged(placed.select("doc_id", "key", "shard").distinct(), "repeats-routes")
-    compiled = placed.where("doc_id = first").groupBy("doc_id", "key", "shard").agg(F.collect_set("phrase").alias("phrases"))
-
-    # the documents that hold recurring phrases, once for each shard that has one
-    holders = staged(routes.select("doc_id", "key").distinct(), "repeats-holders")
-    held = likely_in(docs, holders, then=_keyed, schema="doc_id long, key long, text string").join(holders, ["doc_id", "key"])
+    routes = staged(placed.select("doc_id", "key", "piece", "shard").distinct(), "repeats-routes")
+    compiled = placed.where("doc_id = first.doc_id AND piece = first.piece").groupBy("doc_id", "key")
+    compiled = compiled.agg(F.collect_list(F.struct("phrase", "shard")).alias("phrases"))
+
+    # the documents that hold recurring phrases; of each the pieces that do, once for each shard that has one
+    asked = routes.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("piece", "shard"))).alias("asked"))
+    asked = staged(asked, "repeats-holders")
+    holders = asked.select("doc_id", "key")
+    held = likely_in(docs, holders, then=_keyed, schema="doc_id long, key long, n_words long, text string").join(holders, ["doc_id", "key"])
     held = staged(held.dropDuplicates(["doc_id", "key"]), "repeats-held")
-    routed = held.join(routes, ["doc_id", "key"])
-    lengths = held.select("doc_id", "key", F.octet_length("text").alias("bytes")).join(routes, ["doc_id", "key"])
+    number = F.greatest(F.lit(1), F.ceil((F.col("n_words") - window + 1) / size))
+    lengths = held.select("doc_id", "key", (F.octet_length("text") / number).alias("bytes")).join(routes, ["doc_id", "key"])
     sizes = staged(lengths.groupBy("shard").agg(F.ceil(F.sum("bytes") / PART_BYTES).cast("int").alias("parts")), "repeats-sizes")
-    phrases = held.join(compiled, ["doc_id", "key"]).select("shard", "text", "phrases").mapInArrow(_phrase_words(phrase), "shard int, phrase binary")
+    phrases = held.join(compiled, ["doc_id", "key"]).select("text", "phrases").mapInArrow(_phrase_words(phrase), "shard int, phrase binary")
     phrases = staged(phrases, "repeats-phrase-words").join(sizes, "shard")
     phrases = phrases.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    routed = routed.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int"))
-    none = {c: F.lit(None).cast(t) for c, t in {"doc_id": "long", "key": "long", "text": "string", "phrase": "binary"}.items()}
-    stream = phrases.select("shard", "part", none["doc_id"].alias("doc_id"), none["key"].alias("key"), "phrase", none["text"].alias("text")).union(
-        routed.select("shard", "part", "doc_id", "key", none["phrase"].alias("phrase"), "text")
+    pieces = held.join(asked, ["doc_id", "key"]).select("doc_id", "key", "text", "asked")
+    pieces = pieces.mapInArrow(_pieces(window, size), "doc_id long, key long, shard int, piece int, text binary")
+    pieces = pieces.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "key", "piece"), F.col("parts")).cast("int"))
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in {"doc_id": "long", "key": "long", "piece": "int", "text": "binary", "phrase": "binary"}.items()}
+    stream = phrases.select("shard", "part", none["doc_id"], none["key"], none["piece"], "phrase", none["text"]).union(
+        pieces.select("shard", "part", "doc_id", "key", "piece", none["phrase"], "text")
     )
     stream = stream.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("doc_id").asc_nulls_first())
-    windows = stream.mapInArrow(_windows(window, phrase), "doc_id long, key long, start int, w1 long, w2 long")
+    windows = stream.mapInArrow(_windows(window, phrase, size), "doc_id long, key long, start int, w1 long, w2 long")
     windows = staged(windows, "repeats-windows")
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     firsts = staged(firsts.select("w1", "w2", "first"), "repeats-firsts")

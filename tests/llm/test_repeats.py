@@ -64,6 +64,30 @@ def test_many_shards_and_parts(spark, docs, rows, monkeypatch):
     assert outcome(repeated_passages(docs)) == [r[:4] for r in brute(rows)]
 
 
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_pieces_change_no_result(docs, rows, monkeypatch, size):
+    from lyrebird.llm import repeats
+
+    monkeypatch.setattr(repeats, "SHARD_PHRASES", 2)
+    monkeypatch.setattr(repeats, "PIECE_WINDOWS", size)
+    assert outcome(repeated_passages(docs)) == [r[:4] for r in brute(rows)]
+
+
+def test_long_text_of_many_shards_goes_in_pieces():
+    import pyarrow as pa
+
+    from lyrebird.llm.repeats import _pieces
+
+    words = [f"w{i}" for i in range(1000)]
+    # a hundred shards, each with a phrase of one piece of ten windows
+    asked = [{"piece": p, "shard": 1000 + p} for p in range(96)]
+    kind = pa.list_(pa.struct([("piece", pa.int32()), ("shard", pa.int32())]))
+    held = pa.record_batch({"doc_id": [7], "key": [8], "text": ["\t".join(words)], "asked": pa.array([asked], kind)})
+    got = [r for batch in _pieces(50, 10)(iter([held])) for r in batch.to_pylist()]
+    assert [(r["doc_id"], r["key"], r["piece"], r["shard"]) for r in got] == [(7, 8, p, 1000 + p) for p in range(96)]
+    assert all(r["text"].decode().split() == words[10 * r["piece"] : 10 * r["piece"] + 59] for r in got)
+
+
 def test_automata_locate():
     from lyrebird.llm.repeats import _automaton, _block_windows, _located
 
