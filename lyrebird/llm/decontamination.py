@@ -318,10 +318,12 @@ def _benchmark_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, in
 def _shared_windows(docs: DataFrame, found: DataFrame, shingle: int):
     """The windows, a bounded number, and their prefixes, broadcast."""
     spark = docs.sparkSession
-    rows = found.sort("words").collect()
-    windows = _Windows([np.array(r["words"], np.int64) for r in rows], [r["items"] for r in rows], shingle)
+    rows = found.sort("words").toArrow()
+    words, items = rows["words"].combine_chunks(), rows["items"].combine_chunks()
+    windows = _Windows([w.values.to_numpy() for w in words], [i.as_py() for i in items], shingle)
     counts = docs.select("text").mapInArrow(_shingle_counts(spark.sparkContext.broadcast(windows)), "shingle long, n long")
-    often = {r["shingle"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in counts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
+    counts = counts.groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
+    often = dict(zip(counts["shingle"].to_numpy().view(np.uint64).tolist(), counts["n"].to_numpy().tolist(), strict=True))
     return spark.sparkContext.broadcast((windows, {k: windows.prefixes(k, often) for k in windows.sizes}))
 
 
