@@ -34,6 +34,8 @@ SHINGLE = 5
 GROUPS = (64, 1 << 16)
 #: a shingle is frequent if this share of documents has it; at most (shingles a document) / share are
 FREQUENT = 0.0005
+#: frequent shingles that are broadcast at most, the most frequent; the others are ordered like rare ones
+LISTED = 1 << 20
 #: shingles of which the frequent ones are picked together
 PICKED = 3_000_000
 #: documents that share a shingle and are not gathered in one task, but dealt out as they are
@@ -76,6 +78,24 @@ def _frequent(sets: list[np.ndarray], rows: int) -> pa.RecordBatch:
     return pa.record_batch({"n": pa.array(-often[kept]), "doc_id": pa.nulls(len(many), pa.int64()), "one": pa.array(many), "two": pa.array(many)})
 
 
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of counts (one, often) that are as frequent as a bound asks, at most most of them.
+
+    The bound is of 16 steps for each doubling, so that a sum over some hundred steps
+    finds it.  Any order of shingles that all sets share is right for prefixes: what is
+    left out makes cells larger and loses no pair.
+    """
+    step = F.floor(16 * F.log2("often"))
+    steps = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for at, n in steps:
+        total += n
+        if total > most:
+            break
+        least = at
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 def _prefix_length(n: np.ndarray) -> np.ndarray:
     """Shingles of a set of n, in one order for all, of which sets of similarity 0.8 share one."""
     return n - (4 * n + 4) // 5 + 1
@@ -424,7 +444,7 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     rows = sized.count()
     frequent = survey.where("n < 0").groupBy("one").agg(F.sum(-F.col("n")).alias("often")).where(F.col("often") >= max(8.0, FREQUENT * rows))
-    frequent = frequent.toPandas()  # as many as documents have shingles, over FREQUENT, at most
+    frequent = _most_frequent(staged(frequent, "jaccard-frequent"), LISTED).toPandas()
     order = np.argsort(frequent["one"].to_numpy().view(np.uint64))
     listed = frequent["one"].to_numpy().view(np.uint64)[order], frequent["often"].to_numpy()[order]
 

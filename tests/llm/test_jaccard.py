@@ -180,3 +180,20 @@ def test_components(spark):
     assert {r.node: r.component for r in found} == {x: find(x) for x in linked} and len(found) == len(linked)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert connected_components(spark.range(1).select(F.lit(3).cast("long").alias("a"), F.lit(3).cast("long").alias("b"))).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 5, 40])
+def test_bound_of_frequent_shingles_changes_no_class(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "FREQUENT", 0.0)
+    every = outcome(jaccard.jaccard_classes(docs)[0])
+    monkeypatch.setattr(jaccard, "LISTED", most)
+    assert outcome(jaccard.jaccard_classes(docs)[0]) == every
+
+
+def test_most_frequent_shingles_are_listed(spark):
+    counts = spark.createDataFrame([(i, 8 + i // 3) for i in range(300)], "one long, often long")
+    for most in (0, 2, 3, 50, 299, 300, 1000):
+        got = sorted(r.one for r in jaccard._most_frequent(counts, most).collect())
+        assert len(got) <= most and got == list(range(300 - len(got), 300))
+    assert jaccard._most_frequent(counts, 300).count() == 300
+    assert jaccard._most_frequent(counts.limit(0), 5).count() == 0
