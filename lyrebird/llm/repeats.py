@@ -279,28 +279,26 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int | None
 
     places = survey.where(F.col("phrase").isNotNull() & F.col("doc_id").isNotNull()).select("phrase", "doc_id", "key", "piece")
     places = staged(places.join(copies, ["doc_id", "key"], "left_anti"), "repeats-phrases")
-    recurring = places.groupBy("phrase").agg(F.min(F.struct("doc_id", "piece")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    recurring = places.groupBy("phrase").agg(F.min(F.struct("doc_id", "piece", "key")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
     recurring = staged(recurring.select("phrase", "first"), "repeats-recurring")
     shards = max(1, -(-recurring.count() // SHARD_PHRASES))
     recurring = recurring.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int"))
-    placed = places.join(recurring, "phrase")
-    routes = staged(placed.select("doc_id", "key", "piece", "shard").distinct(), "repeats-routes")
-    compiled = placed.where("doc_id = first.doc_id AND piece = first.piece").groupBy("doc_id", "key")
+    routes = staged(places.join(recurring.select("phrase", "shard"), "phrase").select("doc_id", "key", "piece", "shard").distinct(), "repeats-routes")
+    compiled = recurring.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
     compiled = compiled.agg(F.collect_list(F.struct("phrase", "shard")).alias("phrases"))
 
     # the documents that hold recurring phrases; of each the pieces that do, once for each shard that has one
     asked = routes.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("piece", "shard"))).alias("asked"))
-    asked = staged(asked, "repeats-holders")
-    holders = asked.select("doc_id", "key")
+    holders = staged(asked.join(compiled, ["doc_id", "key"], "left"), "repeats-holders")
     held = likely_in(docs, holders, then=_keyed, schema="doc_id long, key long, n_words long, text string").join(holders, ["doc_id", "key"])
     held = staged(held.dropDuplicates(["doc_id", "key"]), "repeats-held")
     number = F.greatest(F.lit(1), F.ceil((F.col("n_words") - window + 1) / size))
     lengths = held.select("doc_id", "key", (F.octet_length("text") / number).alias("bytes")).join(routes, ["doc_id", "key"])
     sizes = staged(lengths.groupBy("shard").agg(F.ceil(F.sum("bytes") / PART_BYTES).cast("int").alias("parts")), "repeats-sizes")
-    phrases = held.join(compiled, ["doc_id", "key"]).select("text", "phrases").mapInArrow(_phrase_words(phrase), "shard int, phrase binary")
+    phrases = held.where("phrases IS NOT NULL").select("text", "phrases").mapInArrow(_phrase_words(phrase), "shard int, phrase binary")
     phrases = staged(phrases, "repeats-phrase-words").join(sizes, "shard")
     phrases = phrases.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pieces = held.join(asked, ["doc_id", "key"]).select("doc_id", "key", "text", "asked")
+    pieces = held.select("doc_id", "key", "text", "asked")
     pieces = pieces.mapInArrow(_pieces(window, size), "doc_id long, key long, shard int, piece int, text binary")
     pieces = pieces.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "key", "piece"), F.col("parts")).cast("int"))
     none = {c: F.lit(None).cast(t).alias(c) for c, t in {"doc_id": "long", "key": "long", "piece": "int", "text": "binary", "phrase": "binary"}.items()}
