@@ -20,6 +20,8 @@ from lyrebird.schema import ALIGNED_WORD
 from lyrebird.sources.audio import planar
 
 VOCAL_STEM = "vocals"
+#: bytes of text whose words are made at once; a clip counts as _CLIP_BYTES besides its text
+TEXT_BYTES, _CLIP_BYTES = 1 << 18, 256
 
 
 class StemSeparator(Protocol):
@@ -144,18 +146,34 @@ def batches_of(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
             begin = end
 
 
+def portions(batch: pa.RecordBatch, most: int = TEXT_BYTES) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Runs of a batch's rows whose text has most bytes at most, each with its bytes; a longer row is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + _CLIP_BYTES)
+    begin = before = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(begin, end - begin), int(ends[end - 1]) - before
+        begin, before = end, int(ends[end - 1])
+
+
+def word_lists(found: list[list[tuple[str, int | None, int | None]]]) -> pa.ListArray:
+    """Lists of words with their times, as Arrow."""
+    offsets = np.concatenate([[0], np.cumsum([len(one) for one in found], dtype=np.int64)]).astype(np.int32)
+    columns = [pa.array([w[i] for one in found for w in one], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["word", "start_ms", "end_ms"]))
+
+
 def aligned_batches(clips: DataFrame, make: Callable[[], BatchAligner], batch_samples: int, rate: int, held_samples: int | None = None) -> DataFrame:
     """key, samples, text, language -> key, words: the model gets clips of like length together.
 
     A batch padded to its longest clip has batch_samples at most, but for a single
     longer clip.  Clips are in order of length within a task, so no row is sent
     elsewhere, and a task holds the clips of held_samples (by default four batches)
-    and one input batch at a time.  Times are rounded to four decimals, then cut to
+    or of TEXT_BYTES of text, and one input batch at a time.  Times are rounded to four decimals, then cut to
     milliseconds; words of null times have none.
     """
     kind = clips.schema["key"].dataType.simpleString()
     most_held = held_samples or 4 * batch_samples
-    words_type = pa.list_(pa.struct([("word", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64())]))
     ms = lambda t: None if t is None else int(round(t, 4) * 1e3)
 
     def judged(model: BatchAligner, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -166,17 +184,18 @@ def aligned_batches(clips: DataFrame, make: Callable[[], BatchAligner], batch_sa
             found = model.align_batch(audios, own["text"].to_pylist(), own["language"].to_pylist(), rate)
             if len(found) != b - a:
                 raise ValueError("the aligner gives a list of words for each clip")
-            words = [[{"word": w, "start_ms": ms(s), "end_ms": ms(e)} for w, s, e in one] for one in found]
-            yield pa.record_batch([own["key"].combine_chunks(), pa.array(words, words_type)], ["key", "words"])
+            words = word_lists([[(w, ms(s), ms(e)) for w, s, e in one] for one in found])
+            yield pa.record_batch([own["key"].combine_chunks(), words], ["key", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held, total = make(), [], 0
-        for batch in batches:
-            held.append(batch)
-            total += pc.sum(batch["n"]).as_py() or 0
-            if total >= most_held:
+        model, held, total, text = make(), [], 0, 0
+        for part, size in (x for batch in batches for x in portions(batch)):
+            held.append(part)
+            total += pc.sum(part["n"]).as_py() or 0
+            text += size
+            if total >= most_held or text >= TEXT_BYTES:
                 yield from judged(model, pa.Table.from_batches(held))
-                held, total = [], 0
+                held, total, text = [], 0, 0
         if held:
             yield from judged(model, pa.Table.from_batches(held))
 
@@ -185,15 +204,17 @@ def aligned_batches(clips: DataFrame, make: Callable[[], BatchAligner], batch_sa
 
 
 def aligned(clips: DataFrame, make: Callable[[], Aligner]) -> DataFrame:
-    """key, samples, text, sample_rate -> key, words; give it only the rows that are to be aligned."""
+    """key, samples, text, sample_rate -> key, words; give it only the rows that are to be aligned.
+
+    A task holds the words of TEXT_BYTES of text, or of one longer text, at a time.
+    """
     kind = clips.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
-        for batch in batches:
-            rows = zip(batch["samples"], batch["text"].to_pylist(), batch["sample_rate"].to_pylist(), strict=True)
-            words = [[{"word": w, "start_ms": a, "end_ms": b} for w, a, b in model.align(x.values.to_numpy(zero_copy_only=False), t, r)] for x, t, r in rows]
-            kinds = pa.list_(pa.struct([("word", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64())]))
-            yield pa.record_batch([batch["key"], pa.array(words, kinds)], ["key", "words"])
+        for part, _ in (x for batch in batches for x in portions(batch)):
+            rows = zip(part["samples"], part["text"].to_pylist(), part["sample_rate"].to_pylist(), strict=True)
+            words = word_lists([model.align(x.values.to_numpy(zero_copy_only=False), t, r) for x, t, r in rows])
+            yield pa.record_batch([part["key"], words], ["key", "words"])
 
     return clips.select("key", "samples", "text", "sample_rate").mapInArrow(run, f"key {kind}, words array<{ALIGNED_WORD}>")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lyrebird.operators.assemble import assembled, moved_end
 from lyrebird.operators.lines import aligned_interval, clip, clip_rows, eligible, line_intervals, line_text
-from lyrebird.operators.models import EvenAligner, WholeMixAsVocals, aligned_batches, batches_of, even_words, separated, separated_rows
+from lyrebird.operators.models import EvenAligner, WholeMixAsVocals, aligned, aligned_batches, batches_of, even_words, separated, separated_rows
 from lyrebird.operators.signal import SignalConfig
 from lyrebird.plans.word_timing import word_timing
 from lyrebird.schema import ALIGNED_WORD, WORD
@@ -173,6 +173,31 @@ def test_alignment_in_batches(spark, held):
     assert got == {k: [(t, int(round(len(x or []) / 10 + 0.00004, 4) * 1e3), 1000)] if t else [("", None, None)] for k, x, t in data}
 
 
+@pytest.mark.parametrize("batched", [False, True])
+def test_words_of_few_texts_are_held(spark, batched):
+    class Word(str):
+        living = 0
+
+        def __init__(self, _):
+            Word.living += 1
+
+        def __del__(self):
+            Word.living -= 1
+
+    class Counting:
+        def align(self, audio, text, sample_rate):
+            assert Word.living < 80_000
+            return [(Word(w), 1, 2) for w in text.split(" ")]
+
+        def align_batch(self, audios, texts, languages, sample_rate):
+            return [self.align(None, t, sample_rate) for t in texts]
+
+    # clips without samples fill no batch
+    df = spark.range(4000).selectExpr("id AS key", "array_repeat(float(0), 0) AS samples", "concat(id, repeat(' some', 59)) AS text", "10 AS sample_rate", "string(null) AS language").coalesce(1)
+    got = aligned_batches(df, Counting, 1000, 10) if batched else aligned(df, Counting)
+    assert {r.key: (r.n, r.word) for r in got.selectExpr("key", "size(words) AS n", "words[0].word AS word").collect()} == {i: (60, str(i)) for i in range(4000)}
+
+
 def test_batches_are_bounded():
     assert list(batches_of([], 10)) == []
     assert list(batches_of([1, 2, 3, 5, 11], 10)) == [(0, 3), (3, 4), (4, 5)]
