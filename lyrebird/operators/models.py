@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lyrebird.functions.arrow import keyed_batches
 from lyrebird.functions.columns import once
 from lyrebird.operators.signal import whole_groups
 from lyrebird.schema import ALIGNED_WORD
@@ -107,27 +108,27 @@ def separated_rows(samples: DataFrame, make: Callable[[], StemSeparator], chunk:
     if chunk < 1 or not 0 <= overlap <= chunk // 2:
         raise ValueError("chunks overlap by half of their length at most")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[np.ndarray]]]:
         model = make()
         for table, bounds in whole_groups(batches, ["clip_id", "chunk"]):
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                own = table.slice(a, b - a)
-                channel, idx, value = (own[c].to_numpy() for c in ("channel", "idx", "v"))
+            columns = [table[c].to_numpy() for c in ("channel", "idx", "v")]
+            clips, chunks = (table[c].take(pa.array(bounds[:-1])).to_pylist() for c in ("clip_id", "chunk"))
+            for a, b, clip, number in zip(bounds[:-1].tolist(), bounds[1:].tolist(), clips, chunks, strict=True):
+                channel, idx, value = (x[a:b] for x in columns)
                 n = int(np.count_nonzero(channel == channel[0]))
                 if len(idx) % n or (np.diff(idx.reshape(-1, n), axis=1) != 1).any() or (idx.reshape(-1, n) != idx[:n]).any():
                     raise ValueError("channels of a clip differ in their samples")
-                stems = model.separate(value.reshape(-1, n).astype(np.float32))
-                if stem not in stems:
+                found = model.separate(value.reshape(-1, n).astype(np.float32))
+                if stem not in found:
                     raise ValueError(f"the separator gives no stem {stem}")
-                out = np.asarray(stems[stem], np.float64)
+                out = np.asarray(found[stem], np.float64)
                 if out.ndim != 2 or out.shape[1] != n:
                     raise ValueError("a stem has as many samples as its mix")
-                start = own["chunk"][0].as_py() * hop
-                weight = np.tile(chunk_weights(idx[:n] - start, chunk), len(out))
-                yield pa.record_batch({
-                    "clip_id": pa.array([own["clip_id"][0].as_py()] * out.size, pa.string()), "channel": pa.array(np.repeat(np.arange(len(out), dtype=np.int32), n)),
-                    "idx": pa.array(np.tile(idx[:n], len(out))), "v": pa.array(out.ravel() * weight), "weight": pa.array(weight),
-                })
+                weight = np.tile(chunk_weights(idx[:n] - number * hop, chunk), len(out))
+                yield clip, [np.repeat(np.arange(len(out), dtype=np.int32), n), np.tile(idx[:n], len(out)), out.ravel() * weight, weight]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return keyed_batches(stems(batches), ["clip_id", "channel", "idx", "v", "weight"])
 
     first = F.greatest(F.floor((F.col("idx") - chunk) / hop) + 1, F.lit(0))
     rows = samples.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("channel").cast("int").alias("channel"), F.col("idx").cast("long").alias("idx"), F.col("v").cast("double").alias("v"))

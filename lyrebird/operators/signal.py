@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from lyrebird.functions.arrow import joined_batches
 from lyrebird.functions.units import RATE, db_to_linear
 from lyrebird.staging import staged
 
@@ -268,12 +268,12 @@ def _with_gains(pieces: DataFrame, c: Compressor, envelope: Callable[[pa.RecordB
                         gain += (attack if first > before else release) * (float(c.wanted(np.array([first]))[0]) - gain)
                     gain, before = a * gain + b, last
                 columns = [pa.array([f[i] for f in fronts], pa.float64()) for i in (0, 1)]
-                yield pa.record_batch([pa.array([clip.as_py()] * len(fronts), batch["clip_id"].type), piece, *columns], ["clip_id", "piece", "_gain", "_before"])
+                yield pa.record_batch([pa.repeat(clip, len(fronts)), piece, *columns], ["clip_id", "piece", "_gain", "_before"])
 
     kind = pieces.schema["clip_id"].dataType.simpleString()
     maps = pieces.mapInArrow(numbers, f"clip_id {kind}, piece long, first double, last double, a double, b double")
     ordered = maps.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("piece", "first", "last", "a", "b"))).alias("maps"))
-    return pieces.join(ordered.mapInArrow(chain, f"clip_id {kind}, piece long, _gain double, _before double"), ["clip_id", "piece"])
+    return pieces.join(ordered.mapInArrow(lambda batches: joined_batches(chain(batches)), f"clip_id {kind}, piece long, _gain double, _before double"), ["clip_id", "piece"])
 
 
 def _gains(envelope: np.ndarray, gain: float, before: float | None, c: Compressor) -> np.ndarray:
@@ -309,7 +309,6 @@ def compress_linked(samples: DataFrame, c: Compressor, piece: int = PIECE) -> Da
     if c.ratio <= 1:
         return samples
     lists = [("channel", samples.schema["channel"].dataType), ("idx", LongType()), ("v", DoubleType())]
-    types = {f.name: to_arrow_type(f.dataType) for f in samples.schema.fields}
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["clip_id", "piece"]):
@@ -329,7 +328,7 @@ def compress_linked(samples: DataFrame, c: Compressor, piece: int = PIECE) -> Da
                 peaks, repeats = envelope(batch, row)
                 gains = np.repeat(_gains(peaks, gain, before, c), repeats)
                 channel, idx, x = (batch[name][row].values for name, _ in lists)
-                clip = pa.array([batch["clip_id"][row].as_py()] * len(idx), types["clip_id"])
+                clip = pa.repeat(batch["clip_id"][row], len(idx))
                 yield pa.record_batch([clip, channel, idx, pa.array(x.to_numpy(zero_copy_only=False) * gains)], ["clip_id", "channel", "idx", "v"])
 
     kind = samples.schema["clip_id"].dataType
@@ -337,7 +336,7 @@ def compress_linked(samples: DataFrame, c: Compressor, piece: int = PIECE) -> Da
     sort = rows.repartition("clip_id", "piece").sortWithinPartitions("clip_id", "piece", "idx", "channel")
     pieces = StructType([StructField("clip_id", kind), StructField("piece", LongType()), *[StructField(name, ArrayType(t)) for name, t in lists]])
     made = _with_gains(staged(sort.mapInArrow(build, pieces), "pieces"), c, lambda batch, row: envelope(batch, row)[0])
-    return made.mapInArrow(run, StructType([StructField("clip_id", kind), *[StructField(name, t) for name, t in lists]]))
+    return made.mapInArrow(lambda batches: joined_batches(run(batches)), StructType([StructField("clip_id", kind), *[StructField(name, t) for name, t in lists]]))
 
 
 def to_pieces(samples: DataFrame, clip: str = "clip_id", value: str = "v", piece: int = PIECE) -> DataFrame:

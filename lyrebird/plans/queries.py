@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -419,7 +418,7 @@ def batched_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k.conv_id", "k.turn", "word_no", "w.word", "w.start_ms", "w.end_ms")
 
 
-_TAPS = ("00_input", "01_vocal_stem", "02_normalized", "03_vibrato_suppressed", "04_compressed")
+_INPUT = "00_input"
 
 
 @query(f"""
@@ -437,11 +436,12 @@ def tapped_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     mix = _vector_samples(spark, sf_dir).select(F.col("clip_id").cast("string").alias("song_id"), "channel", F.col("idx").cast("long").alias("idx"), "v")
     word_timing(lines, mix, EvenAligner, config=signal.SignalConfig(compress=True), rate=_SONG_RATE, make_separator=WholeMixAsVocals, audio_folder=folder)
-    stages = [read_wav(spark, f"{folder}/{name}", _SONG_RATE).withColumn("stage", F.lit(name)) for name in _TAPS]
-    back = reduce(DataFrame.unionByName, stages)
-    clip_id = F.regexp_extract("clip_id", r"([0-9]+)\.wav$", 1).cast("long")
-    code = F.when(F.col("stage") == _TAPS[0], F.round(F.col("v").cast("double") * 32768).cast("long"))
-    return back.groupBy("stage", clip_id.alias("clip_id"), "channel").agg(F.count(F.lit(1)).alias("n"), F.sum(code).alias("total"))
+    # a clip's path names its stage
+    back = read_wav(spark, folder, _SONG_RATE).groupBy(F.col("clip_id").alias("path"), "channel")
+    sums = back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("v").cast("double") * 32768).cast("long")).alias("total"))
+    stage = F.substring_index(F.substring_index("path", "/", -2), "/", 1)
+    clip_id = F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("long")
+    return sums.select(stage.alias("stage"), clip_id.alias("clip_id"), "channel", "n", F.when(stage == _INPUT, F.col("total")).alias("total"))
 
 
 # ---------------------------------------------------------------- alignment

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from lyrebird.functions.arrow import keyed_batches
 from lyrebird.functions.resample import Resampler
 from lyrebird.sources import audio
 from lyrebird.sources.audio import RATE, pcm_values
@@ -36,6 +37,8 @@ from lyrebird.staging import staged
 
 #: bytes of a range, samples of a batch of rows, and frames of a piece that is written
 RANGE_BYTES, BATCH_ROWS, WRITE_FRAMES = 8 << 20, 1 << 16, 1 << 16
+#: files that a task reads at most
+FILES = 512
 _THREADS = 16
 
 
@@ -136,13 +139,16 @@ class Ranges(InputPartition):
 
 
 def cut(files: list[tuple[str, int]], range_bytes: int) -> list[Ranges]:
-    """Large files in ranges, small ones together, about so many bytes each."""
+    """Large files in ranges, small ones together, about so many bytes each, and FILES at most.
+
+    Opening a file counts as a part of the bytes.
+    """
     out, held, total = [], [], 0
     for path, size in files:
         for begin in range(0, max(size, 1), range_bytes):
             end = min(size, begin + range_bytes)
             held.append((path, size, begin, end))
-            total += end - begin
+            total += max(end - begin, range_bytes // FILES)
             if total >= range_bytes:
                 out.append(Ranges(held))
                 held, total = [], 0
@@ -160,18 +166,18 @@ class WavReader(DataSourceReader):
         return cut(listed(self.path, ".wav"), self.range_bytes) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        return keyed_batches(self.pieces(partition), ["clip_id", "channel", "idx", "v"], BATCH_ROWS)
+
+    def pieces(self, partition: Ranges) -> Iterator[tuple[str, list[np.ndarray]]]:
+        store = opened(self.path)[0]
         for path, size, begin, end in partition.parts:
-            store = opened(self.path)[0]
             with store.open_input_file(path) as f:
                 first, samples = wav_range(f, size, begin, end, self.rate, self.skip_invalid)
             for channel, values in enumerate(samples):
                 for a in range(0, len(values), BATCH_ROWS):
                     part = values[a : a + BATCH_ROWS].astype(np.float32)
                     n = len(part)
-                    yield pa.record_batch({
-                        "clip_id": pa.array([path] * n, pa.string()), "channel": pa.array(np.full(n, channel, np.int32)),
-                        "idx": pa.array(np.arange(first + a, first + a + n)), "v": pa.array(part),
-                    })
+                    yield path, [np.full(n, channel, np.int32), np.arange(first + a, first + a + n), part]
 
 
 # ---------------------------------------------------------------- writing
@@ -210,11 +216,13 @@ class FileWriter(DataSourceArrowWriter):
                     if own != key:
                         if out is not None:
                             out.close()
-                        if any(final == self.named(own) for _, final in done[-1:]) or (key is not None and own < key):
+                        name = self.named(own)
+                        if any(final == name for _, final in done[-1:]) or (key is not None and own < key):
                             raise ValueError("rows of a file are to be together and in order")
-                        store.create_dir(folder, recursive=True)
-                        out, key = store.open_output_stream(f"{folder}/{self.named(own)}"), own
-                        done.append((f"{folder}/{self.named(own)}", self.named(own)))
+                        if not done:
+                            store.create_dir(folder, recursive=True)
+                        out, key = store.open_output_stream(f"{folder}/{name}"), own
+                        done.append((f"{folder}/{name}", name))
                         out.write(head())
                     out.write(body)
             if out is not None:
@@ -240,8 +248,13 @@ class FileWriter(DataSourceArrowWriter):
                 if not x.path.endswith(kept.rsplit("/", 1)[-1]):
                     store.delete_dir(x.path) if x.type == fs.FileType.Directory else store.delete_file(x.path)
         store.create_dir(inner, recursive=True)
+
+        def moved(part: list[tuple[str, str]]) -> None:
+            for source, name in part:
+                store.move(source, f"{inner}/{name}")
+
         with ThreadPoolExecutor(_THREADS) as pool:
-            list(pool.map(lambda m: store.move(m[0], f"{inner}/{m[1]}"), moves))
+            list(pool.map(moved, (moves[k::_THREADS] for k in range(_THREADS))))
         self._clear(store, inner)
 
     def abort(self, messages: list[WriterCommitMessage]) -> None:
@@ -353,9 +366,11 @@ def write_wav(samples: DataFrame, path: str, rate: int = RATE, mode: str = "over
     """A 16-bit WAV file of each clip of rows (clip_id, channel, idx, v); its name is the clip's, percent-encoded.
 
     Pieces are made side by side; a file is written by one task, a piece at a time.
+    Files are dealt to as many tasks as a shuffle has, however few their bytes.
     """
-    register(samples.sparkSession)
-    ordered = interleaved(samples, piece).repartition("clip_id").sortWithinPartitions("clip_id", "piece")
+    spark = samples.sparkSession
+    register(spark)
+    ordered = interleaved(samples, piece).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clip_id").sortWithinPartitions("clip_id", "piece")
     ordered.write.format("wav").mode(mode).option("rate", rate).save(path)
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from lyrebird.sources.audio import wav_file, wav_samples
-from lyrebird.sources.files import LyricWriter, Written, cut, interleaved, listed, read_wav, wav_head, wav_range, write_lyrics, write_wav
+from lyrebird.sources.files import LyricWriter, WavReader, Written, cut, interleaved, listed, read_wav, wav_head, wav_range, write_lyrics, write_wav
 
 SAMPLES = "clip_id string, channel int, idx long, v double"
 
@@ -58,6 +58,21 @@ def test_cutting():
     assert [[(n, b, e) for n, _, b, e in p] for p in parts] == [[("x", 0, 100)], [("x", 100, 200)], [("x", 200, 250), ("y", 0, 10), ("z", 0, 0), ("w", 0, 90)]]
 
 
+def test_many_small_files(spark, tmp_path):
+    """Their number counts, not only their bytes: in tasks that write and read them, and in batches."""
+    clips = 1500
+    df = spark.range(clips * 2).selectExpr("string(id div 2) AS clip_id", "0 AS channel", "id % 2 AS idx", "(id % 100) / 128D AS v")
+    write_wav(df, str(tmp_path), 8000)
+    back = read_wav(spark, str(tmp_path), 8000)
+    assert back.rdd.getNumPartitions() == 3
+    got = {(Path(r.clip_id).stem, r.channel, r.idx): r.v for r in back.collect()}
+    assert got == {(str(i // 2), 0, i % 2): int(i % 100 / 128 * 32767) / 32768 for i in range(clips * 2)}
+    reader = WavReader({"path": str(tmp_path), "rate": 8000})
+    parts = reader.partitions()
+    assert max(len(p.parts) for p in parts) == 512
+    assert [[b.num_rows for b in reader.read(p)] for p in parts] == [[2 * len(p.parts)] for p in parts]
+
+
 def test_broken_files(spark, tmp_path):
     data = wav_file(np.arange(20).reshape(2, 10) / 50, 44100)
     for size in (len(data) - 3, len(data) - 4, 44 + 1):
